@@ -11,22 +11,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm.ann import op3_one_bit_ann
 from siltstone.llm.bpe import op8_byte_bpe
+from siltstone.llm.html_text import op9_html_layout
 from siltstone.llm.licenses import op6_license_scan
 from siltstone.llm.neardup import op2_minhash_forest
 from siltstone.llm.packing import op1_best_fit_packing
 from siltstone.llm.quality import op4_quality_rules
 from siltstone.llm.sharding import op7_rendezvous_sharding
+from siltstone.llm.toxicity import op10_toxicity
+from siltstone.llm.warc import op5_warc_derivatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op2_minhash_forest,
+        op3_one_bit_ann,
         op4_quality_rules,
+        op5_warc_derivatives,
         op6_license_scan,
         op7_rendezvous_sharding,
         op8_byte_bpe,
+        op9_html_layout,
+        op10_toxicity,
     )
 }
 
