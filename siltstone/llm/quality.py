@@ -128,14 +128,15 @@ def _cholesky(cells: DataFrame, p: int, floors: list[float]) -> DataFrame:
     return out.drop(*[f"c{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _distance(rows: DataFrame, cells: DataFrame, features: list[str]) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance to their cell's estimate (null without one)."""
+def _distance(rows: DataFrame, cells: DataFrame, features: list[str], *more: str) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance to their cell's estimate (null without one), and more columns of cells.
+    cells is a stored table of one row per cell: Spark knows its size, and broadcasts it or not by that."""
     p, out = len(features), rows.join(cells, ["cell"], "left")
     for i, f in enumerate(features):
         rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"_y{k}"), range(i), F.col(f) - F.col(f"m{i}"))
         out = out.withColumn(f"_y{i}", rest / F.col(f"l{i}_{i}"))
     d2 = reduce(lambda a, b: a + b, [F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(p)])
-    return out.select(*[F.col(c) for c in rows.columns], (d2 * F.col("inflate")).alias("d2"))
+    return out.select(*[F.col(c) for c in rows.columns], (d2 * F.col("inflate")).alias("d2"), *more)
 
 
 def fit_cells(rows: DataFrame, features: dict[str, float], steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
@@ -146,7 +147,7 @@ def fit_cells(rows: DataFrame, features: dict[str, float], steps: int = STEPS, c
     """
     names, floors = list(features), list(features.values())
     p = len(names)
-    middle = rows.groupBy("cell").agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m{i}") for i, f in enumerate(names)])
+    middle = materialize(rows.groupBy("cell").agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m{i}") for i, f in enumerate(names)]), "mcd")
     spread = rows.join(middle, "cell").groupBy("cell").agg(
         *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 2000).alias(f"_s{i}") for i, f in enumerate(names)]
     )
@@ -156,14 +157,15 @@ def fit_cells(rows: DataFrame, features: dict[str, float], steps: int = STEPS, c
     )
     cells = materialize(_cholesky(cells, p, floors).withColumn("inflate", F.lit(1.0)), "mcd")
     for step in range(steps + 1):
-        seen = _distance(rows, cells, names)
-        near = seen.groupBy("cell").agg(
+        near = _distance(rows, cells, names).groupBy("cell").agg(
             F.percentile_approx("d2", coverage, 2000).alias("_cut"), F.percentile_approx("d2", 0.5, 2000).alias("_mid")
         )
         if step == steps:  # consistency, then reweighting: inflated distances within the 0.975 quantile
-            near = near.withColumn("_cut", F.greatest(F.col("_mid") * (CHI_975 / CHI_MEDIAN), F.col("_mid")))
-        cells = seen.join(near, "cell").where(F.col("d2") <= F.col("_cut")).groupBy("cell").agg(*_moments(names))
-        cells = materialize(_cholesky(cells, p, floors).withColumn("inflate", F.lit(1.0)), "mcd")
+            near = near.withColumn("_cut", F.col("_mid") * (CHI_975 / CHI_MEDIAN))
+        # cells and their cuts are stored together, so that rows meet them in one join with a small table and aren't moved
+        cut = materialize(cells.join(near.select("cell", "_cut"), "cell"), "mcd")
+        inside = _distance(rows, cut, names, "_cut").where(F.col("d2") <= F.col("_cut")).groupBy("cell").agg(*_moments(names))
+        cells = materialize(_cholesky(inside, p, floors).withColumn("inflate", F.lit(1.0)), "mcd")
     return cells
 
 
