@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, table
+from siltstone.llm.common import BROADCAST_ROWS, materialize, table
 from siltstone.llm.neardup import near_duplicates
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import quality_rules
@@ -14,22 +15,34 @@ from siltstone.llm.toxicity import toxicity_scores
 WIDTH, PERCENT = 5, 80
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs with an id in ids; a null id is kept if it is in ids. ids may repeat."""
-    kept = ids.select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].eqNullSafe(kept.withColumnRenamed("doc_id", "_kept")["_kept"]), "left_semi")
+def _without(docs: DataFrame, verdicts: DataFrame, kept: Column) -> DataFrame:
+    """Rows of docs but those whose id has verdicts of which none is kept. Only the rejected ids are joined, broadcast if
+    they are few, so the texts stay where they are. Rows with a null id are judged together."""
+    bad = verdicts.groupBy(F.col("doc_id").alias("_bad")).agg(F.max(kept).alias("_kept")).where(~F.col("_kept")).select("_bad")
+    bad = materialize(bad, "rejected")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality_rules(docs).where("kept"))
+    return _without(docs, quality_rules(docs), F.col("kept"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, toxicity_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    return _without(docs, toxicity_scores(docs, table(spark, sf_dir, "labels")), F.col("predicted") == 0)
 
 
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, near_duplicates(docs, width=WIDTH, percent=PERCENT).where("kept"))
+    """One document of each group stays; of rows that repeat an id, one."""
+    found = materialize(near_duplicates(docs, width=WIDTH, percent=PERCENT), "neardup")
+    out = _without(docs, found, F.col("kept"))
+    again = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    again = materialize(again, "repeated")
+    if again.isEmpty():
+        return out
+    same = out["doc_id"] == again["_again"]
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
