@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree
@@ -15,6 +16,9 @@ from siltstone.functions.schema import DEVICE_KEY, LEVELS, UNKNOWN_DEVICE
 
 TIME_PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second}
 _U64 = str(2**64 - 1)
+VERSION_PARTS = ("major", "minor", "patch")
+#: Major may have a plus sign; minor and patch end at their first - or +; parts after the third don't matter.
+_VERSION = r"(\+?[0-9]+)(?:\.([0-9]+)(?:[-+][^.]*)?)?(?:\.([0-9]+)(?:[-+][^.]*)?(?:\..*)?)?"
 
 
 def _col(c: Column | str) -> Column:
@@ -85,15 +89,24 @@ def ts_part(part: str, minutes_west: int = 0, ts: Column | str = "ts") -> Column
     return TIME_PARTS[part](_col(ts) - F.make_dt_interval(mins=F.lit(minutes_west)))
 
 
+def version_of(text: str) -> tuple[int, int, int] | None:
+    """semver of a text that is known when a query is built."""
+    parts = re.fullmatch(_VERSION, text, re.S)
+    if not parts:
+        return None
+    numbers = [int(x.lstrip("+")) if x else 0 for x in parts.groups()]
+    return tuple(numbers) if max(numbers) < 2**64 else None
+
+
 def semver(text: Column | str) -> Column:
     """struct(major, minor, patch), or null if the text is no version."""
-    parts = F.split(_col(text), r"\.")
-    tail = lambda i: F.get(F.split(F.coalesce(F.get(parts, F.lit(i)), F.lit("0")), "[-+]"), F.lit(0))
-    major, minor, patch = F.get(parts, F.lit(0)), tail(1), tail(2)
-    number = lambda c, guard: F.when(c.rlike(guard), c.try_cast("decimal(20,0)"))
-    numbers = [number(major, r"\A\+?[0-9]+\z"), number(minor, r"\A[0-9]+\z"), number(patch, r"\A[0-9]+\z")]
-    sound = reduce(lambda a, b: a & b, [n.isNotNull() & (n <= F.lit(_U64).cast("decimal(20,0)")) for n in numbers])
-    return F.when(sound, F.struct(*[n.alias(a) for n, a in zip(numbers, ("major", "minor", "patch"), strict=True)]))
+    text = _col(text)
+    guard = text.rlike(rf"(?s)\A(?:{_VERSION})\z")
+    parts = F.split(text, r"\.")
+    cut = lambda i: F.coalesce(F.get(F.split(F.get(parts, F.lit(i)), "[-+]"), F.lit(0)), F.lit("0"))
+    numbers = [c.try_cast("decimal(20,0)") for c in (F.get(parts, F.lit(0)), cut(1), cut(2))]
+    sound = reduce(lambda a, b: a & b, [F.coalesce(n <= F.lit(_U64).cast("decimal(20,0)"), F.lit(False)) for n in numbers])
+    return F.when(guard & sound, F.struct(*[n.alias(a) for n, a in zip(numbers, VERSION_PARTS, strict=True)]))
 
 
 def bucket_start(seconds: int, ts: Column | str = "ts") -> Column:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.fields import level_rank, prop, prop_values, rank_of, semver, ts_part
+from siltstone.functions.fields import VERSION_PARTS, level_rank, prop, prop_values, rank_of, semver, ts_part, version_of
 
 OPERATORS = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 RESERVED = ("timestamp", "level", "msg")
@@ -40,8 +40,11 @@ def _compare(value: Column, op: str, text: str) -> Column:
     """Versions if both sides are versions, else bytes."""
     if not isinstance(text, str):
         raise ValueError("a text is compared with a text")
-    own, other = semver(value), semver(F.lit(text))
-    return F.when(own.isNotNull() & other.isNotNull(), _op(op)(own, other)).otherwise(_op(op)(value, F.lit(text)))
+    plain, version = _op(op)(value, F.lit(text)), version_of(text)
+    if version is None:
+        return plain
+    other = F.struct(*[F.lit(str(n)).cast("decimal(20,0)").alias(p) for n, p in zip(version, VERSION_PARTS, strict=True)])
+    return F.coalesce(_op(op)(semver(value), other), plain)  # null where the value is no version
 
 
 def level_cmp(op: str, level: str | int) -> Column:

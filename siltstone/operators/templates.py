@@ -24,30 +24,43 @@ SEPARATORS = (" ",)
 WILDCARD = r"^\d+$"
 THRESHOLD = 0.3
 STAR = "*"
+#: Lines of a group whose template is remembered.
+REMEMBERED = 50_000
 
 
 class Group:
-    """Templates of one (number of tokens, first token)."""
+    """Templates of one (number of tokens, first token). Lines that are equal join the same template as long as no template
+    changes in between, so their answer is remembered until one does."""
 
     def __init__(self, threshold: float):
         self.threshold = threshold
         self.templates: list[list[str]] = []
+        self.texts: list[str] = []
+        self.known: dict[tuple[str, ...], int] = {}
 
-    def learn(self, tokens: list[str]) -> int:
+    def learn(self, tokens: tuple[str, ...]) -> int:
         """Index of the template that the line joins or founds."""
+        if (at := self.known.get(tokens)) is not None:
+            return at
         best, at = 0, -1
-        for i, known in enumerate(self.templates):
-            equal = sum(map(str.__eq__, tokens, known))
+        for i, template in enumerate(self.templates):
+            equal = sum(map(str.__eq__, tokens, template))
             if equal > best:
                 best, at = equal, i
-        if at >= 0 and best / len(tokens) > self.threshold:
-            known = self.templates[at]
-            for i, (a, b) in enumerate(zip(known, tokens, strict=True)):
-                if a != b:
-                    known[i] = STAR
-            return at
-        self.templates.append(tokens)
-        return len(self.templates) - 1
+        if at < 0 or best / len(tokens) <= self.threshold:
+            at = len(self.templates)
+            self.templates.append(list(tokens))
+            self.texts.append(" ".join(tokens))
+            self.known.clear()
+        else:
+            merged = [a if a == b else STAR for a, b in zip(self.templates[at], tokens, strict=True)]
+            if merged != self.templates[at]:
+                self.templates[at] = merged
+                self.texts[at] = " ".join(merged)
+                self.known.clear()
+        if len(self.known) < REMEMBERED:
+            self.known[tokens] = at
+        return at
 
 
 def tokens_of(msg: Column, separators: tuple[str, ...], wildcard: str) -> Column:
@@ -75,11 +88,11 @@ def _mine(df: DataFrame, order: list[str], msg: str, separators: tuple[str, ...]
             for n, first, p, tokens, place in zip(batch["_n"], batch["_first"], batch["_pass"], batch["_t"], places, strict=True):
                 if (n, first) != key:
                     key, group, founders = (n, first), Group(threshold), []
-                k = group.learn(list(tokens))
+                k = group.learn(tuple(tokens))
                 if k == len(founders):  # a template is known by the line that founded it
                     founders.append((p, *place))
                 if p == passes - 1:
-                    out.append((*place, *founders[k], " ".join(group.templates[k])))
+                    out.append((*place, *founders[k], group.texts[k]))
             yield pd.DataFrame(out, columns=[*order, "_pass", *[f"_by_{c}" for c in order], "text"])
 
     shape = ", ".join([*[f"{c} {k}" for c, k in zip(order, kinds, strict=True)], "_pass int", *[f"_by_{c} {k}" for c, k in zip(order, kinds, strict=True)], "text string"])

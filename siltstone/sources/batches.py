@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,6 @@ from siltstone.operators.segments import segment_props, segment_summary
 
 _HEAD = struct.Struct("<HqIBB")
 _LENGTH = struct.Struct("<I")
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 #: Micros that a timestamp can hold.
 _LOW, _HIGH = -62135596800_000000, 253402300799_999999
 ROW = "version int, random long, ts timestamp, level string, props array<struct<key:string,value:string>>, msg string"
@@ -38,7 +38,7 @@ def encode_record(version: int, micros: int, random: int, level: str, props: lis
 
 
 def decode_records(data: bytes) -> tuple[list[tuple], int]:
-    """Rows of ROW until the data ends, and the bytes skipped: after a bad time or level reading resumes one byte on."""
+    """Rows of ROW, with times in microseconds, until the data ends, and the bytes skipped: after a bad time or level reading resumes one byte on."""
     rows, skipped, at, n = [], 0, 0, len(data)
     while at + _HEAD.size <= n:
         version, micros, random, level, count = _HEAD.unpack_from(data, at)
@@ -56,27 +56,33 @@ def decode_records(data: bytes) -> tuple[list[tuple], int]:
         size = _LENGTH.unpack_from(data, pos)[0]
         msg = data[pos + 4 : pos + 4 + size].decode("utf-8", "replace")
         at = pos + 4 + size
-        rows.append((version, random, _EPOCH + timedelta(microseconds=micros), LEVELS[level - 1] if level else "unknown", list(zip(texts[::2], texts[1::2], strict=True)), msg))
+        rows.append((version, random, micros, LEVELS[level - 1] if level else "unknown", list(zip(texts[::2], texts[1::2], strict=True)), msg))
     return rows, skipped
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["version", "random", "ts", "level", "props", "msg"])
-    out["props"] = [[{"key": k, "value": v} for k, v in p] for p in out["props"]]
-    return out
+def _table(rows: list[tuple], path: str) -> pa.RecordBatch:
+    version, random, micros, level, props, msg = zip(*rows, strict=True)
+    pairs = [p for x in props for p in x]
+    items = pa.StructArray.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["key", "value"])
+    ends = np.cumsum([0, *map(len, props)]).astype(np.int32)
+    columns = [
+        pa.array(version, pa.int32()), pa.array(random, pa.int64()), pa.array(micros, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(level, pa.string()),
+        pa.ListArray.from_arrays(pa.array(ends), items), pa.array(msg, pa.string()), pa.array([path] * len(rows), pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["version", "random", "ts", "level", "props", "msg", "path"])
 
 
 def decode_contents(files: DataFrame, content: str = "content", name: str = "path") -> DataFrame:
     """Rows of ROW from a binary column, with the name column of their file; one file is one row of files."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for where, data in zip(batch["_name"], batch["_data"], strict=True):
-                rows, _ = decode_records(bytes(data))
+            for where, data in zip(batch.column("_name").to_pylist(), batch.column("_data"), strict=True):
+                rows, _ = decode_records(data.as_py() or b"")
                 for at in range(0, len(rows), 20_000):
-                    yield _frame(rows[at : at + 20_000]).assign(path=where)
+                    yield _table(rows[at : at + 20_000], where)
 
-    return files.select(F.col(name).alias("_name"), F.col(content).alias("_data")).mapInPandas(run, f"{ROW}, path string")
+    return files.select(F.col(name).alias("_name"), F.col(content).alias("_data")).mapInArrow(run, f"{ROW}, path string")
 
 
 def decode_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -98,19 +104,20 @@ def skipped_bytes(spark: SparkSession, path: str) -> DataFrame:
 def encode_batches(logs: DataFrame, rows: int = 10_000) -> DataFrame:
     """(path, content): each task packs its logs, in the order it has them, into batches of up to `rows` records."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, len(batch), rows):
-                part = batch.iloc[at : at + rows]
-                columns = (part[c] for c in ("version", "micros", "random", "level", "props", "msg"))
-                data = b"".join(encode_record(v, m, r, lv, [(x["key"], x["value"]) for x in p], s) for v, m, r, lv, p, s in zip(*columns, strict=True))
-                yield pd.DataFrame({"path": [f"{task:05d}-{k:05d}.ready"], "content": [data]})
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                part = whole.slice(at, rows)
+                columns = [part.column(c).to_pylist() for c in ("version", "micros", "random", "level", "keys", "values", "msg")]
+                data = b"".join(encode_record(v, m, r, lv, list(zip(ks, vs, strict=True)), s) for v, m, r, lv, ks, vs, s in zip(*columns, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task:05d}-{k:05d}.ready"]), pa.array([data], pa.binary())], ["path", "content"])
                 k += 1
 
-    return logs.select("version", F.unix_micros("ts").alias("micros"), "random", "level", "props", "msg").mapInPandas(run, "path string, content binary")
+    text = lambda part: F.transform("props", lambda p: p[part])
+    return logs.select("version", F.unix_micros("ts").alias("micros"), "random", "level", text("key").alias("keys"), text("value").alias("values"), "msg").mapInArrow(run, "path string, content binary")
 
 
 def pack_segments(files: DataFrame, magic: bytes, level: int = 9) -> DataFrame:

@@ -26,7 +26,7 @@ def encode(rows):
 def test_records():
     data = encode(ROWS)
     rows, skipped = B.decode_records(data)
-    assert skipped == 0 and [(r[2], r[3], r[4], r[5]) for r in rows] == [(t, lv, p, m) for t, lv, p, m in ROWS]
+    assert skipped == 0 and [(r[2], r[3], r[4], r[5]) for r in rows] == [(micros(t), lv, p, m) for t, lv, p, m in ROWS]
     rows, skipped = B.decode_records(data[:-1])
     assert len(rows) == 2
     bad = bytearray(data)
