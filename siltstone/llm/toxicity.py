@@ -1,13 +1,16 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, with isotonic calibration.
 
-The features are rates, so a text's length alone says little: densities of insult words (as written, and after
-undoing obfuscation), insults near a second-person pronoun, capitals, punctuation and obfuscated words.
+The features are mostly rates: densities of lexicon words (a fixed list, as written and after undoing obfuscation, and a
+lexicon of word beginnings learnt from labels, so that it covers any language and inflection), lexicon words near a
+second-person pronoun, capitals, punctuation and obfuscated words. The lexicon, the trees and the calibration are
+learnt from different labelled rows, so that none trusts what another has memorised.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,16 @@ SECOND_PERSON = frozenset("you your yours yourself u ur youre du dich dir dein d
 NEAR = 4
 #: Characters that stand for letters in obfuscated words.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None})
-FEATURES = ("insults", "insult_count", "contempt", "near_second_person", "second_person", "capital_words", "capital_letters", "exclamations", "questions", "punctuation_runs", "obfuscated", "obfuscated_insults", "words")
+FEATURES = ("insults", "insult_count", "contempt", "learnt", "learnt_count", "learnt_distinct", "learnt_strongest", "near_second_person", "second_person", "capital_words", "capital_letters", "exclamations", "questions", "punctuation_runs", "obfuscated", "obfuscated_insults", "words")
 
-#: Labelled rows that the trees and the calibration are fitted on at most: rows are taken by a hash of their id.
+#: Labelled rows that the lexicon, the trees and the calibration are fitted on at most: rows are taken by a hash of their id.
 MAX_TRAINING_ROWS = 40_000
+#: Fifths of these rows from which the lexicon is learnt, the trees are grown, and scores are calibrated.
+FOLDS = {"lexicon": (0, 1), "trees": (2, 3), "calibration": (4,)}
+#: A learnt entry is a word beginning of so many letters, in so many toxic rows at least, with log-odds of at least so much.
+STEM, MIN_TOXIC, MIN_ODDS = (3, 8), 4, 2.5
+#: Entries of the learnt lexicon at most: those of the greatest log-odds times toxic rows.
+LEXICON_SIZE = 3_000
 TREES, DEPTH, STEP = 20, 3, 0.3
 THRESHOLD = 0.7
 
@@ -37,7 +46,51 @@ _MIXED = re.compile(r"[^\W\d_][0-9@$!*._-]+[^\W\d_]")
 _RUN = re.compile(r"[!?]{2,}|([^\w\s])\1+")
 
 
-def features(text: str | None) -> list[float]:
+def stems(text: str | None) -> set[str]:
+    """The word beginnings of a text."""
+    low, high = STEM
+    words = {w.lower()[:high] for w in _WORD.findall(text or "")}
+    return {w[:k] for w in words for k in range(low, len(w) + 1)}
+
+
+class Lexicon:
+    """Learnt word beginnings with their log-odds."""
+
+    def __init__(self, odds: dict[str, float]):
+        self.odds = odds
+        self.first = frozenset(w[: STEM[0]] for w in odds)
+
+    def weight(self, word: str) -> float:
+        """Greatest log-odds among the word's beginnings; 0 without one."""
+        if word[: STEM[0]] not in self.first:
+            return 0.0
+        return max((self.odds.get(word[:k], 0.0) for k in range(STEM[0], min(len(word), STEM[1]) + 1)), default=0.0)
+
+
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Log-odds of the word beginnings of labelled rows (_text, label). Tasks count before they shuffle; the driver gets at
+    most LEXICON_SIZE entries."""
+    totals = rows.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).first()
+    if not totals["t"] or not totals["c"]:
+        return {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                toxic, clean = Counter(), Counter()
+                for text, label in zip(part["_text"], part["label"], strict=True):
+                    (toxic if label else clean).update(stems(text))
+                words = list(toxic.keys() | clean.keys())
+                yield pd.DataFrame({"stem": words, "t": [toxic[w] for w in words], "c": [clean[w] for w in words]})
+
+    counts = rows.mapInPandas(run, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (totals["t"] + 1)) - F.log((F.col("c") + 0.5) / (totals["c"] + 1))
+    best = counts.where(F.col("t") >= MIN_TOXIC).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
+    return {r["stem"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.col("t")), "stem").limit(LEXICON_SIZE).collect()}
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The FEATURES of a whole text; a null text counts as empty, whose rates are all 0."""
     text = text or ""
     written = _WORD.findall(text)
@@ -46,10 +99,11 @@ def features(text: str | None) -> list[float]:
     insult_at = [i for i, w in enumerate(words) if w in INSULTS]
     contempt_at = [i for i, w in enumerate(words) if w in CONTEMPT]
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    learnt = [(i, w, x) for i, w in enumerate(words) if w[: STEM[0]] in lexicon.first and (x := lexicon.weight(w))]
     near = 0
     if second:
         at = np.array(second)
-        for i in insult_at + contempt_at:
+        for i in {*insult_at, *contempt_at, *(i for i, _, _ in learnt)}:
             k = int(np.searchsorted(at, i))
             near += any(0 <= j < len(at) and abs(int(at[j]) - i) <= NEAR for j in (k - 1, k))
     mixed = hidden = 0
@@ -62,18 +116,21 @@ def features(text: str | None) -> list[float]:
     letters = max(sum(map(len, written)), 1)
     capitals = sum(1 for c in text if c.isupper()) if not text.islower() else 0
     return [
-        len(insult_at) / n, math.log1p(len(insult_at) + len(contempt_at)), len(contempt_at) / n, near / n, len(second) / n,
+        len(insult_at) / n, math.log1p(len(insult_at) + len(contempt_at)), len(contempt_at) / n,
+        sum(x for _, _, x in learnt) / n, math.log1p(len(learnt)), math.log1p(len({w for _, w, _ in learnt})), max((x for _, _, x in learnt), default=0.0),
+        near / n, len(second) / n,
         sum(1 for w in written if len(w) > 1 and w.isupper()) / n, capitals / letters, text.count("!") / n, text.count("?") / n,
         sum(1 for _ in _RUN.finditer(text)) / n, mixed / n, hidden / n, math.log1p(len(words)),
     ]
 
 
-def text_features(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def text_features(df: DataFrame, odds: dict[str, float], id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, features array<double>) per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(odds)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["_id"], "features": [features(t) for t in batch["_text"]]})
+            yield pd.DataFrame({"doc_id": batch["_id"], "features": [features(t, lexicon) for t in batch["_text"]]})
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(df[id_column].alias("_id"), df[text].alias("_text")).mapInPandas(run, f"doc_id {kind}, features array<double>")
@@ -88,8 +145,8 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     """One row per row of df: doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on).
 
     labels: (doc_id, toxic). Null labels count as none; of several for one id the largest holds. Rows with a null id
-    are scored and never learnt from. Of the labelled rows that aren't held out, a quarter calibrates and the rest
-    grows the trees. Without two classes to learn from, every score is the share of label 1 (0 without labels).
+    are scored and never learnt from. Of the labelled rows that aren't held out, two fifths give the
+    lexicon, two grow the trees and one calibrates. Without two classes to learn from, every score is the share of label 1 (0 without labels).
     Empty, null, repeated and very long texts are scored like others; an empty df gives no rows; further columns
     aren't read.
     """
@@ -97,15 +154,19 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = materialize(text_features(df, id_column, text), "toxicity")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     known = known.where(~held_out(F.col("doc_id")))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1_000_000))
     total = known.count()
     if total > max_training_rows:
         known = known.where(share < int(1_000_000 * max_training_rows / total))
-    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(4)) == 0
-    training = materialize(rows.join(known, "doc_id").select("features", "label", fold.alias("calibrates")), "training")
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(5))
+    known = materialize(known.withColumn("fold", fold), "known")
+    texts = df.select(df[id_column].alias("doc_id"), df[text].alias("_text")).join(F.broadcast(known), "doc_id")  # at most max_training_rows
+    odds = learn_lexicon(texts.where(F.col("fold").isin(*FOLDS["lexicon"])).select("_text", "label"))
+    rows = materialize(text_features(df, odds, id_column, text), "toxicity")
+    learnt = known.where(F.col("fold").isin(*FOLDS["trees"], *FOLDS["calibration"]))
+    training = materialize(rows.join(F.broadcast(learnt), "doc_id").select("features", "label", F.col("fold").isin(*FOLDS["calibration"]).alias("calibrates")), "training")
     training = training.select(array_to_vector("features").alias("vector"), "label", "calibrates")
     seen = training.agg(
         F.count("*").alias("n"), F.avg("label").alias("mean"), F.count(F.when(F.col("calibrates"), 1)).alias("c"),

@@ -373,23 +373,26 @@ def test_toxicity(spark):
 
     rnd = random.Random(2)
     texts, toxic = [], []
-    for i in range(400):
+    for i in range(800):
         bad = i % 4 == 0
         words = prose(i, 60).split()
-        if bad:
+        if i % 8 == 0:  # words of no list
+            for w in ("grunzak", "grunzelt", "grunz"):
+                words.insert(rnd.randrange(len(words)), w)
+        elif bad:
             for w in rnd.sample(["idiot", "scum", "pathetic", "loser", "trash"], 3):
                 words.insert(rnd.randrange(len(words)), w)
         texts.append(" ".join(words))
         toxic.append(int(bad))
     df = documents(spark, texts + ["NULL", "", LONG, "NOID"])
-    labels = spark.createDataFrame([(i, t, 1) for i, t in enumerate(toxic)] + [(0, 1, 1), (400, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    labels = spark.createDataFrame([(i, t, 1) for i, t in enumerate(toxic)] + [(0, 1, 1), (800, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
     out = toxicity_scores(df, labels).toPandas().set_index("doc_id")
-    assert len(out) == 404 and out["score"].between(0, 1).all()
-    for i in range(400):
+    assert len(out) == 804 and out["score"].between(0, 1).all()
+    for i in range(800):
         assert bool(out.loc[i, "held_out"]) == (binascii.crc32(str(i).encode()) % 3 == 1)
         assert out.loc[i, "predicted"] == int(out.loc[i, "score"] >= 0.7)
     out.index = [-1 if i != i else int(i) for i in out.index]
-    held = out.loc[range(400)][out.loc[range(400), "held_out"]]
+    held = out.loc[range(800)][out.loc[range(800), "held_out"]]
     assert (held["predicted"] == [toxic[i] for i in held.index]).mean() > 0.97
     twisted = labels.where("doc_id IS NOT NULL").selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic")
     assert toxicity_scores(df, twisted).toPandas().sort_values(["doc_id", "score"])["score"].tolist() == toxicity_scores(df, labels).toPandas().sort_values(["doc_id", "score"])["score"].tolist()
@@ -398,8 +401,10 @@ def test_toxicity(spark):
 
 
 def test_toxicity_features():
-    from siltstone.llm.toxicity import FEATURES, features
+    from siltstone.llm.toxicity import FEATURES, Lexicon, features, stems
 
-    f = dict(zip(FEATURES, features("You are an IDIOT!! 1d10t m0ron"), strict=True))
+    f = dict(zip(FEATURES, features("You are an IDIOT!! 1d10t m0ron, loweischaft", Lexicon({"lowei": 3.0})), strict=True))
+    assert len(f) == len(FEATURES) and f["learnt_strongest"] == 3.0 and f["learnt"] > 0
     assert f["insults"] > 0 and f["near_second_person"] > 0 and f["capital_words"] > 0 and f["exclamations"] > 0 and f["obfuscated_insults"] > 0 and f["punctuation_runs"] > 0
-    assert set(features(None)) == {0.0} == set(features(""))
+    assert set(features(None, Lexicon({}))) == {0.0} == set(features("", Lexicon({})))
+    assert stems("Ab abcd é") == {"abc", "abcd"}
