@@ -6,8 +6,10 @@ common prefix of MIN_DEPTH or more, are its candidates. How deep a prefix a cand
 the region: where many documents share short prefixes, the neighbours share longer ones. The orders are
 made by range partitioning on the whole key, so a crowded region is split over tasks like any other.
 
-Candidates are confirmed on the full shingle sets in two passes: first each document's best one; then, of the
-others, only pairs whose documents aren't yet in one component. Equal sets are one class throughout.
+Candidates are confirmed on the full shingle sets in passes: first each document's best one; then, of the others, only
+pairs whose documents aren't yet in one component. Last, the regions with more documents than REACH covers are searched
+whole: in each, pairs of different components whose signatures agree are confirmed, the best of each document and
+component first and more in each round, until no pair is left. Equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from siltstone.llm.components import connected_components
 HASHES, TREES, DEPTH, MIN_DEPTH, REACH = 128, 24, 12, 4, 4
 #: Signatures must agree on so large a share, 4 standard deviations below the threshold of 0.8.
 AGREE = 0.66
+#: Rows of a region that are searched whole; larger regions are cut at deeper prefixes.
+REGION_ROWS = 20_000
+#: Candidates of a document in another component that the first round confirms; each further round takes 8 times as many.
+FIRST_BEST = 8
 SEED = 20240501
 
 
@@ -103,9 +109,15 @@ def signatures(df: DataFrame, id_column: str, text: str, width: int) -> DataFram
     )
 
 
-def forest_candidates(classes: DataFrame, ratio: float) -> DataFrame:
-    """(a, b, depth): neighbouring classes (a < b) of the forest's orders with their longest common prefix.
-    classes: (doc_id, n_shingles, signature), stored. Pairs whose sizes rule out the similarity are left out."""
+def _regions(parts: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """Number of each key's region: its order and its first MIN_DEPTH components."""
+    with np.errstate(over="ignore"):
+        start = np.ascontiguousarray(parts[:, :MIN_DEPTH]).view(np.uint64).ravel()
+        return ((start + tree.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _orders(classes: DataFrame, with_region: bool) -> DataFrame:
+    """A row per class and order: (tree, key, doc_id, n), or (region, key, doc_id)."""
     kind = classes.schema["doc_id"].dataType.simpleString()
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,33 +128,105 @@ def forest_candidates(classes: DataFrame, ratio: float) -> DataFrame:
                 for t in range(TREES):
                     rows = np.ascontiguousarray(parts[:, trees[t]])
                     packed = rows.tobytes()
-                    yield pd.DataFrame({
-                        "tree": np.int32(t), "key": [packed[i : i + 2 * DEPTH] for i in range(0, len(packed), 2 * DEPTH)],
-                        "doc_id": batch["doc_id"].to_numpy(), "n": batch["n_shingles"].to_numpy(),
-                    })
+                    out = {"key": [packed[i : i + 2 * DEPTH] for i in range(0, len(packed), 2 * DEPTH)], "doc_id": batch["doc_id"].to_numpy()}
+                    if with_region:
+                        yield pd.DataFrame({"region": _regions(rows, np.full(len(rows), t)), **out})
+                    else:
+                        yield pd.DataFrame({"tree": np.int32(t), **out, "n": batch["n_shingles"].to_numpy()})
+
+    return classes.mapInPandas(keys, f"region long, key binary, doc_id {kind}" if with_region else f"tree int, key binary, doc_id {kind}, n long")
+
+
+def scan_orders(classes: DataFrame, ratio: float) -> DataFrame:
+    """Neighbouring classes (a < b) of the forest's orders with their common prefix, as (a, b, depth); and the regions' sizes, as
+    (region, run), to be summed. classes: (doc_id, n_shingles, signature), stored. Pairs whose sizes rule out the
+    similarity are left out."""
+    kind = classes.schema["doc_id"].dataType.simpleString()
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, run, first = None, None, True
         for batch in batches:
+            if not len(batch):
+                continue
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             old = 0 if rest is None else len(rest)
-            if len(rows) > 1:
-                parts = np.frombuffer(b"".join(rows["key"]), ">u2").reshape(len(rows), DEPTH)
-                tree, ids, n = rows["tree"].to_numpy(), rows["doc_id"].to_numpy(), rows["n"].to_numpy()
-                for j in range(1, min(REACH, len(rows) - 1) + 1):
-                    at = np.arange(max(0, old - j), len(rows) - j)
-                    depth = np.cumprod(parts[at] == parts[at + j], axis=1).sum(axis=1)
-                    small, large = np.minimum(n[at], n[at + j]), np.maximum(n[at], n[at + j])
-                    keep = (tree[at] == tree[at + j]) & (depth >= MIN_DEPTH) & (small >= ratio * large) & (ids[at] != ids[at + j])
-                    at, depth = at[keep], depth[keep]
-                    yield pd.DataFrame({"a": np.minimum(ids[at], ids[at + j]), "b": np.maximum(ids[at], ids[at + j]), "depth": depth.astype(np.int32)})
+            parts = np.frombuffer(b"".join(rows["key"]), ">u2").reshape(len(rows), DEPTH)
+            tree, ids, n = rows["tree"].to_numpy(), rows["doc_id"].to_numpy(), rows["n"].to_numpy()
+            for j in range(1, min(REACH, len(rows) - 1) + 1):
+                at = np.arange(max(0, old - j), len(rows) - j)
+                depth = np.cumprod(parts[at] == parts[at + j], axis=1).sum(axis=1)
+                small, large = np.minimum(n[at], n[at + j]), np.maximum(n[at], n[at + j])
+                keep = (tree[at] == tree[at + j]) & (depth >= MIN_DEPTH) & (small >= ratio * large) & (ids[at] != ids[at + j])
+                at, depth = at[keep], depth[keep]
+                yield pd.DataFrame({"a": np.minimum(ids[at], ids[at + j]), "b": np.maximum(ids[at], ids[at + j]), "depth": depth.astype(np.int32), "region": 0, "run": 0})
+            regions = _regions(parts[old:], tree[old:])
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(regions)) + 1])
+            names, sizes = regions[starts], np.diff(np.concatenate([starts, [len(regions)]]))
+            if run is not None:
+                if names[0] == run[0]:
+                    sizes[0] += run[1]
+                else:
+                    names, sizes = np.concatenate([[run[0]], names]), np.concatenate([[run[1]], sizes])
+            run = (names[-1], sizes[-1])
+            # a run at a border of the partition may go on in the next one, so it counts whatever its size
+            whole = sizes[:-1] > 1
+            if first and len(whole):
+                whole[0], first = True, False
+            yield pd.DataFrame({"a": pd.array([None] * int(whole.sum()), "Int64"), "b": pd.array([None] * int(whole.sum()), "Int64"), "depth": 0, "region": names[:-1][whole], "run": sizes[:-1][whole]})
             rest = rows.iloc[-REACH:]
+        if run is not None:
+            yield pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "depth": 0, "region": [run[0]], "run": [run[1]]})
 
-    orders = classes.mapInPandas(keys, f"tree int, key binary, doc_id {kind}, n long")
     parts = shuffle_partitions(classes.sparkSession)
-    ordered = orders.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    found = ordered.mapInPandas(neighbours, f"a {kind}, b {kind}, depth int")
-    return found.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.count("*").alias("orders"))
+    ordered = _orders(classes, False).repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
+    return ordered.mapInPandas(neighbours, f"a {kind}, b {kind}, depth int, region long, run long")
+
+
+def crowded_rows(classes: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, doc_id, key) of the classes in regions (region), stored."""
+    rows = _orders(classes.select("doc_id", "n_shingles", "signature"), True)
+    return materialize(semi_by_ids(rows, regions, "region"), "crowded")
+
+
+def region_pairs(rows: DataFrame, marks: DataFrame, stars: DataFrame, best: int, ratio: float) -> DataFrame:
+    """(a, b) of different components in one region whose signatures agree, of each document the `best` in any other component;
+    and a row of nulls where there were more. rows: crowded_rows; marks: (doc_id, n_shingles, signature); stars: the
+    components so far. Regions of a single component are left out before signatures are met."""
+    named = rows.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("_least")), "doc_id", "left")
+    named = named.select("region", "key", "doc_id", F.coalesce("_least", "doc_id").alias("component"))
+    done = None
+    for depth in range(MIN_DEPTH, DEPTH + 1):
+        sizes = named.groupBy("region").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+        sizes = materialize(sizes.where("_low <> _high").select("region", "_n"), "regions")
+        fits = named.join(sizes.where(F.col("_n") <= REGION_ROWS).select("region") if depth < DEPTH else sizes.select("region"), "region").select("region", "doc_id", "component")
+        done = fits if done is None else done.unionByName(fits)
+        if depth == DEPTH or sizes.where(F.col("_n") > REGION_ROWS).isEmpty():
+            break
+        named = named.join(sizes.where(F.col("_n") > REGION_ROWS).select("region"), "region").withColumn("region", F.xxhash64("region", F.substring("key", 1, 2 * (depth + 1))))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def pairs(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("doc_id")
+        signature = np.frombuffer(b"".join(batch["signature"]), ">u2").reshape(len(batch), HASHES)
+        ids, component, n = batch["doc_id"].to_numpy(), batch["component"].to_numpy(), batch["n_shingles"].to_numpy()
+        names, sizes = np.unique(component, return_counts=True)
+        largest = component == names[sizes.argmax()]
+        out, more = [], False
+        for i in np.flatnonzero(~largest):  # pairs within the largest component are none
+            other = (component != component[i]) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i]))
+            at = np.flatnonzero(other & (largest | (np.arange(len(ids)) > i)))
+            agree = (signature[at] == signature[i]).mean(axis=1)
+            at, agree = at[agree >= AGREE], agree[agree >= AGREE]
+            order = np.lexsort((-agree, component[at]))
+            at = at[order]
+            starts = np.flatnonzero(np.concatenate([[True], component[at][1:] != component[at][:-1]])) if len(at) else []
+            rank = np.arange(len(at)) - np.repeat(starts, np.diff([*starts, len(at)])) if len(at) else at
+            more = more or bool((rank >= best).any())
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in at[rank < best]]
+        found = pd.DataFrame(out, columns=["a", "b"], dtype="Int64")
+        return pd.concat([found, pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64")})]) if more else found
+
+    return done.join(marks, "doc_id").groupBy("region").applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -176,8 +260,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     component_id is null and kept is true. Other columns aren't read. A neighbour pair that a partition's
     border cuts in one order is met in the others.
 
-    A link of similarity s is missed with probability (1 - s ** MIN_DEPTH) ** TREES at most where regions aren't
-    crowded: 3e-6 at 0.8.
+    A link of similarity s is missed with probability (1 - s ** MIN_DEPTH) ** TREES: 3e-6 at 0.8. That holds for regions of up
+    to REGION_ROWS rows; larger ones are cut at deeper prefixes, so there s ** (the depth) takes its place.
     """
     docs = materialize(signatures(df, id_column, text, width), "signatures")
     usable = docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -185,7 +269,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     classes = materialize(classes, "classes")
     texts = df.select(df[id_column].alias("doc_id"), df[text].alias("text"))
 
-    found = materialize(forest_candidates(classes.select("doc_id", "n_shingles", "signature"), percent / 100), "candidates")
+    scanned = materialize(scan_orders(classes.select("doc_id", "n_shingles", "signature"), percent / 100), "scan")
+    found = materialize(scanned.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("depth").alias("depth"), F.count("*").alias("orders")), "candidates")
     ends = found.select("a", "b", "depth", "orders", F.col("a").alias("v")).union(found.select("a", "b", "depth", "orders", F.col("b").alias("v")))
     best = ends.groupBy("v").agg(F.max(F.struct("orders", "depth", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("x"))
     first = materialize(best.select((-F.col("x.na")).alias("a"), (-F.col("x.nb")).alias("b")).distinct(), "pairs")
@@ -198,7 +283,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
         .where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
         .join(first.withColumn("_seen", F.lit(True)), ["a", "b"], "left_anti")
     )
-    marks = classes.groupBy("doc_id").agg(F.first("signature").alias("signature"))
+    marks = classes.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     sig = lambda side: marks.select(F.col("doc_id").alias(side), F.col("signature").alias(f"_s{side}"))
     kind = classes.schema["doc_id"].dataType.simpleString()
 
@@ -212,6 +297,19 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     more = materialize(confirm(second, texts, width, percent), "links")
     stars = connected_components(stars.unionByName(more))
 
+    crowds = scanned.where("a IS NULL").groupBy("region").agg(F.sum("run").alias("n")).where(F.col("n") > REACH + 1).select("region")
+    crowd = crowded_rows(classes, materialize(crowds, "crowds"))
+    tested, best_of = first.unionByName(second), FIRST_BEST
+    while True:
+        got = materialize(region_pairs(crowd, marks, stars, best_of, percent / 100), "region-pairs")
+        fresh = materialize(got.where("a IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            stars = connected_components(stars.unionByName(materialize(confirm(fresh, texts, width, percent), "links")))
+            tested = tested.unionByName(fresh)
+        if got.where("a IS NULL").isEmpty():
+            break
+        best_of *= 8
+
     named = classes.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("_least")), "doc_id", "left")
     named = named.select(F.col("set_hash"), F.coalesce("_least", "doc_id").alias("_component"))
     out = docs.join(named, "set_hash", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")))
