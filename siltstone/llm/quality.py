@@ -36,7 +36,7 @@ FEATURES = {"mean_word": 0.03, "symbol_share": 0.25, "dup_share": 0.15, "repeat_
 CHI_MEDIAN, CHI_975 = 4.3515, 12.8325
 #: Squared distance beyond which a document is rejected. Far in the tail on purpose: clean prose has longer
 #: tails than a normal law.
-CUTOFF = 60.0
+CUTOFF = 90.0
 
 
 def _strip(text: Column, chars: str) -> Column:
