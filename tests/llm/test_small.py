@@ -408,3 +408,20 @@ def test_toxicity_features():
     assert f["insults"] > 0 and f["near_second_person"] > 0 and f["capital_words"] > 0 and f["exclamations"] > 0 and f["obfuscated_insults"] > 0 and f["punctuation_runs"] > 0
     assert set(features(None, Lexicon({}))) == {0.0} == set(features("", Lexicon({})))
     assert stems("Ab abcd é") == {"abc", "abcd"}
+
+
+def test_crowded_regions(spark):
+    """More similar documents than a document has neighbours, some of them at the threshold."""
+    from siltstone.llm.neardup import near_duplicates
+
+    rnd = random.Random(8)
+    base = prose(77, 260).split()
+    texts = []
+    for k in range(70):
+        words = list(base)
+        for j in rnd.sample(range(len(words)), 4 if k % 3 else 13):
+            words[j] = f"x{k}y{j}"
+        texts.append(" ".join(words))
+    out = by_id(near_duplicates(documents(spark, texts)))
+    roots, _ = brute_components(list(range(70)), texts)
+    assert {i: out[i]["component_id"] for i in range(70)} == roots
