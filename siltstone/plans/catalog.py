@@ -403,10 +403,14 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.assign_templates(turns.dropDuplicates(["conv_id", "turn"]), ["conv_id", "turn"])
 
 
-@register("a11_template_counts", LOGS + _TEMPLATES + "SELECT template_id, count(*) AS count, (SELECT count(DISTINCT template_id) FROM parsed) AS templates FROM parsed GROUP BY template_id")
+@register("a11_template_counts", LOGS + _TEMPLATES + "SELECT template_id, count(*) AS count FROM parsed GROUP BY template_id")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = parsed(spark, sf_dir)
-    return A.template_counts(lines).crossJoin(F.broadcast(A.template_total(lines)))  # one row
+    return A.template_counts(parsed(spark, sf_dir))
+
+
+@register("a11_template_total", LOGS + _TEMPLATES + "SELECT count(DISTINCT template_id) AS templates FROM parsed")
+def a11_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.template_total(parsed(spark, sf_dir))
 
 
 @register("w1_cut_segments", CHUNKS + "SELECT random, device_id, chunk FROM chunks")
