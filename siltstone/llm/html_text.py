@@ -44,6 +44,7 @@ IMPLIED = {
 SCOPE = frozenset("table td th caption html template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -65,7 +66,6 @@ def parse(source: str) -> Node:
         del stack[at:]
 
     pos, n = 0, len(source)
-    lower = None
     while pos < n:
         match = _TOKEN.search(source, pos)
         if not match:
@@ -124,9 +124,7 @@ def parse(source: str) -> Node:
             node = Node(tag, attributes)
             stack[-1].children.append(node)
             if tag in RAW:
-                if lower is None:
-                    lower = source.lower()
-                end = lower.find(f"</{tag}", pos)
+                end = found.start() if (found := _RAW_END[tag].search(source, pos)) else -1
                 inner = source[pos : end if end >= 0 else n]
                 node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
                 close = source.find(">", end) if end >= 0 else -1

@@ -19,7 +19,7 @@ from siltstone.llm.html_text import html_text, render
     ("<title>t</title><body>a &amp; b&nbsp;&eacute;</body>", "a & b\xa0é"), ("<pre>a  b\n c</pre>d", "a  b\n c\n\nd"), ("<b>a</b><i>b</i> c", "ab c"),
     ("<details><summary>s</summary>x</details><details open><summary>t</summary>y</details>", "s\nt\ny"), ("<dl><dt>a<dd>b<dt>c</dl>", "a\n  b\nc"), ("a</div></p>b < c", "a\n\nb < c"),
     ("<blockquote>a<p>b</blockquote>", "  a\n\n  b"), ("<div>" * 5000 + "deep", "deep"), ("<input value=x><img alt=y>z", "z"), ("<a href='x>y'>l</a>", "l"), ("<p>a<table><tr><td>b</table>", "a\n\nb"),
-    ("<h1>T</h1>x", "T\n\nx"), ("<select><option>a<option>b</select>", "a\nb"), ("<textarea><b>x</textarea>", "<b>x"), ("<!doctype html><html><head><meta charset=x><p>a", "a"),
+    ("<h1>T</h1>x", "T\n\nx"), ("İİİİ<SCRIPT>no</Script >yes", "İİİİyes"), ("<select><option>a<option>b</select>", "a\nb"), ("<textarea><b>x</textarea>", "<b>x"), ("<!doctype html><html><head><meta charset=x><p>a", "a"),
 ])
 def test_render(source, text):
     if source == "a</div></p>b < c":
