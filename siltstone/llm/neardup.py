@@ -8,8 +8,8 @@ made by range partitioning on the whole key, so a crowded region is split over t
 
 Candidates are confirmed on the full shingle sets in passes: first each document's best one; then, of the others, only
 pairs whose documents aren't yet in one component. Last, the regions with more documents than REACH covers are searched
-whole: in each, pairs of different components whose signatures agree are confirmed, the best of each document and
-component first and more in each round, until no pair is left. Equal sets are one class throughout.
+whole: in each, all pairs of different components whose signatures agree are confirmed, in one task and without sending
+pairs around. Equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -29,9 +29,7 @@ HASHES, TREES, DEPTH, MIN_DEPTH, REACH = 128, 24, 12, 4, 4
 #: Signatures must agree on so large a share, 4 standard deviations below the threshold of 0.8.
 AGREE = 0.66
 #: Rows of a region that are searched whole; larger regions are cut at deeper prefixes.
-REGION_ROWS = 20_000
-#: Candidates of a document in another component that the first round confirms; each further round takes 8 times as many.
-FIRST_BEST = 8
+REGION_ROWS = 5_000
 SEED = 20240501
 
 
@@ -188,10 +186,11 @@ def crowded_rows(classes: DataFrame, regions: DataFrame) -> DataFrame:
     return materialize(semi_by_ids(rows, regions, "region"), "crowded")
 
 
-def region_pairs(rows: DataFrame, marks: DataFrame, stars: DataFrame, best: int, ratio: float) -> DataFrame:
-    """(a, b) of different components in one region whose signatures agree, of each document the `best` in any other component;
-    and a row of nulls where there were more. rows: crowded_rows; marks: (doc_id, n_shingles, signature); stars: the
-    components so far. Regions of a single component are left out before signatures are met."""
+def region_links(rows: DataFrame, marks: DataFrame, stars: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between components in the regions. rows: crowded_rows; marks: (doc_id, n_shingles, signature); stars: the
+    components so far. Regions of a single component are left out before signatures and texts are met. A task takes a
+    region's documents and confirms pairs of different components on the full sets, the best agreeing ones first; what a
+    link has joined isn't compared again, and only links are returned, fewer than a region has documents."""
     named = rows.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("_least")), "doc_id", "left")
     named = named.select("region", "key", "doc_id", F.coalesce("_least", "doc_id").alias("component"))
     done = None
@@ -205,28 +204,39 @@ def region_pairs(rows: DataFrame, marks: DataFrame, stars: DataFrame, best: int,
         named = named.join(sizes.where(F.col("_n") > REGION_ROWS).select("region"), "region").withColumn("region", F.xxhash64("region", F.substring("key", 1, 2 * (depth + 1))))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def pairs(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("doc_id")
+    def links(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("doc_id").drop_duplicates("doc_id")
         signature = np.frombuffer(b"".join(batch["signature"]), ">u2").reshape(len(batch), HASHES)
-        ids, component, n = batch["doc_id"].to_numpy(), batch["component"].to_numpy(), batch["n_shingles"].to_numpy()
-        names, sizes = np.unique(component, return_counts=True)
-        largest = component == names[sizes.argmax()]
-        out, more = [], False
+        ids, n, words = batch["doc_id"].to_numpy(), batch["n_shingles"].to_numpy(), batch["_w"].tolist()
+        component = np.unique(batch["component"].to_numpy(), return_inverse=True)[1]
+        sets: dict[int, np.ndarray] = {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(np.asarray(words[i], np.int64).view(np.uint64), width)
+            return sets[i]
+
+        out = []
+        largest = component == np.bincount(component).argmax()
         for i in np.flatnonzero(~largest):  # pairs within the largest component are none
-            other = (component != component[i]) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i]))
-            at = np.flatnonzero(other & (largest | (np.arange(len(ids)) > i)))
+            later = largest | (np.arange(len(ids)) > i)
+            at = np.flatnonzero(later & (component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             agree = (signature[at] == signature[i]).mean(axis=1)
-            at, agree = at[agree >= AGREE], agree[agree >= AGREE]
-            order = np.lexsort((-agree, component[at]))
-            at = at[order]
-            starts = np.flatnonzero(np.concatenate([[True], component[at][1:] != component[at][:-1]])) if len(at) else []
-            rank = np.arange(len(at)) - np.repeat(starts, np.diff([*starts, len(at)])) if len(at) else at
-            more = more or bool((rank >= best).any())
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in at[rank < best]]
-        found = pd.DataFrame(out, columns=["a", "b"], dtype="Int64")
-        return pd.concat([found, pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64")})]) if more else found
+            for j in at[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())]:
+                if component[i] == component[j]:
+                    continue
+                x, y = full(i), full(j)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((ids[i], ids[j]))
+                    component[component == component[j]] = component[i]
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    return done.join(marks, "doc_id").groupBy("region").applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
+    done = materialize(done, "region-rows")
+    needed = semi_by_ids(texts, materialize(done.select("doc_id").distinct(), "region-ids"), "doc_id")
+    met = done.join(marks, "doc_id").join(needed, "doc_id")
+    met = met.select("region", "doc_id", "component", "n_shingles", "signature", word_hashes(F.col("text")).alias("_w"))
+    return met.groupBy("region").applyInPandas(links, f"a {kind}, b {kind}").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -299,16 +309,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     crowds = scanned.where("a IS NULL").groupBy("region").agg(F.sum("run").alias("n")).where(F.col("n") > REACH + 1).select("region")
     crowd = crowded_rows(classes, materialize(crowds, "crowds"))
-    tested, best_of = first.unionByName(second), FIRST_BEST
-    while True:
-        got = materialize(region_pairs(crowd, marks, stars, best_of, percent / 100), "region-pairs")
-        fresh = materialize(got.where("a IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            stars = connected_components(stars.unionByName(materialize(confirm(fresh, texts, width, percent), "links")))
-            tested = tested.unionByName(fresh)
-        if got.where("a IS NULL").isEmpty():
-            break
-        best_of *= 8
+    links = materialize(region_links(crowd, marks, stars, texts, width, percent), "links")
+    if not links.isEmpty():
+        stars = connected_components(stars.unionByName(links))
 
     named = classes.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("_least")), "doc_id", "left")
     named = named.select(F.col("set_hash"), F.coalesce("_least", "doc_id").alias("_component"))
