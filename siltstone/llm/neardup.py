@@ -8,12 +8,13 @@ made by range partitioning on the whole key, so a crowded region is split over t
 
 Candidates are confirmed on the full shingle sets in passes: first each document's best one; then, of the others, only
 pairs whose documents aren't yet in one component. Last, the regions with more documents than REACH covers are searched
-whole: in each, all pairs of different components whose signatures agree are confirmed, in one task and without sending
-pairs around. Equal sets are one class throughout.
+whole: in each, all pairs of different components are compared on the full sets, inside tasks and without sending pairs
+around; large regions are cut into blocks, and each pair of blocks is a task's work. Equal sets are one class throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from siltstone.llm.components import connected_components
 HASHES, TREES, DEPTH, MIN_DEPTH, REACH = 128, 24, 12, 4, 4
 #: Signatures must agree on so large a share, 4 standard deviations below the threshold of 0.8.
 AGREE = 0.66
-#: Rows of a region that are searched whole; larger regions are cut at deeper prefixes.
+#: Rows of a region that are one block; larger regions are cut into blocks of about so many, of which all pairs are searched.
 REGION_ROWS = 5_000
 SEED = 20240501
 
@@ -115,7 +116,7 @@ def _regions(parts: np.ndarray, tree: np.ndarray) -> np.ndarray:
 
 
 def _orders(classes: DataFrame, with_region: bool) -> DataFrame:
-    """A row per class and order: (tree, key, doc_id, n), or (region, key, doc_id)."""
+    """A row per class and order: (tree, key, doc_id, n), or (region, doc_id, n)."""
     kind = classes.schema["doc_id"].dataType.simpleString()
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,14 +126,14 @@ def _orders(classes: DataFrame, with_region: bool) -> DataFrame:
                 parts = np.frombuffer(b"".join(batch["signature"]), ">u2").reshape(len(batch), HASHES)
                 for t in range(TREES):
                     rows = np.ascontiguousarray(parts[:, trees[t]])
-                    packed = rows.tobytes()
-                    out = {"key": [packed[i : i + 2 * DEPTH] for i in range(0, len(packed), 2 * DEPTH)], "doc_id": batch["doc_id"].to_numpy()}
+                    rest = {"doc_id": batch["doc_id"].to_numpy(), "n": batch["n_shingles"].to_numpy()}
                     if with_region:
-                        yield pd.DataFrame({"region": _regions(rows, np.full(len(rows), t)), **out})
+                        yield pd.DataFrame({"region": _regions(rows, np.full(len(rows), t)), **rest})
                     else:
-                        yield pd.DataFrame({"tree": np.int32(t), **out, "n": batch["n_shingles"].to_numpy()})
+                        packed = rows.tobytes()
+                        yield pd.DataFrame({"tree": np.int32(t), "key": [packed[i : i + 2 * DEPTH] for i in range(0, len(packed), 2 * DEPTH)], **rest})
 
-    return classes.mapInPandas(keys, f"region long, key binary, doc_id {kind}" if with_region else f"tree int, key binary, doc_id {kind}, n long")
+    return classes.mapInPandas(keys, f"region long, doc_id {kind}, n long" if with_region else f"tree int, key binary, doc_id {kind}, n long")
 
 
 def scan_orders(classes: DataFrame, ratio: float) -> DataFrame:
@@ -181,62 +182,106 @@ def scan_orders(classes: DataFrame, ratio: float) -> DataFrame:
 
 
 def crowded_rows(classes: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, doc_id, key) of the classes in regions (region), stored."""
+    """(region, doc_id, n) of the classes in regions (region), stored."""
     rows = _orders(classes.select("doc_id", "n_shingles", "signature"), True)
     return materialize(semi_by_ids(rows, regions, "region"), "crowded")
 
 
-def region_links(rows: DataFrame, marks: DataFrame, stars: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links between components in the regions. rows: crowded_rows; marks: (doc_id, n_shingles, signature); stars: the
-    components so far. Regions of a single component are left out before signatures and texts are met. A task takes a
-    region's documents and confirms pairs of different components on the full sets, the best agreeing ones first; what a
-    link has joined isn't compared again, and only links are returned, fewer than a region has documents."""
+def region_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(region, x, y, own, doc_id, component): the rows (region, doc_id, n, component; stored) dealt to the pairs of blocks (x, y)
+    in which each meets all that it can be linked with; own is the row's block, x or y.
+
+    A region of up to REGION_ROWS rows is one block. A larger one is cut by size, into bands in which documents can only be similar
+    to their own and the next band; by whether a document is in the region's largest component; and by a hash of the id, into blocks
+    of about REGION_ROWS rows. Pairs of blocks are left out only if their sizes rule out the similarity or all is one component."""
+    sizes = rows.groupBy("region").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    sizes = materialize(sizes.where("_low <> _high").select("region", (F.col("_n") > REGION_ROWS).alias("_large")), "regions")
+    one = F.lit("")
+    whole = rows.join(sizes.where(~F.col("_large")), "region").select("region", one.alias("x"), one.alias("y"), one.alias("own"), "doc_id", "component")
+    if sizes.where("_large").isEmpty():
+        return whole
+    large = rows.join(sizes.where("_large").select("region"), "region")
+    lead = large.groupBy("region", "component").agg(F.count("*").alias("_n")).groupBy("region").agg(F.max(F.struct("_n", "component")).alias("_m"))
+    lead = materialize(lead.select("region", F.col("_m.component").alias("_lead")), "regions")
+    # a little wider than the ratio, so that rounding parts no pair at the threshold by two bands
+    band = max(math.log(100 / max(percent, 1)), 1e-6) * (1 + 1e-9)
+    large = large.join(lead, "region").select(
+        "region", "doc_id", "n", "component", (F.col("component") == F.col("_lead")).cast("int").alias("_side"), F.floor(F.log("n") / band).alias("_band")
+    )
+    counts = large.groupBy("region", "_side", "_band").agg(F.ceil(F.count("*") / REGION_ROWS).alias("_blocks"))
+    large = large.join(materialize(counts, "regions"), ["region", "_side", "_band"])
+    large = materialize(large.withColumn("own", F.concat_ws(":", "_side", "_band", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")))), "blocks")
+    blocks = materialize(large.groupBy("region", "own", "_band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")), "regions")
+    side = lambda name: blocks.select("region", *[F.col(c).alias(f"{name}{c}") for c in ("own", "_band", "_low", "_high")])
+    pairs = side("x").join(side("y"), "region").where(
+        (F.col("xown") <= F.col("yown")) & (F.abs(F.col("x_band") - F.col("y_band")) <= 1) & (F.least("x_low", "y_low") != F.greatest("x_high", "y_high"))
+    ).select("region", F.col("xown").alias("x"), F.col("yown").alias("y"))
+    pairs = materialize(pairs.withColumn("own", F.explode(F.array_distinct(F.array("x", "y")))), "regions")
+    return whole.unionByName(large.join(pairs, ["region", "own"]).select("region", "x", "y", "own", "doc_id", "component"))
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each i of left with the exact sizes of its set's intersections with those of right. Shingles that many of right have are
+    counted by a matrix product, the others by their lists."""
+    lengths = np.array([len(s) for s in sets])
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(lengths)
+    owner, place = np.repeat(np.arange(len(sets)), lengths), np.full(len(sets), -1)
+    place[right] = np.arange(len(right))
+    held = place[owner] >= 0
+    order = np.argsort(shingle[held], kind="stable")
+    lists, count = place[owner[held]][order], np.bincount(shingle[held], minlength=shingle.max(initial=-1) + 1)
+    start = np.cumsum(count) - count
+    often = np.flatnonzero(count > max(16, len(right) // 16))
+    column = np.full(len(count), -1)
+    column[often] = np.arange(len(often))
+    exact = np.float32 if lengths.max(initial=0) < 2**24 else np.float64
+    dense = np.zeros((len(right), len(often)), exact)
+    among = held & (column[shingle] >= 0)
+    dense[place[owner[among]], column[shingle[among]]] = 1
+    for first in range(0, len(left), 256):
+        some = left[first : first + 256]
+        own = [shingle[ends[i] - lengths[i] : ends[i]] for i in some]
+        mine = np.zeros((len(some), len(often)), exact)
+        for k, s in enumerate(own):
+            mine[k, column[s[column[s] >= 0]]] = 1
+        for i, s, both in zip(some, own, mine @ dense.T, strict=True):
+            s = s[(column[s] < 0) & (count[s] > 0)]
+            k = count[s]
+            at = np.repeat(start[s] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            yield i, both.astype(np.int64) + np.bincount(lists[at], minlength=len(right))
+
+
+def region_links(rows: DataFrame, stars: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between components in the regions. rows: crowded_rows; stars: the components so far. Regions of a single
+    component are left out before texts are met. A task takes a pair of a region's blocks and compares the full sets of all
+    pairs of different components; what a link has joined isn't linked again, and only links are returned, fewer
+    than the blocks have documents."""
     named = rows.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("_least")), "doc_id", "left")
-    named = named.select("region", "key", "doc_id", F.coalesce("_least", "doc_id").alias("component"))
-    done = None
-    for depth in range(MIN_DEPTH, DEPTH + 1):
-        sizes = named.groupBy("region").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-        sizes = materialize(sizes.where("_low <> _high").select("region", "_n"), "regions")
-        fits = named.join(sizes.where(F.col("_n") <= REGION_ROWS).select("region") if depth < DEPTH else sizes.select("region"), "region").select("region", "doc_id", "component")
-        done = fits if done is None else done.unionByName(fits)
-        if depth == DEPTH or sizes.where(F.col("_n") > REGION_ROWS).isEmpty():
-            break
-        named = named.join(sizes.where(F.col("_n") > REGION_ROWS).select("region"), "region").withColumn("region", F.xxhash64("region", F.substring("key", 1, 2 * (depth + 1))))
+    named = materialize(named.select("region", "doc_id", "n", F.coalesce("_least", "doc_id").alias("component")), "region-rows")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def links(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("doc_id").drop_duplicates("doc_id")
-        signature = np.frombuffer(b"".join(batch["signature"]), ">u2").reshape(len(batch), HASHES)
-        ids, n, words = batch["doc_id"].to_numpy(), batch["n_shingles"].to_numpy(), batch["_w"].tolist()
+        batch = batch.sort_values("doc_id")
+        sets = [shingle_set(np.asarray(w, np.int64).view(np.uint64), width) for w in batch["_w"]]
+        ids, n = batch["doc_id"].to_numpy(), np.array([len(s) for s in sets])
         component = np.unique(batch["component"].to_numpy(), return_inverse=True)[1]
-        sets: dict[int, np.ndarray] = {}
-
-        def full(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_set(np.asarray(words[i], np.int64).view(np.uint64), width)
-            return sets[i]
-
+        if batch["x"].iloc[0] == batch["y"].iloc[0]:  # pairs within the largest component are none
+            left, right = np.flatnonzero(component != np.bincount(component).argmax()), np.arange(len(ids))
+        else:
+            left, right = (np.flatnonzero(batch["own"] == batch[c]) for c in ("x", "y"))
         out = []
-        largest = component == np.bincount(component).argmax()
-        for i in np.flatnonzero(~largest):  # pairs within the largest component are none
-            later = largest | (np.arange(len(ids)) > i)
-            at = np.flatnonzero(later & (component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            agree = (signature[at] == signature[i]).mean(axis=1)
-            for j in at[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())]:
-                if component[i] == component[j]:
-                    continue
-                x, y = full(i), full(j)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+        for i, both in overlaps(sets, left, right):
+            for j in right[(component[right] != component[i]) & (100 * both >= percent * (n[right] + n[i] - both))]:
+                if component[i] != component[j]:
                     out.append((ids[i], ids[j]))
                     component[component == component[j]] = component[i]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    done = materialize(done, "region-rows")
+    done = materialize(region_pairs(named, percent), "region-pairs")
     needed = semi_by_ids(texts, materialize(done.select("doc_id").distinct(), "region-ids"), "doc_id")
-    met = done.join(marks, "doc_id").join(needed, "doc_id")
-    met = met.select("region", "doc_id", "component", "n_shingles", "signature", word_hashes(F.col("text")).alias("_w"))
-    return met.groupBy("region").applyInPandas(links, f"a {kind}, b {kind}").distinct()
+    met = done.join(needed.select("doc_id", word_hashes(F.col("text")).alias("_w")), "doc_id")
+    return met.groupBy("region", "x", "y").applyInPandas(links, f"a {kind}, b {kind}").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,8 +315,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     component_id is null and kept is true. Other columns aren't read. A neighbour pair that a partition's
     border cuts in one order is met in the others.
 
-    A link of similarity s is missed with probability (1 - s ** MIN_DEPTH) ** TREES: 3e-6 at 0.8. That holds for regions of up
-    to REGION_ROWS rows; larger ones are cut at deeper prefixes, so there s ** (the depth) takes its place.
+    A link of similarity s shares no region with probability (1 - s ** MIN_DEPTH) ** TREES: 3e-6 at 0.8. In crowded regions, of
+    whatever size, no other link is missed; elsewhere also those whose signatures agree on less than AGREE.
     """
     docs = materialize(signatures(df, id_column, text, width), "signatures")
     usable = docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -309,7 +354,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     crowds = scanned.where("a IS NULL").groupBy("region").agg(F.sum("run").alias("n")).where(F.col("n") > REACH + 1).select("region")
     crowd = crowded_rows(classes, materialize(crowds, "crowds"))
-    links = materialize(region_links(crowd, marks, stars, texts, width, percent), "links")
+    links = materialize(region_links(crowd, stars, texts, width, percent), "links")
     if not links.isEmpty():
         stars = connected_components(stars.unionByName(links))
 

@@ -425,3 +425,33 @@ def test_crowded_regions(spark):
     out = by_id(near_duplicates(documents(spark, texts)))
     roots, _ = brute_components(list(range(70)), texts)
     assert {i: out[i]["component_id"] for i in range(70)} == roots
+
+
+def test_large_regions(spark, monkeypatch):
+    """Regions of many times the rows of a block; links at the threshold are found there too."""
+    from siltstone.llm import neardup
+
+    rnd = random.Random(5)
+    base, texts = prose(78, 400).split(), []
+    for k in range(200):  # a family at 0.75; each second text is at 0.81 to the one before
+        words = texts[-1].split() if k % 2 else list(base)
+        for j in rnd.sample(range(len(words)), 10 if k % 2 else 7):
+            words[j] = f"x{k}y{j}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(neardup, "REGION_ROWS", 8)
+    out = by_id(neardup.near_duplicates(documents(spark, texts)))
+    roots, _ = brute_components(list(range(len(texts))), texts)
+    assert len(set(roots.values())) > 50
+    assert {i: out[i]["component_id"] for i in roots} == roots
+
+
+def test_overlaps():
+    from siltstone.llm.neardup import overlaps
+
+    rnd = random.Random(3)
+    sets = [np.array(sorted(rnd.sample(range(60 if k % 3 else 4000), rnd.randrange(1, 60))), np.uint64) for k in range(300)]
+    left, right = np.arange(0, 300, 2), np.arange(5, 290)
+    found = dict(overlaps(sets, left, right))
+    assert sorted(found) == left.tolist()
+    for i in left:
+        assert found[i].tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in right]
