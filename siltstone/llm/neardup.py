@@ -31,6 +31,8 @@ HASHES, TREES, DEPTH, MIN_DEPTH, REACH = 128, 24, 12, 4, 4
 AGREE = 0.66
 #: Rows of a region that are one block; larger regions are cut into blocks of about so many, of which all pairs are searched.
 REGION_ROWS = 5_000
+#: The same for the sum of their shingles, so that a block of long documents fits a task as well.
+REGION_SHINGLES = 1_500_000
 SEED = 20240501
 
 
@@ -191,11 +193,11 @@ def region_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(region, x, y, own, doc_id, component): the rows (region, doc_id, n, component; stored) dealt to the pairs of blocks (x, y)
     in which each meets all that it can be linked with; own is the row's block, x or y.
 
-    A region of up to REGION_ROWS rows is one block. A larger one is cut by size, into bands in which documents can only be similar
+    A region of up to REGION_ROWS rows and REGION_SHINGLES shingles is one block. A larger one is cut by size, into bands in which documents can only be similar
     to their own and the next band; by whether a document is in the region's largest component; and by a hash of the id, into blocks
-    of about REGION_ROWS rows. Pairs of blocks are left out only if their sizes rule out the similarity or all is one component."""
-    sizes = rows.groupBy("region").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    sizes = materialize(sizes.where("_low <> _high").select("region", (F.col("_n") > REGION_ROWS).alias("_large")), "regions")
+    of about so much (a longer document may be one by itself). Pairs of blocks are left out only if their sizes rule out the similarity or all is one component."""
+    sizes = rows.groupBy("region").agg(F.count("*").alias("_n"), F.sum("n").alias("_s"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    sizes = materialize(sizes.where("_low <> _high").select("region", ((F.col("_n") > REGION_ROWS) | (F.col("_s") > REGION_SHINGLES)).alias("_large")), "regions")
     one = F.lit("")
     whole = rows.join(sizes.where(~F.col("_large")), "region").select("region", one.alias("x"), one.alias("y"), one.alias("own"), "doc_id", "component")
     if sizes.where("_large").isEmpty():
@@ -208,7 +210,7 @@ def region_pairs(rows: DataFrame, percent: int) -> DataFrame:
     large = large.join(lead, "region").select(
         "region", "doc_id", "n", "component", (F.col("component") == F.col("_lead")).cast("int").alias("_side"), F.floor(F.log("n") / band).alias("_band")
     )
-    counts = large.groupBy("region", "_side", "_band").agg(F.ceil(F.count("*") / REGION_ROWS).alias("_blocks"))
+    counts = large.groupBy("region", "_side", "_band").agg(F.ceil(F.greatest(F.count("*") / REGION_ROWS, F.sum("n") / REGION_SHINGLES)).alias("_blocks"))
     large = large.join(materialize(counts, "regions"), ["region", "_side", "_band"])
     large = materialize(large.withColumn("own", F.concat_ws(":", "_side", "_band", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")))), "blocks")
     blocks = materialize(large.groupBy("region", "own", "_band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")), "regions")
@@ -252,6 +254,20 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Ite
             yield i, both.astype(np.int64) + np.bincount(lists[at], minlength=len(right))
 
 
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) per row of texts (doc_id, text): the sorted distinct hashes, as long as n_shingles however long the text is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(words, width) for words in _lists(batch.column("_w"))]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "shingles"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", word_hashes(F.col("text")).alias("_w")).mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+
+
 def region_links(rows: DataFrame, stars: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links between components in the regions. rows: crowded_rows; stars: the components so far. Regions of a single
     component are left out before texts are met. A task takes a pair of a region's blocks and compares the full sets of all
@@ -263,7 +279,7 @@ def region_links(rows: DataFrame, stars: DataFrame, texts: DataFrame, width: int
 
     def links(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("doc_id")
-        sets = [shingle_set(np.asarray(w, np.int64).view(np.uint64), width) for w in batch["_w"]]
+        sets = [np.asarray(w, np.int64).view(np.uint64) for w in batch["shingles"]]
         ids, n = batch["doc_id"].to_numpy(), np.array([len(s) for s in sets])
         component = np.unique(batch["component"].to_numpy(), return_inverse=True)[1]
         if batch["x"].iloc[0] == batch["y"].iloc[0]:  # pairs within the largest component are none
@@ -280,7 +296,7 @@ def region_links(rows: DataFrame, stars: DataFrame, texts: DataFrame, width: int
 
     done = materialize(region_pairs(named, percent), "region-pairs")
     needed = semi_by_ids(texts, materialize(done.select("doc_id").distinct(), "region-ids"), "doc_id")
-    met = done.join(needed.select("doc_id", word_hashes(F.col("text")).alias("_w")), "doc_id")
+    met = done.join(shingle_sets(needed, width), "doc_id")
     return met.groupBy("region", "x", "y").applyInPandas(links, f"a {kind}, b {kind}").distinct()
 
 

@@ -455,3 +455,23 @@ def test_overlaps():
     assert sorted(found) == left.tolist()
     for i in left:
         assert found[i].tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in right]
+
+
+def test_region_blocks_are_bounded(spark, monkeypatch):
+    """Neither many copies beside one other document nor long documents come into one task, and every pair that may be a link meets."""
+    from siltstone.llm import neardup
+
+    monkeypatch.setattr(neardup, "REGION_ROWS", 10)
+    monkeypatch.setattr(neardup, "REGION_SHINGLES", 2_000)
+    rows = [(1, i, 100 + i % 7, 0) for i in range(400)] + [(1, 400, 103, 400)]  # one component and a row of another
+    rows += [(2, 1000 + i, 900 + i, 1000 + i // 2) for i in range(9)]  # few rows, many shingles
+    rows += [(3, 2000 + i, 5, 2000) for i in range(20)]  # a single component
+    df = spark.createDataFrame(rows, "region long, doc_id long, n long, component long")
+    groups = {}
+    for r in neardup.region_pairs(df, 80).collect():
+        groups.setdefault((r["region"], r["x"], r["y"]), set()).add(r["doc_id"])
+    n, component = {r[1]: r[2] for r in rows}, {r[1]: r[3] for r in rows}
+    assert max(map(len, groups.values())) <= 60 and max(sum(n[i] for i in g) for g in groups.values()) <= 7_000
+    assert all(len({component[i] for i in g}) > 1 for g in groups.values())
+    met = {(a, b) for g in groups.values() for a in g for b in g}
+    assert {(a, b) for _, a, na, ca in rows[:409] for _, b, nb, cb in rows[:409] if ca != cb and (a < 1000) == (b < 1000)} <= met
