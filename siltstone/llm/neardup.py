@@ -329,7 +329,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     with equal shingle sets, are one class from the start. Rows of one doc_id with different texts count as one
     document whose links are pooled. A row with a null doc_id can't be named: it is linked with nothing, its
     component_id is null and kept is true. Other columns aren't read. A neighbour pair that a partition's
-    border cuts in one order is met in the others.
+    border cuts is met in the search of its region.
 
     A link of similarity s shares no region with probability (1 - s ** MIN_DEPTH) ** TREES: 3e-6 at 0.8. In crowded regions, of
     whatever size, no other link is missed; elsewhere also those whose signatures agree on less than AGREE.
@@ -368,7 +368,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     more = materialize(confirm(second, texts, width, percent), "links")
     stars = connected_components(stars.unionByName(more))
 
-    crowds = scanned.where("a IS NULL").groupBy("region").agg(F.sum("run").alias("n")).where(F.col("n") > REACH + 1).select("region")
+    crowds = scanned.where("a IS NULL").groupBy("region").agg(F.sum("run").alias("n"), F.count("*").alias("runs"))
+    # a region that a partition's border cuts is searched whole, since neighbours don't meet over the border
+    crowds = crowds.where((F.col("n") > REACH + 1) | (F.col("runs") > 1)).select("region")
     crowd = crowded_rows(classes, materialize(crowds, "crowds"))
     links = materialize(region_links(crowd, stars, texts, width, percent), "links")
     if not links.isEmpty():

@@ -475,3 +475,18 @@ def test_region_blocks_are_bounded(spark, monkeypatch):
     assert all(len({component[i] for i in g}) > 1 for g in groups.values())
     met = {(a, b) for g in groups.values() for a in g for b in g}
     assert {(a, b) for _, a, na, ca in rows[:409] for _, b, nb, cb in rows[:409] if ca != cb and (a < 1000) == (b < 1000)} <= met
+
+
+def test_few_documents_in_many_partitions(spark):
+    """A border of the orders' partitions between two documents parts no pair."""
+    from siltstone.llm.neardup import near_duplicates
+
+    words = prose(79, 200).split()
+    texts = [" ".join(words), " ".join([*words, "more"]), prose(80, 200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        out = {i: r["component_id"] for i, r in by_id(near_duplicates(documents(spark, texts))).items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out == {0: 0, 1: 0, 2: 2}
