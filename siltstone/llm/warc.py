@@ -27,9 +27,10 @@ RECORD = "record_type string, record_id string, refers_to string, target_uri str
 #: Namespace of derived record identifiers.
 NAMESPACE = uuid.UUID("9a3c1f0e-5b1d-4a53-8f5e-0c6f5d1b7a11")
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAKS = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|pre|blockquote|dl|dt|dd|main|aside|form))\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
+# a head needs no end tag: what it may hold has no text or is dropped, and other text belongs to the body
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)", re.S | re.I)
+_BREAKS = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|pre|blockquote|dl|dt|dd|main|aside|form|head|body))\b[^>]*>", re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

@@ -66,3 +66,11 @@ def test_warc(spark, tmp_path):
         key = lambda r: (r["record_type"], r["record_id"], r["refers_to"], bytes(r["block"]), tuple((h["name"], h["value"]) for h in r["headers"]))
         assert {key(r) for r in back} == {key(r) for r in rows}
     assert warc.derivatives(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    ("<head><meta charset=x><title>t</title><style>s</style><body>a<p>b", "a\nb"), ("<head><title>t</title></head><body>a</body>", "a"),
+    ("<p>if 5 < 6 and 8 > 7</p>c", "if 5 < 6 and 8 > 7\nc"), ("a<!doctype x><?y?></ b>c", "ac"), ("<head><title>t</title><p>a", "a"),
+])
+def test_plain_text_is_whole(source, text):
+    assert warc.plain_text(source) == text
