@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.common import table
 
-#: Levels beyond which elements are siblings, not children; their text stays.
+#: Levels beyond which elements are siblings, not children; their text stays. Hidden elements and what they hold keep their levels.
 MAX_DEPTH = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that show no text. A noscript element is hidden, as where scripts run.
-HIDDEN = frozenset("head script style title template noscript iframe object video audio canvas svg noembed noframes datalist math".split())
+HIDDEN = frozenset("head script style title template noscript iframe object video audio canvas noembed noframes datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp caption".split()
 )
@@ -40,6 +40,8 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: Elements that show no text inside drawings and formulas.
+UNSHOWN = {"svg": frozenset("title desc metadata defs symbol".split()), "math": frozenset("annotation annotation-xml".split())}
 #: Elements that an end tag inside them can't close from within.
 SCOPE = frozenset("table td th caption html template".split())
 
@@ -61,9 +63,13 @@ def parse(source: str) -> Node:
     """Tree of a whole page. Tags that don't fit are mended the way browsers do: implied ends, ignored stray ends."""
     root = Node("html", {})
     stack = [root]
+    hidden = 0  # level of the outermost hidden element, 0 for none
 
     def close_to(at: int) -> None:
+        nonlocal hidden
         del stack[at:]
+        if hidden >= at:
+            hidden = 0
 
     pos, n = 0, len(source)
     while pos < n:
@@ -122,6 +128,8 @@ def parse(source: str) -> Node:
                 if lowest is not None:
                     close_to(lowest)
             node = Node(tag, attributes)
+            if any(tag in UNSHOWN[x.tag] for x in stack if x.tag in UNSHOWN):
+                attributes["hidden"] = ""
             stack[-1].children.append(node)
             if tag in RAW:
                 end = found.start() if (found := _RAW_END[tag].search(source, pos)) else -1
@@ -129,8 +137,10 @@ def parse(source: str) -> Node:
                 node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
                 close = source.find(">", end) if end >= 0 else -1
                 pos = close + 1 if close >= 0 else n
-            elif tag not in VOID and not (match[3] or "").endswith("/") and len(stack) < MAX_DEPTH:
+            elif tag not in VOID and not (match[3] or "").endswith("/") and (len(stack) < MAX_DEPTH or hidden or not visible(node)):
                 stack.append(node)
+                if not hidden and not visible(node):
+                    hidden = len(stack) - 1
     return root
 
 
@@ -193,9 +203,12 @@ class _Page:
         return lines
 
 
+SECTIONS = ("thead", "tbody", "tfoot")
+
+
 def _rows(node: Node) -> list[Node]:
-    """Rows of a table: heads first, then bodies, then feet; captions aside. Cells without a row form one."""
-    parts: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
+    """Rows of a table or section: heads first, then bodies, then feet; captions aside. Cells without a row form one."""
+    parts: dict[str, list[Node]] = {x: [] for x in SECTIONS}
     loose: Node | None = None
     for child in node.children:
         if isinstance(child, str) or not visible(child):
@@ -204,7 +217,7 @@ def _rows(node: Node) -> list[Node]:
             parts["tbody"].append(child)
             loose = None
         elif child.tag in parts:
-            parts[child.tag] += [x for x in child.children if not isinstance(x, str) and x.tag == "tr" and visible(x)]
+            parts[child.tag] += _rows(child)
             loose = None
         elif child.tag in ("td", "th"):
             if loose is None:
@@ -214,23 +227,31 @@ def _rows(node: Node) -> list[Node]:
     return parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
+def _render_strays(node: Node, page: _Page) -> None:
+    """What stands in a table, section or row and isn't a part of it."""
+    for child in node.children:
+        if isinstance(child, str):
+            page.text(child, False)
+        elif child.tag in SECTIONS or child.tag in ("tr", "colgroup"):
+            if visible(child):
+                _render_strays(child, page)
+        elif child.tag not in ("td", "th"):
+            _render(child, page, False)
+
+
 def _span(cell: Node) -> int:
     value = cell.attributes.get("colspan", "1").strip()
     return min(max(int(value), 1), 1000) if value.isdecimal() else 1
 
 
 def _render_table(node: Node, page: _Page) -> None:
-    for child in node.children:  # what isn't a part of the table stands before it
-        if isinstance(child, str):
-            page.text(child, False)
-        elif child.tag not in ("tr", "td", "th", "thead", "tbody", "tfoot", "col", "colgroup"):
-            _render(child, page, False)
+    _render_strays(node, page)  # before the table
     page.block(False)
     grid, widths = [], {}
     for row in _rows(node):
         cells, column = [], 0
         for cell in row.children:
-            if isinstance(cell, str) or not visible(cell):
+            if isinstance(cell, str) or cell.tag not in ("td", "th") or not visible(cell):
                 continue
             inner = _Page()
             _render_children(cell, inner, False)

@@ -74,3 +74,14 @@ def test_warc(spark, tmp_path):
 ])
 def test_plain_text_is_whole(source, text):
     assert warc.plain_text(source) == text
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    ("<table><tbody><td>x<td>y</table>", "x  y"), ("<table><thead>a<tr>b<td>c</thead><tbody><div>d</div><tr><td>e</table>", "ab\nd\nc\ne"),
+    ("<table><tbody><form><tr><td>f</td></tr></form></tbody></table>", "f"), ("<table><tr><td>1</td><b>z</b></tr></table>", "z\n1"),
+    ("<table><tr hidden>a<td>b</tr><tbody hidden>c<td>d</tbody></table>e", "e"),
+    ("<b>" * 300 + "a<div hidden>x<div>y</div>z</div>b", "ab"), ("<div hidden>" + "<div>" * 300 + "x" + "</div>" * 300 + "y</div>b", "b"),
+    ("a<svg><title>t</title><defs>d</defs><text>b</text></svg><math><mi>c</mi><annotation>n</annotation></math>", "abc"),
+])
+def test_render_is_whole(source, text):
+    assert render(source) == text
