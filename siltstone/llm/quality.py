@@ -27,8 +27,11 @@ WINDOW = 8
 
 COVERAGE = 0.75
 STEPS = 3
-#: Rows that a (language, source) cell needs for its own estimate; smaller cells of a language are pooled.
+#: Rows that a (language, source) cell needs for its own estimate; smaller ones are pooled: per language, then over
+#: languages, then with all rows.
 MIN_CELL = 60
+#: Cells of the small languages together, and of all rows; others are JSON objects.
+REST, ALL = "rest", "all"
 #: The statistics of the vector with the least standard deviation that counts, so that a statistic
 #: which is zero in nearly all documents doesn't reject the few that have a trace of it.
 FEATURES = {"mean_word": 0.03, "symbol_share": 0.25, "dup_share": 0.15, "repeat_share": 0.15, "upper_share": 0.06}
@@ -170,12 +173,13 @@ def fit_cells(rows: DataFrame, features: dict[str, float], steps: int = STEPS, c
 
 
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", id_column: str = "doc_id") -> DataFrame:
-    """One row per row of df: id, the statistics, base_failed, d2 (robust squared distance; null where no estimate
-    was made) and kept.
+    """One row per row of df: id, the statistics, base_failed, d2 (robust squared distance; null only where
+    base_failed and nothing of the cell passed) and kept.
 
     kept is false where base_failed or d2 > CUTOFF. Estimates are made from the rows that pass the base rule, per
-    language and source; cells with fewer than MIN_CELL such rows are pooled per language, and where the pool is
-    smaller still no document is rejected by distance. A null language or source is a value of its own. Repeated
+    language and source; cells with fewer than MIN_CELL such rows are pooled per language, languages whose pool is smaller
+    still are pooled together, and if that is too small all rows stand for it, however few they are: every document
+    that passes the base rule has a distance. A null language or source is a value of its own. Repeated
     rows count each. Columns beyond the four named ones aren't read.
     """
     narrow = df.select(F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
@@ -183,17 +187,23 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     key = lambda *c: F.to_json(F.struct(*[F.coalesce(F.col(x), F.lit("\x00")).alias(x) for x in c]))
     good = stats.where(~F.col("base_failed"))
     sizes = good.groupBy("lang", "source").agg(F.count("*").alias("_n"))
+    small = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
     own = sizes.withColumn("_pool", F.col("_n") < MIN_CELL)
-    pooled = F.sum(F.when(F.col("_pool"), F.col("_n"))).over(Window.partitionBy("lang"))
+    own = own.withColumn("_rest", F.col("_pool") & (small(F.col("_pool")).over(Window.partitionBy("lang")) < MIN_CELL))
+    rest = own.where("_rest").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_left"))
     cells = materialize(
-        own.withColumn("_all", F.when(F.col("_pool"), pooled).otherwise(F.col("_n")))
+        own.crossJoin(F.broadcast(rest))  # one row
         .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-                F.when(F.col("_all") >= MIN_CELL, F.when(F.col("_pool"), key("lang")).otherwise(key("lang", "source"))).alias("cell")),
+                F.when(~F.col("_pool"), key("lang", "source")).when(~F.col("_rest"), key("lang"))
+                .when(F.col("_left") >= MIN_CELL, F.lit(REST)).otherwise(F.lit(ALL)).alias("cell")),
         "quality-cells",
     )
     both = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = stats.join(cells, both, "left").drop("_lang", "_source")
-    fitted = fit_cells(rows.where(~F.col("base_failed") & F.col("cell").isNotNull()).select("cell", *FEATURES), FEATURES)
+    passed = rows.where(~F.col("base_failed")).select("cell", *FEATURES)
+    if not cells.where(F.col("cell") == ALL).isEmpty():  # that cell is made from the rows of all others too
+        passed = passed.unionByName(passed.where(F.col("cell") != ALL).withColumn("cell", F.lit(ALL)))
+    fitted = fit_cells(passed, FEATURES)
     out = _distance(rows, fitted, list(FEATURES))
     far = F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("cell")

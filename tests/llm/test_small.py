@@ -490,3 +490,17 @@ def test_few_documents_in_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out == {0: 0, 1: 0, 2: 2}
+
+
+def test_quality_of_rare_languages(spark):
+    """An outlier of a rare language is rejected: by small languages pooled, or by all rows if these are too few."""
+    from siltstone.llm.quality import quality_rules
+
+    bad = "### " * 40 + " ".join(f"w{i}%%%" for i in range(100))
+    for rare, n in ((70, 100), (5, 100), (30, 0)):
+        rows = [(i, prose(i, 60 + i) + ".\n" + prose(i + 500, 40), "en" if i >= rare else f"l{i % 9}", "s") for i in range(rare + n)]
+        rows += [(900, bad, "xx", "s"), (901, bad, None, None)]
+        out = by_id(quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+        assert len(out) == len(rows) and all(r["d2"] is not None for r in out.values())
+        assert not out[900]["kept"] and not out[901]["kept"]
+        assert sum(r["kept"] for r in out.values()) >= rare + n - 1
