@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,16 +25,23 @@ CAPACITY = 2048
 #: Id that ends each document.
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a task remembers at most.
-CACHE = 500_000
-#: Steps of the multiplicative-weights solver, and its learning rate.
-ROUNDS = 250
-ETA = 0.5
-
+#: Words, and parts of words, whose ids a task remembers at most.
+CACHE = 400_000
+#: The solver stops once its value is within this share of the dual bound.
+GAP = 0.05
+#: Learning rate of the weights, and how far below the best price a pattern may lie that is used.
+ETA, SLACK = 0.1, 0.05
+#: The same for patterns that rounding adds.
+TIGHT = 0.0005
+#: A length whose price has fallen to this share of its first one doesn't limit how often a pattern is used.
+CHEAP = 0.01
 
 #: Python's split() takes these for white space, the tokenizer doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t-\r]+")
+#: Words whose parts can be told apart here as the tokenizer does it, and these parts (of the word in lower case).
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 @dataclass
@@ -48,58 +56,116 @@ class Plan:
         self.counts.append(count)
 
 
-def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, ...]:
-    """Knapsack with repeats: the multiset of lengths within capacity of the greatest total weight, by dynamic
-    programming over the capacity used."""
+@dataclass
+class Cover:
+    """Fractional solution: how often each pattern is used; its value, the dual bound below which no solution lies, and the dual prices
+    that give it (no pattern's lengths are worth more than 1 together)."""
+
+    uses: dict[tuple[int, ...], float]
+    value: float
+    bound: float
+    prices: dict[int, float]
+
+
+def best_values(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack with repeats, by dynamic programming: the greatest total price of lengths (ascending) within each capacity."""
     value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(int(lengths[0]), capacity + 1):
-        fits = np.searchsorted(lengths, c, "right")
-        totals = value[c - lengths[:fits]] + weights[:fits]
-        k = int(totals.argmax())
-        value[c], choice[c] = totals[k], k
-        if value[c - 1] >= value[c]:
-            value[c], choice[c] = value[c - 1], -1
-    out, c = [], capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
+        fits = ends[c]
+        value[c] = max(value[c - 1], (value[c - lengths[:fits]] + prices[:fits]).max())
+    return value
+
+
+def trace(value: np.ndarray, prices: np.ndarray, lengths: np.ndarray, most: np.ndarray | None = None, first: int | None = None) -> list[int]:
+    """A pattern, as places in lengths, that follows value, a table of best_values, for prices that may have fallen since; of equally good
+    lengths the longest comes first. most: how often each may stand in it; first: one that it begins with."""
+    room, out, used = len(value) - 1, [], Counter()
+    while room >= lengths[0]:
+        if first is not None and not out:
+            k = first
         else:
-            out.append(int(lengths[choice[c]]))
-            c -= out[-1]
-    return tuple(out)
+            fits = int(np.searchsorted(lengths, room, "right"))
+            total = value[room - lengths[:fits]] + prices[:fits]
+            if most is not None:
+                total[most[:fits] <= 0] = 0.0
+                for k, n in used.items():
+                    if k < fits and n >= most[k]:
+                        total[k] = 0.0
+            best = total.max()
+            if best <= 0:
+                break
+            k = int(np.flatnonzero(total >= best * (1 - 1e-12))[-1])
+        out.append(k)
+        used[k] += 1
+        room -= int(lengths[k])
+    return out
+
 
+def solve(histogram: dict[int, int], capacity: int, gap: float = GAP) -> Cover:
+    """Fractional cover of the whole histogram by configurations, at most the share `gap` above the dual bound.
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, eta: float = ETA) -> dict[tuple[int, ...], float]:
-    """Fractional cover of the histogram by configurations. Each round prices the best configuration for the current
-    weights, uses it as far as it covers at most a share of each of its lengths, and lowers those lengths' weights
-    by the share covered, so that scarcely covered lengths grow dear."""
+    Multiplicative weights: a length's price falls by exp(-ETA) each time that it is covered once more. The pattern priced best,
+    or within SLACK of it, is used until one of its lengths is covered once more. Since prices only fall, the last
+    knapsack table bounds every pattern's price from above: patterns are traced in it with the prices of the moment, and the
+    dynamic program runs anew when none is good enough. Prices divided by the best pattern's are a dual solution, whose
+    value no cover beats; uses divided by the least coverage are a primal one. There is no other end than the gap between the two.
+    """
     lengths = np.array(sorted(histogram))
     demand = np.array([histogram[int(n)] for n in lengths], dtype=float)
-    at = {int(n): i for i, n in enumerate(lengths)}
-    log_weights = np.log(lengths / capacity)
-    covered = np.zeros(len(lengths))
-    chosen: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        weights = np.exp(log_weights - log_weights.max())
-        # a length's weight counts no more once it is fully covered
-        weights = np.where(covered < 1.0, weights, 0.0) + lengths * 1e-12
-        pattern = price(weights, lengths, capacity)
-        uses = np.zeros(len(lengths))
-        for n in pattern:
-            uses[at[n]] += 1
-        used = uses > 0
-        open_ = used & (covered < 1.0)
-        if not open_.any():
-            break
-        step = float(np.min(np.maximum(1.0 - covered[open_], 0.02) * demand[open_] / uses[open_]))
-        share = uses * step / demand
-        covered += share
-        log_weights -= eta * share
-        chosen[pattern] = chosen.get(pattern, 0.0) + step
-        if (covered >= 1.0).all():
-            break
-    return chosen
+    start, covered = lengths / capacity, np.zeros(len(lengths))
+    uses: Counter[tuple[int, ...]] = Counter()
+    total, bound, dual = 0.0, 0.0, start
+    while True:
+        prices = start * np.exp(-ETA * (covered - covered.min()))
+        value = best_values(prices, lengths, capacity)
+        if (now := float(demand @ prices) / value[-1]) > bound:
+            bound, dual = now, prices / value[-1]
+        if (least := float(covered.min())) > 0 and total / least <= (1 + gap) * bound:
+            return Cover({p: x / least for p, x in uses.items()}, total / least, bound, {int(n): float(y) for n, y in zip(lengths, dual, strict=True)})
+        enough, dear, fresh = (1 - SLACK) * value[-1], CHEAP * value[-1] * start, True
+        while True:
+            pattern = trace(value, prices, lengths, demand)
+            if prices[pattern].sum() < enough:
+                if not fresh:
+                    break
+                pattern = trace(value, prices, lengths)
+            fresh = False
+            at, copies = np.unique(pattern, return_counts=True)
+            steps = demand[at] / copies
+            limits = prices[at] >= dear[at]
+            step = float(steps[limits].min() if limits.any() else steps.max())
+            covered[at] += step / steps
+            prices[at] *= np.exp(-ETA * step / steps)
+            uses[tuple(int(n) for n in lengths[pattern])] += step
+            total += step
+
+
+def round_cover(cover: Cover, left: dict[int, int], capacity: int, plan: Plan) -> None:
+    """Adds patterns in whole numbers to plan and takes their lengths from left. First those of the cover: as often as the whole part of
+    their use, then once more each while their lengths last. Then, longest length first, patterns that the dual prices say belong to
+    a solution: those worth 1, but for TIGHT, traced among the lengths that are left."""
+    by_fill = sorted(cover.uses.items(), key=lambda p: (-sum(p[0]), -(p[1] % 1), p[0]))
+    for part in (int, lambda x: 1):
+        for pattern, x in by_fill:
+            copies = Counter(pattern)
+            if (times := min(part(x), *(left[n] // k for n, k in copies.items()))) > 0:
+                plan.add(pattern, times)
+                for n, k in copies.items():
+                    left[n] -= k * times
+    lengths = np.array(sorted(left))
+    amounts, prices = np.array([left[int(n)] for n in lengths]), np.array([cover.prices[int(n)] for n in lengths])
+    value = best_values(prices, lengths, capacity)
+    for first in range(len(lengths) - 1, -1, -1):
+        while amounts[first] > 0:
+            pattern = trace(value, prices, lengths, amounts, first)
+            if prices[pattern].sum() < 1 - TIGHT:
+                break
+            at, copies = np.unique(pattern, return_counts=True)
+            times = int((amounts[at] // copies).min())
+            plan.add(tuple(int(n) for n in lengths[pattern]), times)
+            amounts[at] -= copies * times
+    left.update((int(n), int(k)) for n, k in zip(lengths, amounts, strict=True))
 
 
 def best_fit(left: dict[int, int], capacity: int, plan: Plan) -> None:
@@ -129,31 +195,16 @@ def best_fit(left: dict[int, int], capacity: int, plan: Plan) -> None:
         lengths, counts = lengths[stays], counts[stays]
 
 
-def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """Plan with a place for every piece of the histogram. Lengths over half the capacity and full ones are part of the
-    program like others. Fractions are rounded down as long as pieces are left; best-fit packs the rest.
-
-    The rounded plan is kept only if it needs no more sequences than best-fit alone does.
-    """
-    left = {n: k for n, k in histogram.items() if k > 0}
-    rounded, plain = Plan(), Plan()
-    if not left:
-        return rounded
-    best_fit(dict(left), capacity, plain)
-    if (full := left.pop(capacity, 0)):
-        rounded.add((capacity,), full)
+def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Plan with a place for every piece of the histogram: the configuration program, rounded; best-fit packs what no pattern of the
+    program takes. Full pieces have a sequence of their own in every solution, so they aren't part of the program."""
+    left, plan = {n: k for n, k in histogram.items() if k > 0}, Plan()
+    if full := left.pop(capacity, 0):
+        plan.add((capacity,), full)
     if left:
-        for pattern, share in sorted(solve(left, capacity, rounds).items(), key=lambda x: -x[1]):
-            uses: dict[int, int] = {}
-            for n in pattern:
-                uses[n] = uses.get(n, 0) + 1
-            times = min([int(share), *(left[n] // k for n, k in uses.items())])
-            if times > 0 and sum(pattern) >= 0.98 * capacity:
-                rounded.add(pattern, times)
-                for n, k in uses.items():
-                    left[n] -= k * times
-        best_fit(left, capacity, rounded)
-    return rounded if sum(rounded.counts) <= sum(plain.counts) else plain
+        round_cover(solve(left, capacity), left, capacity, plan)
+        best_fit(left, capacity, plan)
+    return plan
 
 
 def places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
@@ -173,41 +224,44 @@ def places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
+class _Remembered(dict):
+    """Values made once, CACHE of them at most."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordTokenizer:
-    """Ids of whole texts. Words between white space are independent of each other for this tokenizer, so each
-    distinct word is encoded once and remembered as its packed ids."""
+    """Ids of whole texts. For this tokenizer words between white space are independent of each other, and so are their parts
+    (letters, a digit, signs), so distinct words and parts are encoded once and remembered as their packed ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.words, self.parts = _Remembered(self.encode_word), _Remembered(self.encode_part)
 
-    def encode_word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha() and word.islower():  # one piece, which the normaliser leaves as it is
-            ids = [t.id for t in self.model.tokenize(word)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+    def encode_part(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part)] if part.isascii() else self.tokenizer.encode(part, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def encode_word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:  # which may begin a special token
+            return b"".join(map(self.parts.__getitem__, _PART.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # as the tokenizer does; beyond Latin-1, lower() and it may differ
-        except UnicodeEncodeError:
-            pass
-        known, words = self.known, text.split() if not _SEPARATORS.search(text) else _BLANKS.split(text)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.encode_word(w)
-            return b"".join([known[w] for w in words])
+        words = text.split() if not _SEPARATORS.search(text) else _BLANKS.split(text)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -68,22 +68,31 @@ def first_fit(lengths, capacity):
     return len(bins)
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(12))
 def test_plan(seed):
-    from siltstone.llm.packing import make_plan, places
+    from siltstone.llm.packing import GAP, make_plan, places, solve
 
     rnd = random.Random(seed)
     capacity = rnd.choice([10, 64, 200])
-    lengths = [rnd.randint(1, capacity) if seed % 2 else rnd.randint(capacity // 5, capacity // 2) for _ in range(rnd.choice([1, 30, 400]))]
+    lengths = [rnd.randint(1, capacity) if seed % 3 else rnd.randint(capacity // 5, capacity // 2) for _ in range(rnd.choice([1, 2, 30, 400]))]
     histogram = {n: lengths.count(n) for n in set(lengths)}
-    plan = make_plan(histogram, capacity, 60)
+    cover = solve(histogram, capacity)
+    assert cover.value <= (1 + GAP) * cover.bound + 1e-9 and sum(cover.uses.values()) == pytest.approx(cover.value)
+    for n, k in histogram.items():  # every length is covered whole
+        assert sum(x * p.count(n) for p, x in cover.uses.items()) >= k * (1 - 1e-9)
+    assert sum(histogram[n] * y for n, y in cover.prices.items()) == pytest.approx(cover.bound)
+    worth = [0.0] * (capacity + 1)  # no pattern is worth more than 1, so the bound is one
+    for c in range(1, capacity + 1):
+        worth[c] = max([worth[c - 1]] + [worth[c - n] + y for n, y in cover.prices.items() if n <= c])
+    assert worth[-1] <= 1 + 1e-9
+    plan = make_plan(histogram, capacity)
     used: dict[int, int] = {}
     for pattern, count in zip(plan.patterns, plan.counts, strict=True):
         assert sum(pattern) <= capacity and count > 0
         for n in pattern:
             used[n] = used.get(n, 0) + count
     assert used == histogram
-    assert sum(plan.counts) <= first_fit(lengths, capacity) + max(1, len(lengths) // 50)
+    assert cover.bound - 1e-9 <= sum(plan.counts) <= first_fit(lengths, capacity) + max(1, len(lengths) // 50)
     slots = set()
     for n, start, ranks, copies, sequence, offset in places(plan):
         for r in range(start, start + ranks):
@@ -93,8 +102,22 @@ def test_plan(seed):
     assert len(slots) == len(lengths)
 
 
+def test_plan_is_of_the_program():
+    """On many lengths, nine in ten sequences or more are patterns of the program, and the count is the bound's."""
+    from siltstone.llm.packing import Plan, make_plan, round_cover, solve
+
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(np.exp(rng.normal(5.5, 1.0, 3_000)).astype(int) + 1, 1023)
+    histogram = {int(n): int(k) for n, k in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    cover, left, plan = solve(histogram, 1024), dict(histogram), Plan()
+    round_cover(cover, left, 1024, plan)
+    whole = sum(make_plan(histogram, 1024).counts)
+    assert sum(plan.counts) >= 0.9 * whole
+    assert whole <= cover.bound * 1.005 + 2
+
+
 def test_pricing():
-    from siltstone.llm.packing import price
+    from siltstone.llm.packing import best_values, trace
 
     rnd = random.Random(5)
     for _ in range(20):
@@ -103,8 +126,11 @@ def test_pricing():
         best = [0.0] * 41
         for c in range(1, 41):
             best[c] = max([best[c - 1]] + [best[c - n] + w for n, w in zip(lengths, weights, strict=True) if n <= c])
-        got = price(weights, lengths, 40)
-        assert sum(got) <= 40 and abs(sum(weights[list(lengths).index(n)] for n in got) - best[40]) < 1e-9
+        value = best_values(weights, lengths, 40)
+        got = trace(value, weights, lengths)
+        assert np.allclose(value, best) and lengths[got].sum() <= 40 and abs(weights[got].sum() - best[40]) < 1e-9
+        most = np.array([rnd.randrange(3) for _ in lengths])
+        assert (np.bincount(trace(value, weights, lengths, most), minlength=5) <= most).all()
 
 
 # -- near-duplicates
