@@ -1,17 +1,18 @@
 """Byte-level BPE by monoid tree reduction.
 
-A piece's bytes are halved down to leaves; two encoded neighbours are joined by encoding a window around the seam
-anew. A window's tokens may stand as soon as the token before it and its first token, and its last token and the
-one after it, are stable pairs: a pair (a, b) is stable if the bytes of a and b, encoded together, give a, b again.
+A piece's bytes are halved down to single bytes, and encoded neighbours are joined up the tree by encoding a window
+around the seam anew. A window's tokens may stand as soon as the token before it and its first token, and its last token and
+the one after it, are stable pairs: a pair (a, b) is stable if the bytes of a and b, encoded together, give a, b again.
 A token sequence in which every adjacent pair is stable is the BPE encoding of its bytes, so nothing outside
-the window can change. Until then the window grows on the side that isn't stable. Decoding concatenates up
-the same tree.
+the window can change. Until then the window grows on the side that isn't stable, each time by twice as much. Decoding
+concatenates up the same tree.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.common import table, tokenizer_file
 
-#: Bytes up to which a piece is a leaf.
-LEAF = 24
-#: Encoded pieces that a task remembers at most.
-CACHE = 400_000
+#: Encoded pieces, halves of pieces, and seams that a task remembers at most of each.
+CACHE = 300_000
+#: Bytes up to which pieces are remembered from one text to the next, and halves from one piece to the next.
+SHORT, HALF = 64, 12
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -32,58 +33,89 @@ class TreeBpe:
 
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
+        self.bytes = [(ranks[bytes([i])],) for i in range(256)]
         self.split = regex.compile(pattern).findall
-        self.stable: dict[tuple[int, int], bool] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """Encodes a leaf: the adjacent pair of the lowest rank, leftmost first, is merged until none is left."""
-        ranks = self.ranks
-        if data in ranks:
-            return [ranks[data]]
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
-
-    def is_stable(self, a: int, b: int) -> bool:
-        if (known := self.stable.get((a, b))) is None:
-            if len(self.stable) >= CACHE:
-                self.stable.clear()
-            known = self.stable[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+        self.seams: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.halves: dict[bytes, tuple[int, ...]] = {}
+        self.joins = 0
+
+    def merge(self, data: bytes) -> tuple[int, ...]:
+        """Encodes a window: the adjacent pair of the lowest rank, leftmost first, is merged until none is left."""
+        ranks, n = self.ranks, len(data)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts here; -1 once it is merged away
+        heap = [(rank, i) for i in range(n - 1) if (rank := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            mid = ends[i]
+            if mid < 0 or mid >= n or ranks.get(data[i : ends[mid]]) != rank:  # one of the two has been merged since
+                continue
+            end = ends[i] = ends[mid]
+            ends[mid] = -1
+            if end < n:
+                before[end] = i
+                if (rank := ranks.get(data[i : ends[end]])) is not None:
+                    heapq.heappush(heap, (rank, i))
+            if i and (rank := ranks.get(data[before[i] : end])) is not None:
+                heapq.heappush(heap, (rank, before[i]))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[data[i : ends[i]]])
+            i = ends[i]
+        return tuple(out)
+
+    def seam(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of two neighbours' bytes; it is (a, b) if they are a stable pair."""
+        if (found := self.seams.get((a, b))) is None:
+            if len(self.seams) >= CACHE:
+                self.seams.clear()
+            found = self.seams[a, b] = self.merge(self.tokens[a] + self.tokens[b])
+        return found
+
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The monoid's operation: the encoding of the bytes of left and right together."""
-        if not left or not right or self.is_stable(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        self.joins += 1
+        window = self.seam(left[-1], right[0])
+        if window == (left[-1], right[0]):
             return left + right
         i, j = len(left) - 1, 1  # the window is left[i:] + right[:j]
+        more_left = more_right = 1
         while True:
-            window = self.merge(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
-            grow_left = i > 0 and not self.is_stable(left[i - 1], window[0])
-            grow_right = j < len(right) and not self.is_stable(window[-1], right[j])
-            if not grow_left and not grow_right:
+            sound_left = not i or self.seam(left[i - 1], window[0]) == (left[i - 1], window[0])
+            sound_right = j == len(right) or self.seam(window[-1], right[j]) == (window[-1], right[j])
+            if sound_left and sound_right:
                 return left[:i] + window + right[j:]
-            i -= grow_left
-            j += grow_right
+            if not sound_left:
+                i, more_left = max(0, i - more_left), 2 * more_left
+            if not sound_right:
+                j, more_right = min(len(right), j + more_right), 2 * more_right
+            window = self.merge(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.merge(data)
-        mid = len(data) // 2
-        return self.join(self.encode_piece(data[:mid]), self.encode_piece(data[mid:]))
+    def _encode(self, data: bytes, seen: dict[bytes, tuple[int, ...]]) -> tuple[int, ...]:
+        if len(data) == 1:
+            return self.bytes[data[0]]
+        known = self.halves if len(data) <= HALF else seen
+        if (found := known.get(data)) is None:
+            mid = len(data) // 2
+            found = self.join(self._encode(data[:mid], seen), self._encode(data[mid:], seen))
+            if len(known) >= CACHE:
+                known.clear()
+            known[data] = found
+        return found
+
+    def encode_piece(self, data: bytes) -> tuple[int, ...]:
+        """The tree's halves that are equal are encoded once. Work grows with the length and its logarithm, for runs of one letter too."""
+        if (rank := self.ranks.get(data)) is not None:  # as the library does; it holds for whole pieces only
+            return (rank,)
+        return self._encode(data, {}) if data else ()
 
     def encode(self, text: str) -> list[int]:
         """Each match of the pattern is encoded by itself, so matches meet without a window."""
         return [i for piece in self.split(text) for i in self.encode_piece(piece.encode("utf-8"))]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
         """Concatenates up the tree."""
         if len(ids) <= 512:
             return b"".join(map(self.tokens.__getitem__, ids))
@@ -91,6 +123,23 @@ class TreeBpe:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
+class Digested(dict):
+    """Of each piece (a string): its number of tokens, their ids in decimal with blanks between, and the bytes decoded from them."""
+
+    def __init__(self, coder: TreeBpe):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> tuple[int, str, bytes]:
+        ids = self.coder.encode_piece(piece.encode("utf-8"))
+        value = (len(ids), " ".join(map(str, ids)), self.coder.decode(ids))
+        if len(piece) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = value
+        return value
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -137,28 +186,19 @@ def decode_ids(df: DataFrame, vocabulary: str | None = None, id_column: str = "d
 
 def digest_texts(df: DataFrame, vocabulary: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding, then decoding of the ids, without moving the ids.
-    Null and empty texts have no tokens and the digests of no bytes."""
+    Null and empty texts have no tokens and the digests of no bytes. Repeated rows are digested each; further columns aren't read. A very
+    long piece costs a task some tens of times its length in memory, since the halves of its tree are remembered while it is encoded."""
     path = vocabulary or tokenizer_file(VOCABULARY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = coder(path)
-        known: dict[str, tuple[int, ...]] = {}
-        digits = [str(i) for i in range(max(one.tokens) + 1)]
+        piece = Digested(one).__getitem__
         for batch in batches:
             rows = []
             for text in batch["_text"]:
-                pieces = one.split(text or "")
-                ids: list[int] = []
-                for piece in pieces:
-                    if (found := known.get(piece)) is None:
-                        found = tuple(one.encode_piece(piece.encode("utf-8")))
-                        if len(known) >= CACHE:
-                            known.clear()
-                        if len(piece) <= 4 * LEAF:
-                            known[piece] = found
-                    ids += found
-                joined = " ".join(map(digits.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(one.decode(ids)).hexdigest()))
+                parts = [piece(p) for p in one.split(text or "")]
+                joined, decoded = " ".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
+                rows.append((sum([p[0] for p in parts]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["_id"].to_numpy())
             yield out

@@ -4,6 +4,7 @@ tables and clashing columns."""
 import binascii
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -379,6 +380,15 @@ def test_bpe(spark):
     for t in texts:
         ids = one.encode(t)
         assert ids == library.encode_ordinary(t) and one.decode(ids) == t.encode()
+    before = one.joins
+    for word in ("unbelievably", " antidisestablishment", "xqzvw"):  # ordinary words are halved and joined too, from single bytes up
+        one.halves.clear()
+        assert one.encode(word) == library.encode_ordinary(word)
+    assert one.joins - before >= 11 + 20 + 4 - 8
+    for n in (5_001, 20_001):
+        start = time.process_time()
+        assert one.encode("a" * n) == library.encode_ordinary("a" * n)
+        assert time.process_time() - start < 3
     df = documents(spark, ODD + texts[:30])
     out = {r["doc_id"]: r for r in digest_texts(df).collect()}
     for i, t in enumerate(ODD + texts[:30]):
