@@ -1,20 +1,20 @@
 """HTML to text as a page shows it: a tree builder with implied tags, visibility rules, and a renderer that keeps
-block spacing, list markers and the columns of tables."""
+block spacing, list markers and the columns of tables. Pages may be nested as deep as they like: neither the builder nor
+the renderer recurses. Reading a page takes time in proportion to its length."""
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.common import table
 
-#: Levels beyond which elements are siblings, not children; their text stays. Hidden elements and what they hold keep their levels.
-MAX_DEPTH = 200
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that show no text. A noscript element is hidden, as where scripts run.
@@ -45,9 +45,18 @@ UNSHOWN = {"svg": frozenset("title desc metadata defs symbol".split()), "math":
 #: Elements that an end tag inside them can't close from within.
 SCOPE = frozenset("table td th caption html template".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements without a layout of their own, whose end tag may come while a block is open inside them.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: End tags that close their element across the limits of SCOPE.
+_ACROSS = frozenset("table tr tbody thead tfoot body html".split())
+_ENDS_P_WITHIN = SCOPE | {"button", "li", "div"}
+
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_NAME = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -59,89 +68,153 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def parse(source: str) -> Node:
-    """Tree of a whole page. Tags that don't fit are mended the way browsers do: implied ends, ignored stray ends."""
-    root = Node("html", {})
-    stack = [root]
-    hidden = 0  # level of the outermost hidden element, 0 for none
+def read_tag(source: str, pos: int) -> tuple[dict[str, str], bool, int]:
+    """Attributes of the tag whose name ends at pos (the first of each name holds), whether it closes itself, and where it ends. A tag
+    that the page's end cuts is no tag: None. A quote that never ends is an ordinary character."""
+    attributes: dict[str, str] = {}
+    n = len(source)
+    while True:
+        gap = _GAP.match(source, pos).end()
+        if gap >= n:
+            return attributes, False, n
+        if source[gap] == ">":
+            return attributes, source[gap - 1] == "/" and gap > pos, gap + 1
+        name = _NAME.match(source, gap)
+        pos, value = name.end(), ""
+        if equals := _EQUALS.match(source, pos):
+            pos = equals.end()
+            quote = source[pos : pos + 1]
+            close = source.find(quote, pos + 1) if quote in ("'", '"') else -1
+            if close >= 0:
+                value, pos = source[pos + 1 : close], close + 1
+            else:
+                found = _UNQUOTED.match(source, pos)
+                value, pos = found[0], found.end()
+        attributes.setdefault(name[0].lower(), html.unescape(value))
+
+
+class _Builder:
+    """The open elements, and where each tag is among them."""
+
+    def __init__(self) -> None:
+        self.root = Node("html", {})
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of the tags; 0 if there is none but the root."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def open(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def close_to(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag; one that fits nothing open is ignored."""
+        at = self.last([tag])
+        if not at or (tag not in _ACROSS and at < self.last(SCOPE)):
+            return
+        block = next((k for k in range(at + 1, len(self.stack)) if self.stack[k].tag in BLOCK), None) if tag in FORMATTING else None
+        if block is None:
+            self.close_to(at)
+            return
+        # the block stays open beside the formatting element, whose part inside the block goes on in a copy that ends here
+        inner, own = self.stack[block], self.stack[at]
+        self.stack[block - 1].children.pop()
+        self.stack[at - 1].children.append(inner)
+        copy = Node(own.tag, own.attributes)
+        copy.children, inner.children = inner.children, [copy]
+        rest = self.stack[block:]
+        self.close_to(at)
+        for node in rest:
+            self.open(node)
+
+    def start(self, tag: str, attributes: dict[str, str], closed: bool) -> Node | None:
+        """A start tag and what it implies; the element, or None for a repeated html or body."""
+        if tag == "html":
+            self.root.attributes |= attributes
+            return None
+        if tag == "body":
+            if head := self.last(["head"]):
+                self.close_to(head)
+            if self.places["body"]:
+                return None
+        elif len(self.stack) == 2 and self.stack[1].tag == "head" and tag in BLOCK:
+            self.close_to(1)  # a head ends where the content begins
+        if tag in ENDS_P and (p := self.last(["p"])) > self.last(_ENDS_P_WITHIN):
+            self.close_to(p)
+        if tag in IMPLIED:
+            ends, limits = IMPLIED[tag]
+            limit = self.last(limits)
+            inside = [places[k] for t in ends if (places := self.places[t]) and (k := bisect_right(places, limit)) < len(places)]
+            if inside:
+                self.close_to(min(inside))
+        if any(self.places[x] and tag in unshown for x, unshown in UNSHOWN.items()):
+            attributes["hidden"] = ""
+        node = Node(tag, attributes)
+        self.stack[-1].children.append(node)
+        if tag not in VOID and tag not in RAW and not closed:
+            self.open(node)
+        return node
 
-    def close_to(at: int) -> None:
-        nonlocal hidden
-        del stack[at:]
-        if hidden >= at:
-            hidden = 0
 
+def parse(source: str) -> Node:
+    """Tree of a whole page. Tags that don't fit are mended the way browsers do: implied ends, ignored stray ends, blocks that outlive the
+    formatting around them."""
+    builder = _Builder()
     pos, n = 0, len(source)
     while pos < n:
-        match = _TOKEN.search(source, pos)
-        if not match:
-            stack[-1].children.append(html.unescape(source[pos:]))
+        at = source.find("<", pos)
+        while at >= 0 and not (source[at + 1 : at + 2] in ("!", "?") or _TAG_NAME.match(source, at + 2 if source[at + 1 : at + 2] == "/" else at + 1) or source[at + 1 : at + 2] == "/"):
+            at = source.find("<", at + 1)  # a bare one is text
+        if at < 0:
+            at = n
+        if at > pos:
+            builder.stack[-1].children.append(html.unescape(source[pos:at]))
+        if at == n:
             break
-        if match.start() > pos:
-            stack[-1].children.append(html.unescape(source[pos : match.start()]))
-        pos = match.end()
-        if match[1]:
-            tag = match[1].lower()
+        if source.startswith("<!--", at):
+            close = source.find("-->", at + 4)
+            pos = close + 3 if close >= 0 else n
+            continue
+        ends = source[at + 1] == "/"
+        name = _TAG_NAME.match(source, at + 1 + ends)
+        if not name:  # a declaration, or a comment in disguise
+            close = source.find(">", at)
+            pos = close + 1 if close >= 0 else n
+            continue
+        tag = name[0].lower()
+        attributes, closed, pos = read_tag(source, name.end())
+        if ends:
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
-                continue
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag == tag:
-                    close_to(at)
-                    break
-                if stack[at].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
-        elif match[2]:
-            tag = match[2].lower()
-            attributes = {}
-            if match[3]:
-                for a in _ATTRIBUTE.finditer(match[3]):
-                    attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
-            if tag in ("html", "body"):
-                if tag == "body":
-                    for at in range(1, len(stack)):
-                        if stack[at].tag == "head":
-                            close_to(at)
-                            break
-                    if any(x.tag == "body" for x in stack):
-                        continue
-                else:
-                    root.attributes |= attributes
-                    continue
-            elif len(stack) == 2 and stack[1].tag == "head" and tag in BLOCK:
-                close_to(1)  # a head ends where the content begins
-            if tag in ENDS_P:
-                for at in range(len(stack) - 1, 0, -1):
-                    if stack[at].tag == "p":
-                        close_to(at)
-                        break
-                    if stack[at].tag in SCOPE or stack[at].tag in ("button", "li", "div"):
-                        break
-            if tag in IMPLIED:
-                ends, limits = IMPLIED[tag]
-                lowest = None
-                for at in range(len(stack) - 1, 0, -1):
-                    if stack[at].tag in limits:
-                        break
-                    if stack[at].tag in ends:
-                        lowest = at
-                if lowest is not None:
-                    close_to(lowest)
-            node = Node(tag, attributes)
-            if any(tag in UNSHOWN[x.tag] for x in stack if x.tag in UNSHOWN):
-                attributes["hidden"] = ""
-            stack[-1].children.append(node)
-            if tag in RAW:
-                end = found.start() if (found := _RAW_END[tag].search(source, pos)) else -1
-                inner = source[pos : end if end >= 0 else n]
-                node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
-                close = source.find(">", end) if end >= 0 else -1
-                pos = close + 1 if close >= 0 else n
-            elif tag not in VOID and not (match[3] or "").endswith("/") and (len(stack) < MAX_DEPTH or hidden or not visible(node)):
-                stack.append(node)
-                if not hidden and not visible(node):
-                    hidden = len(stack) - 1
-    return root
+                builder.stack[-1].children.append(Node("br", {}))
+            else:
+                builder.end(tag)
+            continue
+        node = builder.start(tag, attributes, closed)
+        if node is not None and tag in RAW:
+            found = _RAW_END[tag].search(source, pos)
+            inner = source[pos : found.start() if found else n]
+            node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
+            close = source.find(">", found.end()) if found else -1
+            pos = close + 1 if close >= 0 else n
+    return builder.root
+
+
+def elements(root: Node) -> Iterator[Node]:
+    """All elements in the order of the page."""
+    open_ = [iter([root])]
+    while open_:
+        node = next(open_[-1], None)
+        if node is None:
+            open_.pop()
+        elif not isinstance(node, str):
+            yield node
+            open_.append(iter(node.children))
 
 
 def visible(node: Node) -> bool:
@@ -150,13 +223,17 @@ def visible(node: Node) -> bool:
 
 
 class _Page:
-    """Lines with collapsed white space; blank lines between spaced blocks collapse to one."""
+    """Lines with collapsed white space; blank lines between spaced blocks collapse to one. Items and quotes write to the page that
+    holds them, with an indent."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.margin = False
         self.blank = True  # whether the current line is empty or ends with a blank
+        self.indent = 0
+        self.marks: list[str] = []  # of items whose first line is still to come
+        self.fresh = False  # whether an item or quote has begun and has no line yet
 
     def text(self, value: str, pre: bool) -> None:
         if pre:
@@ -180,171 +257,244 @@ class _Page:
         line = "".join(self.parts).rstrip(" \t\r\f")
         self.parts.clear()
         self.blank = True
-        if line.strip() or always:
+        if line.strip() or (always and not self.fresh):
             self.add([line])
 
     def add(self, lines: list[str]) -> None:
         if self.margin and self.lines and self.lines[-1]:
             self.lines.append("")
-        self.margin = False
-        self.lines += lines
+        self.margin = self.fresh = False
+        for line in lines:
+            if self.marks and line:
+                own = "".join(self.marks)
+                line = " " * (self.indent - len(own)) + own + line
+                self.marks.clear()
+            elif line:
+                line = " " * self.indent + line
+            self.lines.append(line)
 
     def block(self, spaced: bool) -> None:
         self.end_line()
-        self.margin |= spaced
+        if not self.fresh:
+            self.margin |= spaced
+
+    def enter(self, width: int, mark: str = "") -> tuple[int, bool, bool]:
+        """Begins an item or a quote."""
+        self.end_line()
+        before = (len(self.lines), self.margin, self.fresh)
+        self.indent += width
+        if mark:
+            self.marks.append(mark)
+        self.fresh = True
+        return before
+
+    def leave(self, width: int, mark: str, before: tuple[int, bool, bool]) -> bool:
+        """Ends it; whether it had a line. Blank lines at its end go."""
+        self.end_line()
+        self.indent -= width
+        start, margin, fresh = before
+        if len(self.lines) > start:
+            while not self.lines[-1].strip():
+                self.lines.pop()
+            self.margin = self.fresh = False
+            return True
+        if mark:
+            self.marks.pop()
+        self.margin, self.fresh = margin, fresh
+        return False
 
     def done(self) -> list[str]:
         self.end_line()
         lines = self.lines
-        while lines and not lines[-1].strip():
-            lines.pop()
-        while lines and not lines[0].strip():
-            lines.pop(0)
-        return lines
+        first, last = 0, len(lines)
+        while last and not lines[last - 1].strip():
+            last -= 1
+        while first < last and not lines[first].strip():
+            first += 1
+        return lines[first:last]
+
+
+#: A step of the renderer: it yields the steps to be taken before it goes on.
+_Step = Iterator["_Step"]
+
+
+def _take(step: _Step) -> None:
+    """Takes a step and all within it, without recursion."""
+    open_ = [step]
+    while open_:
+        inner = next(open_[-1], None)
+        if inner is None:
+            open_.pop()
+        else:
+            open_.append(inner)
 
 
 SECTIONS = ("thead", "tbody", "tfoot")
 
 
-def _rows(node: Node) -> list[Node]:
-    """Rows of a table or section: heads first, then bodies, then feet; captions aside. Cells without a row form one."""
-    parts: dict[str, list[Node]] = {x: [] for x in SECTIONS}
-    loose: Node | None = None
-    for child in node.children:
-        if isinstance(child, str) or not visible(child):
-            continue
-        if child.tag == "tr":
-            parts["tbody"].append(child)
-            loose = None
-        elif child.tag in parts:
-            parts[child.tag] += _rows(child)
+def _sections(node: Node) -> list[list[Node]]:
+    """Rows of a table, by section: heads first, then bodies, then feet; captions aside. Cells without a row form one."""
+    parts: dict[str, list[list[Node]]] = {x: [] for x in SECTIONS}
+    open_ = [(node, "tbody")]
+    while open_:
+        part, kind = open_.pop()
+        rows: list[Node] = []
+        parts[kind].append(rows)
+        loose: Node | None = None
+        later = []
+        for child in part.children:
+            if isinstance(child, str) or not visible(child):
+                continue
+            if child.tag in ("td", "th"):
+                if loose is None:
+                    loose = Node("tr", {})
+                    rows.append(loose)
+                loose.children.append(child)
+                continue
             loose = None
-        elif child.tag in ("td", "th"):
-            if loose is None:
-                loose = Node("tr", {})
-                parts["tbody"].append(loose)
-            loose.children.append(child)
-    return parts["thead"] + parts["tbody"] + parts["tfoot"]
+            if child.tag == "tr":
+                rows.append(child)
+            elif child.tag in parts:
+                later.append((child, child.tag))
+        open_ += reversed(later)
+    return [rows for kind in SECTIONS for rows in parts[kind] if rows]
 
 
-def _render_strays(node: Node, page: _Page) -> None:
+def _strays(node: Node, page: _Page) -> _Step:
     """What stands in a table, section or row and isn't a part of it."""
     for child in node.children:
         if isinstance(child, str):
             page.text(child, False)
         elif child.tag in SECTIONS or child.tag in ("tr", "colgroup"):
             if visible(child):
-                _render_strays(child, page)
+                yield _strays(child, page)
         elif child.tag not in ("td", "th"):
-            _render(child, page, False)
+            yield _render(child, page, False)
 
 
-def _span(cell: Node) -> int:
-    value = cell.attributes.get("colspan", "1").strip()
-    return min(max(int(value), 1), 1000) if value.isdecimal() else 1
+def _number(node: Node, name: str, most: int) -> int:
+    """A span; 0 stands for all that follow."""
+    value = node.attributes.get(name, "1").strip()
+    found = int(value) if value.isascii() and value.isdecimal() and len(value) < 9 else 1
+    return min(found or (most if name == "rowspan" else 1), most)
 
 
-def _render_table(node: Node, page: _Page) -> None:
-    _render_strays(node, page)  # before the table
+def _table(node: Node, page: _Page) -> _Step:
+    yield _strays(node, page)  # before the table
     page.block(False)
-    grid, widths = [], {}
-    for row in _rows(node):
-        cells, column = [], 0
-        for cell in row.children:
-            if isinstance(cell, str) or cell.tag not in ("td", "th") or not visible(cell):
-                continue
-            inner = _Page()
-            _render_children(cell, inner, False)
-            lines, span = inner.done(), _span(cell)
-            cells.append((column, span, lines))
-            if span == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
-            column += span
-        grid.append(cells)
+    grid = []
+    for rows in _sections(node):
+        held: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
+        for row in rows:
+            cells, column, new = [], 0, {}
+            for cell in row.children:
+                if isinstance(cell, str) or cell.tag not in ("td", "th") or not visible(cell):
+                    continue
+                while column in held:
+                    column += 1
+                inner = _Page()
+                yield _children(cell, inner, False)
+                span, down = _number(cell, "colspan", 1000), _number(cell, "rowspan", 65534)
+                cells.append((column, span, inner.done()))
+                if down > 1:
+                    new.update((c, down) for c in range(column, column + span))
+                column += span
+            held = {c: k - 1 for c, k in (held | new).items() if k > 1}
+            grid.append(cells)
+    starts = sorted({column for cells in grid for column, _, _ in cells})
+    widths = dict.fromkeys(starts, 0)
+    for cells in grid:
+        for column, span, lines in cells:
+            if bisect_right(starts, column + span - 1) == bisect_right(starts, column):  # one column only
+                widths[column] = max(widths[column], max(map(len, lines), default=0))
+    offsets, at = {}, 0
+    for column in starts:
+        offsets[column], at = at, at + widths[column] + 2
     out = []
     for cells in grid:
-        if not any(lines for _, _, lines in cells):
-            continue
-        for k in range(max(len(lines) for _, _, lines in cells)):
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
-            for column, span, lines in cells:
-                width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(width) + "  "
+            for column, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    line = (line + "  " if line else "").ljust(offsets[column]) + lines[k]
             out.append(line.rstrip())
     if out:
         page.add(out)
 
 
-def _render_list(node: Node, page: _Page) -> None:
+def _list(node: Node, page: _Page) -> _Step:
     start = node.attributes.get("start", "1").strip()
-    number = int(start) if start.lstrip("-").isdecimal() else 1
+    number = int(start) if re.fullmatch("-?[0-9]{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, str):
             page.text(child, False)
         elif child.tag == "li" and visible(child):
             page.block(False)
-            inner = _Page()
-            _render_children(child, inner, False)
-            lines = inner.done()
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            if lines:
-                page.add([mark + lines[0], *[(" " * len(mark) + x).rstrip() for x in lines[1:]]])
+            before = page.enter(len(mark), mark)
+            yield _children(child, page, False)
+            page.leave(len(mark), mark, before)
         else:
-            _render(child, page, False)
+            yield _render(child, page, False)
 
 
-def _render(node: Node, page: _Page, pre: bool) -> None:
+def _render(node: Node, page: _Page, pre: bool) -> _Step:
     tag = node.tag
     if not visible(node):
         return
     if tag == "br":
         page.end_line(True)
-    elif tag == "wbr" or tag in VOID - {"hr"}:
+    elif tag in VOID and tag != "hr":
         return
     elif tag in BLOCK:
         page.block(tag in SPACED)
         if tag == "table":
-            _render_table(node, page)
+            yield _table(node, page)
         elif tag in ("ul", "ol", "menu", "dir"):
-            _render_list(node, page)
+            yield _list(node, page)
         elif tag in ("blockquote", "dd"):
-            inner = _Page()
-            _render_children(node, inner, pre)
-            if lines := inner.done():
-                page.add([("  " + x).rstrip() for x in lines])
+            before = page.enter(2)
+            yield _children(node, page, pre)
+            page.leave(2, "", before)
         elif tag == "details" and "open" not in node.attributes:
             for child in node.children:
                 if not isinstance(child, str) and child.tag == "summary":
-                    _render(child, page, pre)
+                    yield _render(child, page, pre)
                     break
         else:
-            _render_children(node, page, pre or tag in ("pre", "xmp"))
+            yield _children(node, page, pre or tag in ("pre", "xmp"))
         page.block(tag in SPACED)
     else:
-        _render_children(node, page, pre or tag == "textarea")
+        yield _children(node, page, pre or tag == "textarea")
 
 
-def _render_children(node: Node, page: _Page, pre: bool) -> None:
+def _children(node: Node, page: _Page, pre: bool) -> _Step:
     for child in node.children:
         if isinstance(child, str):
             page.text(child, pre)
-        else:
-            _render(child, page, pre)
+        elif child.children or child.tag in VOID:
+            yield _render(child, page, pre)
+        elif child.tag in BLOCK and visible(child):  # an empty block only ends a line
+            page.block(child.tag in SPACED)
 
 
-def render(source: str | None) -> str:
-    """Visible text of a page; a null or empty page has none."""
+def render_tree(root: Node) -> str:
     page = _Page()
-    root = parse(source or "")
     if visible(root):
-        _render_children(root, page, False)
+        _take(_children(root, page, False))
     return "\n".join(page.done())
 
 
+def render(source: str | None) -> str:
+    """Visible text of a page; a null or empty page has none."""
+    return render_tree(parse(source or ""))
+
+
 def html_text(df: DataFrame, id_column: str = "page_id", source: str = "html") -> DataFrame:
     """(page_id, text, n_lines, n_chars) per row of df. Null and empty pages give an empty text and 0 lines; repeated rows
-    are rendered each; other columns aren't read; nothing is shuffled."""
+    are rendered each; other columns aren't read; nothing is shuffled. Very long and very deep pages are rendered whole; a task holds a
+    page and its tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

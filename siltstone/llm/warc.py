@@ -10,31 +10,26 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import html
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
+from siltstone.llm.html_text import elements, parse, render_tree
 
 VERSION = "WARC/1.1"
+#: Bytes of a file that are expanded at a time, and bytes of blocks that are handed on together.
+CHUNK, BATCH = 1 << 20, 16 << 20
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, date string, headers array<struct<name:string,value:string>>, block binary"
 #: Namespace of derived record identifiers.
 NAMESPACE = uuid.UUID("9a3c1f0e-5b1d-4a53-8f5e-0c6f5d1b7a11")
 
-# a head needs no end tag: what it may hold has no text or is dropped, and other text belongs to the body
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAKS = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|pre|blockquote|dl|dt|dd|main|aside|form|head|body))\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_BLANKS = re.compile(r"[ \t\r\f\v]+")
-_LINES = re.compile(r" ?\n[ \n]*")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_BLANKS = re.compile(r"\s+")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -56,10 +51,16 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in rest) if n], body
 
 
-def plain_text(page: str) -> str:
-    text = _DROPPED.sub(" ", page)
-    text = _TAG.sub("", _BREAKS.sub("\n", text.replace("\n", " ")))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+def read_page(page: str) -> tuple[str, str | None, list[str]]:
+    """Visible text, title and link targets of a page, from its tree."""
+    root = parse(page)
+    title, links = None, []
+    for node in elements(root):
+        if node.tag == "title" and title is None:
+            title = _BLANKS.sub(" ", "".join(x for x in node.children if isinstance(x, str))).strip()
+        elif node.tag == "a" and (target := node.attributes.get("href", "").strip()):
+            links.append(target)
+    return render_tree(root), title, links
 
 
 def derive_record(response_id: str, target_uri: str, date: str, block: bytes) -> list[tuple]:
@@ -71,14 +72,13 @@ def derive_record(response_id: str, target_uri: str, date: str, block: bytes) ->
         page = body.decode(named[1] if named else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    text = plain_text(page).encode("utf-8", "replace")
+    shown, title, links = read_page(page)
+    text = shown.encode("utf-8", "replace")
     conversion, metadata = record_id("conversion", response_id), record_id("metadata", response_id)
     source = [("WARC-Refers-To", response_id), ("WARC-Refers-To-Target-URI", target_uri), ("WARC-Refers-To-Date", date)]
     lines = [("source-status", status), *[(f"source-header-{n.lower()}", v) for n, v in http]]
     lines += [("source-block-digest", digest(block)), ("source-payload-digest", digest(body)), ("conversion-digest", digest(text))]
-    if title := _TITLE.search(page):
-        lines.append(("title", _BLANKS.sub(" ", html.unescape(title[1]).replace("\n", " ")).strip()))
-    lines += [("outlink", html.unescape(next(filter(None, m.groups()), "")).strip()) for m in _LINK.finditer(page)]
+    lines += [("title", title)] * (title is not None) + [("outlink", x) for x in links]
     about = "".join(f"{n}: {v}\r\n" for n, v in ((n, v.replace("\r", " ").replace("\n", " ")) for n, v in lines)).encode("utf-8", "replace")
     out = []
     for kind, own, other, content, data in (("conversion", conversion, metadata, "text/plain; charset=utf-8", text), ("metadata", metadata, conversion, "application/warc-fields", about)):
@@ -94,27 +94,53 @@ def serialize(kind: str, own: str, target_uri: str, date: str, headers: list, bl
     return "\r\n".join([VERSION, *lines]).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzip (one member a record, or all in one). Bytes between records are skipped."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(parts)
-    pos = 0
-    while (start := data.find(b"WARC/1.", pos)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        names = [x.partition(":") for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:]]
+def plain_chunks(data: bytes) -> Iterator[bytes]:
+    """A WARC file's bytes in pieces of about CHUNK; a gzip file (one member a record, or all in one) is expanded piece by piece."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), CHUNK):
+            yield data[at : at + CHUNK]
+        return
+    view, at = memoryview(data), 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            rest = view[at : at + CHUNK]
+            yield member.decompress(rest, CHUNK)
+            while member.unconsumed_tail and not member.eof:
+                yield member.decompress(member.unconsumed_tail, CHUNK)
+            at += len(rest) - len(member.unused_data)
+
+
+def parse_warc(chunks: Iterable[bytes]) -> Iterator[dict]:
+    """Records of a WARC file's bytes, one by one: no more than a record and a piece are held. Bytes between records are skipped; a
+    record that the end cuts is left out if its headers are cut, else its block is short."""
+    source, buffer, ended = iter(chunks), bytearray(), False
+
+    def more() -> bool:
+        nonlocal ended
+        piece = next(source, None)
+        ended = piece is None
+        buffer.extend(piece or b"")
+        return not ended
+
+    while True:
+        while (start := buffer.find(b"WARC/1.")) < 0:
+            del buffer[: max(0, len(buffer) - 6)]
+            if not more():
+                return
+        del buffer[:start]
+        while (end := buffer.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
+        names = [x.partition(":") for x in buffer[:end].decode("utf-8", "replace").split("\r\n")[1:]]
         headers = [(n.strip(), v.strip()) for n, _, v in names]
         known = {n.lower(): v for n, v in reversed(headers)}
         size = known.get("content-length", "")
-        size = int(size) if size.isdecimal() else 0
-        block = data[end + 4 : end + 4 + size]
-        pos = end + 4 + size
+        size = int(size) if size.isascii() and size.isdecimal() else 0
+        while len(buffer) < end + 4 + size and more():
+            pass
+        block = bytes(buffer[end + 4 : end + 4 + size])
+        del buffer[: end + 4 + size]
         yield {
             "record_type": known.get("warc-type"), "record_id": known.get("warc-record-id"), "refers_to": known.get("warc-refers-to"),
             "target_uri": known.get("warc-target-uri"), "date": known.get("warc-date"),
@@ -123,12 +149,20 @@ def parse_warc(data: bytes) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of RECORD from WARC files (a folder or pattern); a file is read by one task."""
+    """Rows of RECORD from WARC files (a folder or pattern). A file is read by one task, which holds its stored bytes and hands its records
+    on in batches of about BATCH bytes of blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                if rows := list(parse_warc(bytes(data))):
+                rows, held = [], 0
+                for row in parse_warc(plain_chunks(bytes(data))):
+                    rows.append(row)
+                    held += len(row["block"])
+                    if held >= BATCH or len(rows) >= 1_000:
+                        yield pd.DataFrame(rows)
+                        rows, held = [], 0
+                if rows:
                     yield pd.DataFrame(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
@@ -147,10 +181,12 @@ def warc_bytes(records: DataFrame, compress: bool = True) -> DataFrame:
     return records.mapInPandas(run, "record_id string, data binary")
 
 
-def derivatives(responses: DataFrame) -> DataFrame:
+def derivatives(responses: DataFrame, serialized: bool = False) -> DataFrame:
     """Two rows of RECORD (conversion, metadata) per response. responses: record_id, target_uri, date, block; further columns
     aren't read. Null blocks count as empty, null addresses and dates as empty strings; a null record_id is
-    derived from address and date. Repeated responses give repeated records. No response, no record."""
+    derived from address and date. Repeated responses give repeated records. No response, no record. Very long and very deep
+    pages are converted whole; a task holds a page and its tree. serialized adds record_length and record_crc32 of the records as
+    serialize() gives them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,9 +196,12 @@ def derivatives(responses: DataFrame) -> DataFrame:
             if rows:
                 out = pd.DataFrame(rows, columns=["record_type", "record_id", "refers_to", "target_uri", "date", "headers", "block"])
                 out["headers"] = [[{"name": n, "value": v} for n, v in h] for h in out["headers"]]
+                if serialized:
+                    whole = [serialize(kind, own, uri, date, headers, data) for kind, own, _, uri, date, headers, data in rows]
+                    out["record_length"], out["record_crc32"] = [len(x) for x in whole], [zlib.crc32(x) for x in whole]
                 yield out
 
-    return responses.select("record_id", "target_uri", "date", "block").mapInPandas(run, RECORD)
+    return responses.select("record_id", "target_uri", "date", "block").mapInPandas(run, RECORD + ", record_length long, record_crc32 long" * serialized)
 
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:
@@ -178,11 +217,11 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per derived record: what it is and refers to, its lengths and digests, and the CRC of its serialised form."""
-    records = derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
+    """Per derived record: what it is and refers to, its lengths and digests, and length and CRC of its serialised form."""
+    records = derivatives(responses_of_pages(table(spark, sf_dir, "pages")), serialized=True)
     header = lambda name: F.get(F.filter("headers", lambda h: h["name"] == name), 0)["value"]
     return records.select(
         "record_type", "record_id", "refers_to", "target_uri", header("WARC-Concurrent-To").alias("concurrent_to"), F.size("headers").alias("n_headers"),
         F.octet_length("block").cast("long").alias("length"), header("WARC-Block-Digest").alias("block_digest"), header("WARC-Source-Payload-Digest").alias("source_digest"),
-        F.crc32("block").alias("block_crc32"),
+        "record_length", "record_crc32",
     )

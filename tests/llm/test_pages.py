@@ -3,7 +3,12 @@
 import base64
 import gzip
 import hashlib
+import os
+import re
+import time
+from html.parser import HTMLParser
 
+import pyarrow.parquet as pq
 import pytest
 
 from siltstone.llm import warc
@@ -39,7 +44,7 @@ def sha(data):
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     html = "<title>T &amp; x</title><p>Hé<script>no</script>llo<a href='/l?a&amp;b'>k</a>"
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\nX-A: b\r\n\r\n" + html.encode("latin-1")
     df = spark.createDataFrame([("<r1>", "http://a/", "2024", block, 1), (None, None, None, None, 2), ("<r1>", "http://a/", "2024", block, 3)], "record_id string, target_uri string, date string, block binary, headers int")
@@ -48,7 +53,7 @@ def test_warc(spark, tmp_path):
     assert len(rows) == 6
     one = {r["record_type"]: r for r in rows[:2]}
     conversion, metadata = one["conversion"], one["metadata"]
-    assert bytes(conversion["block"]).decode() == "Hé llok"
+    assert bytes(conversion["block"]).decode() == "Héllok"
     about = bytes(metadata["block"]).decode().split("\r\n")
     assert {"source-header-x-a: b", "title: T & x", "outlink: /l?a&b", f"source-block-digest: {sha(block)}", f"source-payload-digest: {sha(html.encode('latin-1'))}", f"conversion-digest: {sha(bytes(conversion['block']))}"} <= set(about)
     for r, other in ((conversion, metadata), (metadata, conversion)):
@@ -61,6 +66,10 @@ def test_warc(spark, tmp_path):
         folder.mkdir()
         (folder / "x.warc").write_bytes(data)
         (folder / "y.warc.gz").write_bytes(gzip.compress(data) if not compress else data)
+        for size in (7, 100, 1 << 20):  # however the file is cut into pieces
+            monkeypatch.setattr(warc, "CHUNK", size)
+            assert [r["record_id"] for r in warc.parse_warc(warc.plain_chunks(data))] == [r["record_id"] for r in rows]
+            assert len(list(warc.parse_warc(warc.plain_chunks(gzip.compress(data))))) == (6 if not compress else 0)
         back = warc.read_warc(spark, str(folder)).collect()
         assert len(back) == 12
         key = lambda r: (r["record_type"], r["record_id"], r["refers_to"], bytes(r["block"]), tuple((h["name"], h["value"]) for h in r["headers"]))
@@ -69,11 +78,12 @@ def test_warc(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("source", "text"), [
-    ("<head><meta charset=x><title>t</title><style>s</style><body>a<p>b", "a\nb"), ("<head><title>t</title></head><body>a</body>", "a"),
-    ("<p>if 5 < 6 and 8 > 7</p>c", "if 5 < 6 and 8 > 7\nc"), ("a<!doctype x><?y?></ b>c", "ac"), ("<head><title>t</title><p>a", "a"),
+    ("<head><meta charset=x><title>t</title><style>s</style><body>a<p>b", "a\n\nb"), ("<head><title>t</title></head><body>a</body>", "a"),
+    ("<p>if 5 < 6 and 8 > 7</p>c", "if 5 < 6 and 8 > 7\n\nc"), ("a<!doctype x><?y?></ b>c", "ac"), ("<head><title>t</title><p>a", "a"),
+    ("<html><head><title>x</title><body><p>all of this text</p></body></html>", "all of this text"), ("<p hidden>a<p style='display:none'>b<p title='x>y'>c", "c"),
 ])
 def test_plain_text_is_whole(source, text):
-    assert warc.plain_text(source) == text
+    assert warc.read_page(source)[0] == text
 
 
 @pytest.mark.parametrize(("source", "text"), [
@@ -85,3 +95,55 @@ def test_plain_text_is_whole(source, text):
 ])
 def test_render_is_whole(source, text):
     assert render(source) == text
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"), ("<table><tr><td>a<td rowspan=0>bb<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g<td>h</table>", "a  bb  c\nd      e\nf  g   h"),
+    ("<b>x<p>y</b>z</p>w", "x\n\nyz\n\nw"), ("<b hidden>x<p>y</b>z</p>w", "z\n\nw"), ("<i><b>a</i>c</b>", "ac"),
+    ("<div>" * 205 + "<p hidden>a", ""), ("<ul><li>" * 3 + "a", "- - - a"), ("<blockquote>" * 2 + "a<br>b", "    a\n    b"), ("<ul><li><li>b</ul>", "- b"),
+    ("<a title=\"x>y</a>z", "yz"), ("<a title='x>y'>z", "z"), ("a<b", "a"), ("<table><tr><td colspan=1000>a<td>b<tr><td>c</table>", "a  b\nc"), ("<p/>a</br>b", "a\nb"), ("<ol start=7><li><p>a<p>b<li>c</ol>d", "7. a\n\n   b\n8. c\n\nd"),
+])
+def test_layout(source, text):
+    assert render(source) == text
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<a href=\"" * 100_000, "<" * 1_000_000, "<div>" * 200_000 + "x", "<ul><li>" * 2_000 + "x", "<b>" * 100_000 + "<p>" * 100_000, "<!--" * 250_000, "<script>" * 100_000, "</b>" * 200_000])
+def test_a_megabyte_takes_seconds(source):
+    start = time.process_time()
+    render(source)
+    assert time.process_time() - start < 8
+
+
+class _Plain(HTMLParser):
+    """Texts outside scripts, styles and the like; without any layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.off, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style", "title", "noscript", "template")
+
+    def handle_endtag(self, tag):
+        self.off -= self.off > 0 and tag in ("script", "style", "title", "noscript", "template")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words += data.split()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_words_are_those_of_another_parser():
+    """All words of the pages, in order, but for what rules of visibility or lists add or hide."""
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"])["html"].to_pylist()
+    same = 0
+    for page in pages:
+        plain = _Plain()
+        plain.feed(page or "")
+        mine = render(page)
+        if "hidden" not in (page or "") and "display" not in (page or ""):
+            same += 1
+            assert [w for w in mine.split() if not re.fullmatch(r"-|[0-9]+\.", w)] == [w for w in plain.words if not re.fullmatch(r"-|[0-9]+\.", w)]
+        else:
+            assert set(mine.split()) <= {*plain.words, "-", *(f"{i}." for i in range(1, 100))}
+    assert same > 10
