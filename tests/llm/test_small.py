@@ -212,33 +212,89 @@ def test_components(spark):
 # -- nearest neighbours
 
 
+def brute_nearest(ids, x, q, k=10):
+    """Distances of the k nearest other ids to row q, ties to the smaller id."""
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    best: dict[int, float] = {}
+    for i, v in zip(ids, d, strict=True):
+        if i != ids[q]:
+            best[int(i)] = min(best.get(int(i), np.inf), float(v))
+    return sorted(best.items(), key=lambda p: (p[1], p[0]))[:k]
+
+
 def test_ann(spark):
-    from siltstone.llm.ann import build_index, search
+    from pyspark.sql import functions as F
+
+    from siltstone.llm.ann import nearest_neighbours
 
     rng = np.random.default_rng(3)
     x = rng.standard_normal((900, 48)).astype(np.float32)
     x[100:160] = x[5]  # many equal vectors
     rows = [(int(i), [float(v) for v in x[i]], 0) for i in range(900)]
-    rows += [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 48, 0), (1003, [float("nan")] * 48, 0), (1004, [None] * 48, 0), (1005, [float("inf")] + [1.0] * 47, 0), (1006, [1.0, 2.0], 0), (None, rows[0][1], 0)]
+    rows += [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 48, 0), (1003, [float("nan")] * 48, 0), (1004, [None] * 48, 0), (1005, [float("inf")] + [1.0] * 47, 0), (None, rows[0][1], 0)]
+    rows += [(1050, [1.0, 2.0], 0), (1051, [1.0, 3.0], 0)]  # of another dimension
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    index, dim, centre = build_index(df)
-    assert dim == 48 and index.count() == 900
-    out = search(index, index.where("vec_id % 50 = 0").select("vec_id", "vector"), dim, centre).toPandas()
+    asks = F.col("vec_id") % 50 == 0
+    out = nearest_neighbours(df, asks).toPandas()
     hit = 0
     for q in range(0, 900, 50):
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
-        order = [i for i in np.lexsort((np.arange(900), d)) if i != q][:10]
+        expected = brute_nearest(range(900), x.astype(float), q)
         mine = out[out["query_id"] == q].sort_values("rank")
-        assert mine["rank"].tolist() == list(range(1, 11)) and mine["score"].tolist() == [d[i] for i in mine["vec_id"]]
-        hit += len(set(order) & set(mine["vec_id"]))
+        assert mine["rank"].tolist() == list(range(1, 11))
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        assert mine["score"].tolist() == [d[i] for i in mine["vec_id"]]
+        hit += len({i for i, _ in expected} & set(mine["vec_id"]))
         if q == 100:
-            assert mine["vec_id"].tolist() == order
+            assert mine["vec_id"].tolist() == [i for i, _ in expected]
     assert hit >= 0.9 * 180
-    assert search(index, index.limit(0).select("vec_id", "vector"), dim, centre).count() == 0
-    few, dim, centre = build_index(df.where("vec_id < 4"))
-    assert search(few, few.select("vec_id", "vector"), dim, centre).groupBy("query_id").count().collect()[0]["count"] == 3
-    none, dim, centre = build_index(df.where("vec_id = 1000"))
-    assert search(none, none.select("vec_id", "vector"), dim, centre).count() == 0
+    assert out[out["query_id"] == 1050][["rank", "vec_id", "score"]].values.tolist() == [[1, 1051, 1.0]]
+    assert len(out) == 181
+    assert nearest_neighbours(df, F.lit(False)).count() == 0
+    assert nearest_neighbours(df.where("vec_id < 4"), F.lit(True)).groupBy("query_id").count().collect()[0]["count"] == 3
+    assert nearest_neighbours(df.where("vec_id = 1000"), asks).count() == 0
+
+
+def test_ann_blocks_and_repeated_ids(spark, monkeypatch):
+    """Thousands of queries over several tiles and blocks, clustered vectors of which a third are one hot group, and repeated ids."""
+    from pyspark.sql import functions as F
+
+    from siltstone.llm import ann
+
+    monkeypatch.setattr(ann, "TILE", 700)
+    rng = np.random.default_rng(4)
+    n, dim = 6_000, 24
+    x = rng.standard_normal((40, dim))[rng.integers(0, 40, n)] + 0.3 * rng.standard_normal((n, dim))
+    x[:2_000] = x[0] + 0.01 * rng.standard_normal((2_000, dim))
+    ids = np.arange(n)
+    ids[4_000:4_050] = np.arange(3_000, 3_050)  # with other vectors
+    ids[4_050:4_100], x[4_050:4_100] = ids[3_900:3_950], x[3_900:3_950]  # the same rows again
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    rows = df.select("vec_id", F.col("embedding").alias("vector"))
+    index = ann.build_index(rows, dim)
+    assert index.rows.count() == n and 1 < len(index.centres) and index.probes < len(index.centres) / 2
+    out = ann.search(index, rows.where("vec_id % 4 <> 1"), 10).toPandas()
+    asked = sorted({int(i) for i in ids if i % 4 != 1})
+    assert len(asked) > 4_096 and sorted(set(out["query_id"])) == asked and len(out) == 10 * len(asked)
+    hit, tried = 0, asked[::40] + [3_000, 3_002, 3_900]
+    for who in tried:
+        q = min((tuple(x[k]), k) for k in np.flatnonzero(ids == who))[1]
+        mine = out[out["query_id"] == who].sort_values("rank")
+        expected = brute_nearest(ids, x, q)
+        assert mine["vec_id"].is_unique and who not in set(mine["vec_id"])
+        hit += len({i for i, _ in expected} & set(mine["vec_id"]))
+    assert hit >= 0.9 * 10 * len(tried)
+
+
+def test_ann_bounds():
+    """Bounds from packed bits lie below the true squared distances, but for the share that their width leaves."""
+    from siltstone.llm.ann import Queries, encode, rotation
+
+    rng = np.random.default_rng(5)
+    x, q, centre = rng.standard_normal((500, 96)), rng.standard_normal((40, 96)), rng.standard_normal(96) * 0.1
+    codes, norm, aligned = encode(x, centre, rotation(96))
+    bounds = Queries(q, centre, rotation(96)).lower_bounds(codes, norm, aligned)
+    true = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    assert 0.97 < (bounds <= true).mean() <= 1 and np.corrcoef(bounds.ravel(), true.ravel())[0, 1] > 0.7
 
 
 # -- quality
