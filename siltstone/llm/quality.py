@@ -2,13 +2,14 @@
 
 Per language and source, the minimum-covariance-determinant (MCD) estimate of centre and scatter of a vector
 of transformed text statistics is found by concentration steps; documents whose Mahalanobis distance to
-that centre is extreme are rejected. DataFrame functions only.
+that centre is beyond a chi-square quantile are rejected. DataFrame functions only.
 
 The steps (all over every row, by aggregates that combine map-side):
-  start: medians and median absolute deviations;
-  concentration: keep the share COVERAGE of a cell's rows that is nearest, take their mean and covariance;
-  consistency: scale the scatter so that the median squared distance is that of a chi-square;
-  reweighting: mean and covariance of the rows within the 0.975 quantile.
+  two starts: medians with median absolute deviations; mean and covariance of the half nearest to these;
+  concentration, for both starts: the share COVERAGE of a cell's rows that is nearest gives the next mean and covariance, until
+  no cell's determinant falls any more; the smaller determinant wins;
+  consistency: the scatter is scaled to what a normal law of that core has;
+  reweighting: mean and covariance of the rows within the 0.975 quantile, made consistent again.
 """
 
 from __future__ import annotations
@@ -26,20 +27,24 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 COVERAGE = 0.75
-STEPS = 3
+#: A step must lower the logarithm of a determinant by so much, else the estimate has settled.
+SETTLED = 1e-3
 #: Rows that a (language, source) cell needs for its own estimate; smaller ones are pooled: per language, then over
 #: languages, then with all rows.
 MIN_CELL = 60
 #: Cells of the small languages together, and of all rows; others are JSON objects.
 REST, ALL = "rest", "all"
-#: The statistics of the vector with the least standard deviation that counts, so that a statistic
-#: which is zero in nearly all documents doesn't reject the few that have a trace of it.
-FEATURES = {"mean_word": 0.03, "symbol_share": 0.25, "dup_share": 0.15, "repeat_share": 0.15, "upper_share": 0.06}
-#: Quantiles of chi-square with 5 degrees of freedom: median, 0.975.
-CHI_MEDIAN, CHI_975 = 4.3515, 12.8325
-#: Squared distance beyond which a document is rejected. Far in the tail on purpose: clean prose has longer
-#: tails than a normal law.
-CUTOFF = 90.0
+#: The vector's statistics, each with the standard deviation of the prior scatter and the least one that counts. The prior weighs as much
+#: as PRIOR_ROWS rows, so it matters in small cells only. Shares that are zero in nearly all documents have no scatter of
+#: their own: the least one stands for it, and the scatter can be inverted.
+FEATURES = {"mean_word": (0.03, 1e-4), "symbol_share": (0.0, 0.25), "dup_share": (0.0, 0.15), "repeat_share": (0.0, 0.15), "upper_share": (0.012, 1e-4)}
+PRIOR_ROWS = 20
+#: Words of 5.1 letters, and letters of which 0.0165 are capitals, that are added to each document, so that its rates scatter alike whether it is short or long.
+USUAL_WORDS, WORD_CHARS, USUAL_CHARS, UPPER = 60, 5.1, 300, 0.0165
+#: Of chi-square with 5 degrees of freedom: the 0.975 quantile, and the consistency factors of a core of 0.75 and of 0.975.
+CHI_975, FACTOR_CORE, FACTOR_975 = 12.8325, 1.4117, 1.0554
+#: Squared distance beyond which a document is rejected: the quantile at 1 - 1e-6.
+CUTOFF = 35.888
 
 
 def _strip(text: Column, chars: str) -> Column:
@@ -103,99 +108,117 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return out.select(
         "*",
-        F.log(F.greatest(per_word("word_chars"), F.lit(0.5))).alias("mean_word"),
+        F.log((F.col("word_chars") + USUAL_WORDS * WORD_CHARS) / (n + USUAL_WORDS)).alias("mean_word"),
         F.log1p(100.0 * F.col("n_symbols") / chars).alias("symbol_share"),
         F.sqrt(F.coalesce(F.try_divide(F.col("n_dup_lines").cast("double"), F.col("_lines").cast("double")), F.lit(0.0))).alias("dup_share"),
         F.sqrt(per_word("n_repeat_words")).alias("repeat_share"),
-        F.sqrt(F.col("_upper") / chars).alias("upper_share"),
+        F.sqrt((F.col("_upper") + USUAL_CHARS * UPPER) / (F.col("word_chars") + USUAL_CHARS)).alias("upper_share"),
     ).drop("_lines", "_upper")
 
 
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
+
+
 def _moments(features: list[str]) -> list[Column]:
-    p = len(features)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    return [F.avg(f).alias(f"m{i}") for i, f in enumerate(features)] + [
-        F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs
-    ]
+    return [F.count("*").alias("_n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i, j in _pairs(len(features))]]
 
 
-def _cholesky(cells: DataFrame, p: int, floors: list[float]) -> DataFrame:
-    """Replaces c{i}_{j} by the lower Cholesky factor l{i}_{j} of the covariance with floors**2 on its diagonal."""
-    out = cells
-    for i in range(p):
+def _factor(cells: DataFrame, features: dict[str, tuple[float, float]], scale: float = 1.0) -> DataFrame:
+    """Replaces _n and the covariances c{i}_{j} (times scale) by the lower Cholesky factor l{i}_{j} of the scatter, prior and least deviations included,
+    and by logdet, the logarithm of its determinant."""
+    p, out, n = len(features), cells, F.col("_n")
+    for i, (prior, least) in enumerate(features.values()):
         for j in range(i + 1):
-            rest = F.coalesce(F.col(f"c{i}_{j}"), F.lit(0.0)) + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
+            rest = F.coalesce(F.col(f"c{i}_{j}"), F.lit(0.0)) * scale * n / (n + PRIOR_ROWS)
+            if i == j:
+                rest = rest + F.lit(PRIOR_ROWS * prior**2) / (n + PRIOR_ROWS) + F.lit(least**2)
             rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), rest)
-            value = F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 * 0.01))) if i == j else rest / F.col(f"l{j}_{j}")
+            # rounding may leave a little less than the least
+            value = F.sqrt(F.greatest(rest, F.lit(least**2 * 0.5))) if i == j else rest / F.col(f"l{j}_{j}")
             out = out.withColumn(f"l{i}_{j}", value)
-    return out.drop(*[f"c{i}_{j}" for i in range(p) for j in range(i + 1)])
+    logdet = reduce(lambda a, i: a + 2 * F.log(f"l{i}_{i}"), range(p), F.lit(0.0))
+    return out.withColumn("logdet", logdet).drop("_n", *[f"c{i}_{j}" for i, j in _pairs(p)])
 
 
 def _distance(rows: DataFrame, cells: DataFrame, features: list[str], *more: str) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to their cell's estimate (null without one), and more columns of cells.
-    cells is a stored table of one row per cell: Spark knows its size, and broadcasts it or not by that."""
+    cells is a stored table of few rows per cell: Spark knows its size, and broadcasts it or not by that."""
     p, out = len(features), rows.join(cells, ["cell"], "left")
     for i, f in enumerate(features):
         rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"_y{k}"), range(i), F.col(f) - F.col(f"m{i}"))
         out = out.withColumn(f"_y{i}", rest / F.col(f"l{i}_{i}"))
     d2 = reduce(lambda a, b: a + b, [F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(p)])
-    return out.select(*[F.col(c) for c in rows.columns], (d2 * F.col("inflate")).alias("d2"), *more)
+    return out.select(*[F.col(c) for c in rows.columns], d2.alias("d2"), *more)
 
 
-def fit_cells(rows: DataFrame, features: dict[str, float], steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
-    """MCD estimate of every cell: (cell, m*, l*_*, inflate). rows: stored, with cell and the features.
+def fit_cells(rows: DataFrame, features: dict[str, tuple[float, float]], coverage: float = COVERAGE) -> DataFrame:
+    """MCD estimate of every cell: (cell, m*, l*_*, logdet). rows: stored, with cell and the features.
 
     Each step is two aggregates by cell over all rows, combined map-side, so a cell with a third of the rows
-    costs no more than others. Estimates are stored after each step; one row per cell.
+    costs no more than others. Estimates are stored after each step; one row per cell and start. Steps end, since a determinant
+    that doesn't fall by SETTLED keeps its estimate and none falls below that of the least deviations.
     """
-    names, floors = list(features), list(features.values())
+    names = list(features)
     p = len(names)
+    state = [*[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i, j in _pairs(p)], "logdet"]
     middle = materialize(rows.groupBy("cell").agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m{i}") for i, f in enumerate(names)]), "mcd")
     spread = rows.join(middle, "cell").groupBy("cell").agg(
-        *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 2000).alias(f"_s{i}") for i, f in enumerate(names)]
+        F.count("*").alias("_n"), *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 2000).alias(f"_s{i}") for i, f in enumerate(names)]
     )
-    cells = middle.join(spread, "cell").select(
-        "cell", *[f"m{i}" for i in range(p)],
-        *[(F.pow(1.4826 * F.col(f"_s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)],
+    plain = middle.join(spread, "cell").select(
+        "cell", "_n", *[f"m{i}" for i in range(p)], *[(F.pow(1.4826 * F.col(f"_s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _pairs(p)],
     )
-    cells = materialize(_cholesky(cells, p, floors).withColumn("inflate", F.lit(1.0)), "mcd")
-    for step in range(steps + 1):
-        near = _distance(rows, cells, names).groupBy("cell").agg(
-            F.percentile_approx("d2", coverage, 2000).alias("_cut"), F.percentile_approx("d2", 0.5, 2000).alias("_mid")
-        )
-        if step == steps:  # consistency, then reweighting: inflated distances within the 0.975 quantile
-            near = near.withColumn("_cut", F.col("_mid") * (CHI_975 / CHI_MEDIAN))
-        # cells and their cuts are stored together, so that rows meet them in one join with a small table and aren't moved
-        cut = materialize(cells.join(near.select("cell", "_cut"), "cell"), "mcd")
-        inside = _distance(rows, cut, names, "_cut").where(F.col("d2") <= F.col("_cut")).groupBy("cell").agg(*_moments(names))
-        cells = materialize(_cholesky(inside, p, floors).withColumn("inflate", F.lit(1.0)), "mcd")
-    return cells
-
-
-def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", id_column: str = "doc_id") -> DataFrame:
+    plain = materialize(_factor(plain, features).select("cell", F.lit(0).alias("start"), *state), "mcd")
+
+    def step(now: DataFrame, share: float) -> DataFrame:
+        """The estimates from the nearest share of each cell's rows."""
+        cut = _distance(rows, now, names, "start").groupBy("cell", "start").agg(F.percentile_approx("d2", share, 2000).alias("_cut"))
+        # estimates and their cuts are stored together, so that rows meet them in one join with a small table and aren't moved
+        both = materialize(now.join(cut, ["cell", "start"]), "mcd")
+        inside = _distance(rows, both, names, "start", "_cut").where(F.col("d2") <= F.col("_cut"))
+        return _factor(inside.groupBy("cell", "start").agg(*_moments(names)), features).select("cell", "start", *state)
+
+    half = materialize(step(plain, 0.5), "mcd").withColumn("start", F.lit(1))
+    # the first determinants aren't of a core, so the first step counts whatever it does to them
+    now = materialize(step(materialize(plain.unionByName(half), "mcd"), coverage), "mcd")
+    moved = True
+    while moved:
+        new = step(now, coverage).select("cell", "start", F.struct(*state).alias("_new"))
+        falls = F.col("_new.logdet") < F.col("logdet") - SETTLED
+        pick = lambda c: F.when(F.col("falls"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+        both = now.join(new, ["cell", "start"]).withColumn("falls", falls)
+        both = materialize(both.select("cell", "start", *[pick(c) for c in state], "falls"), "mcd")
+        moved, now = not both.where("falls").isEmpty(), both.drop("falls")
+    best = now.groupBy("cell").agg(F.min(F.struct("logdet", "start", *[c for c in state if c != "logdet"])).alias("b")).select("cell", *[F.col(f"b.{c}").alias(c) for c in state])
+    best = materialize(best, "mcd")
+    core = _distance(rows, best, names).where(F.col("d2") <= CHI_975 * FACTOR_CORE)
+    return materialize(_factor(core.groupBy("cell").agg(*_moments(names)), features, FACTOR_975).select("cell", *state), "mcd")
+
+
+def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", id_column: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: id, the statistics, base_failed, d2 (robust squared distance; null only where
-    base_failed and nothing of the cell passed) and kept.
+    base_failed and nothing of the cell passed), kept, and the columns carry as they are.
 
-    kept is false where base_failed or d2 > CUTOFF. Estimates are made from the rows that pass the base rule, per
+    kept is false where base_failed or d2 > CUTOFF; equal rows have equal verdicts. Estimates are made from the rows that pass the base rule, per
     language and source; cells with fewer than MIN_CELL such rows are pooled per language, languages whose pool is smaller
     still are pooled together, and if that is too small all rows stand for it, however few they are: every document
     that passes the base rule has a distance. A null language or source is a value of its own. Repeated
-    rows count each. Columns beyond the four named ones aren't read.
+    rows count each. A null or empty text fails the base rule; texts of any length are read whole. An empty df gives no rows. Columns beyond
+    those named aren't read, whatever their names.
     """
-    narrow = df.select(F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
+    narrow = df.select(F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"), *carry)
     stats = materialize(text_statistics(narrow, "_text").drop("_text"), "quality")
     key = lambda *c: F.to_json(F.struct(*[F.coalesce(F.col(x), F.lit("\x00")).alias(x) for x in c]))
     good = stats.where(~F.col("base_failed"))
     sizes = good.groupBy("lang", "source").agg(F.count("*").alias("_n"))
     small = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
     own = sizes.withColumn("_pool", F.col("_n") < MIN_CELL)
-    own = own.withColumn("_rest", F.col("_pool") & (small(F.col("_pool")).over(Window.partitionBy("lang")) < MIN_CELL))
-    rest = own.where("_rest").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_left"))
+    own = materialize(own.withColumn("_rest", F.col("_pool") & (small(F.col("_pool")).over(Window.partitionBy("lang")) < MIN_CELL)), "quality-cells")
+    left = own.where("_rest").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     cells = materialize(
-        own.crossJoin(F.broadcast(rest))  # one row
-        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-                F.when(~F.col("_pool"), key("lang", "source")).when(~F.col("_rest"), key("lang"))
-                .when(F.col("_left") >= MIN_CELL, F.lit(REST)).otherwise(F.lit(ALL)).alias("cell")),
+        own.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
+                   F.when(~F.col("_pool"), key("lang", "source")).when(~F.col("_rest"), key("lang")).otherwise(F.lit(REST if left >= MIN_CELL else ALL)).alias("cell")),
         "quality-cells",
     )
     both = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
@@ -203,7 +226,7 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     passed = rows.where(~F.col("base_failed")).select("cell", *FEATURES)
     if not cells.where(F.col("cell") == ALL).isEmpty():  # that cell is made from the rows of all others too
         passed = passed.unionByName(passed.where(F.col("cell") != ALL).withColumn("cell", F.lit(ALL)))
-    fitted = fit_cells(passed, FEATURES)
+    fitted = fit_cells(materialize(passed, "quality-rows"), FEATURES)
     out = _distance(rows, fitted, list(FEATURES))
     far = F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("cell")

@@ -35,8 +35,6 @@ MAX_TRAINING_ROWS = 40_000
 FOLDS = {"lexicon": (0, 1), "trees": (2, 3), "calibration": (4,)}
 #: A learnt entry is a word beginning of so many letters, in so many toxic rows at least, with log-odds of at least so much.
 STEM, MIN_TOXIC, MIN_ODDS = (3, 8), 4, 2.5
-#: Entries of the learnt lexicon at most: those of the greatest log-odds times toxic rows.
-LEXICON_SIZE = 3_000
 TREES, DEPTH, STEP = 20, 3, 0.3
 THRESHOLD = 0.7
 
@@ -68,8 +66,8 @@ class Lexicon:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Log-odds of the word beginnings of labelled rows (_text, label). Tasks count before they shuffle; the driver gets at
-    most LEXICON_SIZE entries."""
+    """Log-odds of the word beginnings of labelled rows (_text, label). Tasks count before they shuffle; the driver gets the entries that pass
+    MIN_TOXIC and MIN_ODDS, whose number is bounded by the words of at most MAX_TRAINING_ROWS rows."""
     totals = rows.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).first()
     if not totals["t"] or not totals["c"]:
         return {}
@@ -87,7 +85,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     counts = rows.mapInPandas(run, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (totals["t"] + 1)) - F.log((F.col("c") + 0.5) / (totals["c"] + 1))
     best = counts.where(F.col("t") >= MIN_TOXIC).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    return {r["stem"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.col("t")), "stem").limit(LEXICON_SIZE).collect()}
+    return {r["stem"]: r["odds"] for r in best.select("stem", "odds").collect()}
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -124,16 +122,17 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def text_features(df: DataFrame, odds: dict[str, float], id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, features array<double>) per row."""
+def text_features(df: DataFrame, odds: dict[str, float], id_column: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, features array<double>, and the columns carry) per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(odds)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["_id"], "features": [features(t, lexicon) for t in batch["_text"]]})
+            yield pd.DataFrame({"doc_id": batch["_id"], "features": [features(t, lexicon) for t in batch["_text"]], **{c: batch[c] for c in carry}})
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(df[id_column].alias("_id"), df[text].alias("_text")).mapInPandas(run, f"doc_id {kind}, features array<double>")
+    more = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
+    return df.select(df[id_column].alias("_id"), df[text].alias("_text"), *carry).mapInPandas(run, f"doc_id {kind}, features array<double>{more}")
 
 
 def held_out(key: Column) -> Column:
@@ -141,14 +140,14 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def toxicity_scores(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", max_training_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """One row per row of df: doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on).
+def toxicity_scores(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", max_training_rows: int = MAX_TRAINING_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of df: doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on), and the columns carry as they are.
 
     labels: (doc_id, toxic). Null labels count as none; of several for one id the largest holds. Rows with a null id
     are scored and never learnt from. Of the labelled rows that aren't held out, two fifths give the
     lexicon, two grow the trees and one calibrates. Without two classes to learn from, every score is the share of label 1 (0 without labels).
-    Empty, null, repeated and very long texts are scored like others; an empty df gives no rows; further columns
-    aren't read.
+    Empty, null, repeated and very long texts are scored like others, equal texts alike; a score of just THRESHOLD is predicted 1. An empty
+    df gives no rows; further columns aren't read.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -159,12 +158,12 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1_000_000))
     total = known.count()
     if total > max_training_rows:
-        known = known.where(share < int(1_000_000 * max_training_rows / total))
+        known = known.where(share < int(970_000 * max_training_rows / total))  # a hash takes a few more or less
     fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(5))
     known = materialize(known.withColumn("fold", fold), "known")
     texts = df.select(df[id_column].alias("doc_id"), df[text].alias("_text")).join(F.broadcast(known), "doc_id")  # at most max_training_rows
     odds = learn_lexicon(texts.where(F.col("fold").isin(*FOLDS["lexicon"])).select("_text", "label"))
-    rows = materialize(text_features(df, odds, id_column, text), "toxicity")
+    rows = materialize(text_features(df, odds, id_column, text, carry), "toxicity")
     learnt = known.where(F.col("fold").isin(*FOLDS["trees"], *FOLDS["calibration"]))
     training = materialize(rows.join(F.broadcast(learnt), "doc_id").select("features", "label", F.col("fold").isin(*FOLDS["calibration"]).alias("calibrates")), "training")
     training = training.select(array_to_vector("features").alias("vector"), "label", "calibrates")
@@ -187,7 +186,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
             out = curve.transform(out.drop("prediction"))
             score = F.col("calibrated")
     score = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
-    return out.select("doc_id", "held_out", score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", "held_out", score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), *carry)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

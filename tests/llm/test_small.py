@@ -329,27 +329,67 @@ def test_quality(spark):
     assert quality_rules(documents(spark, [])).count() == 0
 
 
-def test_mcd_against_numpy(spark):
-    """The estimate withstands a fifth of far rows, and distances follow numpy's for its own centre and scatter."""
-    from pyspark.sql import functions as F
+def brute_mcd(x, features):
+    """Plain version of the estimate: exact quantiles, all steps on the rows themselves."""
+    from siltstone.llm import quality as Q
+
+    prior, least = (np.array(v) for v in zip(*features.values(), strict=True))
+
+    def scatter(cov, n, scale=1.0):
+        return (n * scale * cov + Q.PRIOR_ROWS * np.diag(prior**2)) / (n + Q.PRIOR_ROWS) + np.diag(least**2)
+
+    def distances(m, s):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+
+    def nearest(m, s, share):
+        d = distances(m, s)
+        own = x[d <= np.sort(d)[int(np.ceil(share * len(x))) - 1]]
+        return own.mean(axis=0), scatter(np.cov(own.T, bias=True), len(own))
+
+    middle = np.median(x, axis=0)
+    plain = (middle, scatter(np.diag((1.4826 * np.median(np.abs(x - middle), axis=0)) ** 2), len(x)))
+    best = None
+    for start in (plain, nearest(*plain, 0.5)):
+        now = nearest(*start, Q.COVERAGE)
+        while True:
+            new = nearest(*now, Q.COVERAGE)
+            if np.linalg.slogdet(new[1])[1] >= np.linalg.slogdet(now[1])[1] - Q.SETTLED:
+                break
+            now = new
+        if best is None or np.linalg.slogdet(now[1])[1] < np.linalg.slogdet(best[1])[1]:
+            best = now
+    core = x[distances(*best) <= Q.CHI_975 * Q.FACTOR_CORE]
+    m, s = core.mean(axis=0), scatter(np.cov(core.T, bias=True), len(core), Q.FACTOR_975)
+    return m, s, distances(m, s)
+
 
-    from siltstone.llm.quality import _distance, fit_cells
+def test_mcd_against_brute_force(spark):
+    """Two cells, with far rows and without: centres, scatters and verdicts are the plain version's, and a normal law's share is beyond the cutoff."""
+    from siltstone.llm.quality import CUTOFF, FEATURES, _distance, fit_cells
 
     rng = np.random.default_rng(1)
-    good = rng.multivariate_normal([1.0, 2.0], [[1.0, 0.6], [0.6, 2.0]], 800)
-    bad = rng.multivariate_normal([30.0, -20.0], np.eye(2), 200)
-    rows = pd.DataFrame(np.vstack([good, bad]), columns=["u", "v"]).assign(cell="c", i=range(1000))
+    names, tables = list(FEATURES), {}
+    scale = np.array([0.1, 1.5, 1.2, 1.0, 0.05])
+    mix = np.eye(5) + 0.4 * rng.standard_normal((5, 5))
+    for cell, bad in (("a", 300), ("b", 0)):
+        good = rng.standard_normal((1_500, 5)) @ mix * scale + [1.6, 0.2, 0.1, 0.1, 0.13]
+        tables[cell] = np.vstack([good, rng.standard_normal((bad, 5)) * scale + [3.6, 14, 11, 9, 1.1]])
+    rows = pd.concat([pd.DataFrame(x, columns=names).assign(cell=c, i=range(len(x))) for c, x in tables.items()])
     df = spark.createDataFrame(rows)
-    cells = fit_cells(df.select("cell", "u", "v"), {"u": 0.01, "v": 0.01})
-    d2 = _distance(df, cells, ["u", "v"]).select("i", "d2").orderBy("i").toPandas()["d2"].to_numpy()
-    assert d2[800:].min() > 20 * np.quantile(d2[:800], 0.99)
-    c = cells.first()
-    centre = np.array([c["m0"], c["m1"]])
-    factor = np.array([[c["l0_0"], 0], [c["l1_0"], c["l1_1"]]])
-    y = np.linalg.solve(factor, (rows[["u", "v"]].to_numpy() - centre).T)
-    assert np.allclose((y**2).sum(axis=0) * c["inflate"], d2)
-    assert np.allclose(centre, [1, 2], atol=0.25)
-    assert cells.select(F.count("*")).first()[0] == 1
+    cells = fit_cells(df.select("cell", *names), FEATURES)
+    d2 = _distance(df, cells, names).select("cell", "i", "d2").toPandas().sort_values(["cell", "i"])
+    estimates = {r["cell"]: r for r in cells.collect()}
+    for cell, x in tables.items():
+        m, s, expected = brute_mcd(x, FEATURES)
+        r = estimates[cell]
+        factor = np.array([[r[f"l{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose([r[f"m{i}"] for i in range(5)], m, atol=0.05 * scale.max()) and np.allclose(factor @ factor.T, s, atol=0.1 * np.sqrt(np.outer(np.diag(s), np.diag(s))).max())
+        got = d2[d2["cell"] == cell]["d2"].to_numpy()
+        y = np.linalg.solve(factor, (x - [r[f"m{i}"] for i in range(5)]).T)
+        assert np.allclose((y**2).sum(axis=0), got) and np.corrcoef(got, expected)[0, 1] > 0.99
+        assert ((got > CUTOFF) == (expected > CUTOFF)).mean() > 0.998
+        assert (got[1_500:] > CUTOFF).all() and (got[:1_500] <= CUTOFF).mean() > 0.995
+        assert 3.0 < np.median(got[:1_500]) < 5.0  # of a chi-square with 5 degrees of freedom: 4.35
 
 
 # -- licenses
