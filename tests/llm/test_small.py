@@ -196,6 +196,8 @@ def test_near_duplicates_odd(spark):
     assert near_duplicates(documents(spark, ["NULL", ""])).where("kept").count() == 2
     out = near_duplicates(documents(spark, ["NOID", "NOID"])).collect()
     assert all(r["component_id"] is None and r["kept"] for r in out)
+    named = documents(spark, ["x y z a b c", "x y z a b c", " ".join(LONG.split()[:300]), " ".join(LONG.split()[:301]), "else"]).selectExpr("concat('id', doc_id) AS doc_id", "text")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(named).collect()} == {"id0": "id0", "id1": "id0", "id2": "id2", "id3": "id2", "id4": "id4"}
     df = documents(spark, ["a b c d e", "a b c d e"])
     assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(df.unionByName(df)).collect()} == {(0, 0), (1, 0)}
 
