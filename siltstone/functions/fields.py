@@ -121,44 +121,54 @@ def record_bytes(props: Column | str = "props", msg: Column | str = "msg") -> Co
     return (F.lit(20) + F.aggregate(_col(props), F.lit(0), each) + F.octet_length(_col(msg))).cast("long")
 
 
-def _is_json(text: str) -> bool:
-    try:
-        json.loads(text)
-    except ValueError:
-        return False
-    return True
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
 
 
-def _is_xml(text: str) -> bool:
+def _kind(piece: str) -> str:
+    """What a closed piece of a message is, by its first visible character and whether it parses."""
+    text = piece.strip()
     try:
-        ElementTree.fromstring(text)
-    except (ElementTree.ParseError, ValueError):
-        return False
-    return True
+        if text[:1] == "{":
+            json.loads(text, parse_constant=_no_constant)
+            return "json"
+        if text[:1] == "<":
+            ElementTree.fromstring(text)
+            return "xml"
+    except (ValueError, ElementTree.ParseError):
+        pass
+    return "text"
 
 
 def split_message(msg: str) -> list[tuple[str, str]]:
-    """(kind, text) of a message's fragments in order: json for closed brace blocks that parse, xml for the rest of a
-    text from its first '<' on if that parses, else text."""
+    """(kind, text) of a message's fragments in order; together they are the message.
+
+    A brace that opens the outermost block ends the text before it, and one that closes it ends a fragment: json if it parses, text
+    otherwise. Outside blocks, a fragment whose first visible character is '<' ends at each '>' up to which it is well-formed XML.
+    What is left at the end is a fragment too. Braces that close nothing count, so they shift what is outermost after them."""
+    out: list[tuple[str, str]] = []
+    start, depth = 0, 0
 
-    def texts(piece: str) -> list[tuple[str, str]]:
-        at = piece.find("<")
-        if at >= 0 and _is_xml(piece[at:].strip()):
-            return [("text", piece[:at])] * bool(piece[:at].strip()) + [("xml", piece[at:].strip())]
-        return [("text", piece)] if piece.strip() else []
+    def cut(end: int, kind: str | None = None) -> None:
+        nonlocal start
+        out.append((kind or _kind(msg[start:end]), msg[start:end]))
+        start = end
 
-    out, depth, start, open_at = [], 0, 0, 0
-    for i, c in enumerate(msg):
+    for mark in re.finditer("[{}>]", msg):
+        i, c = mark.start(), mark[0]
         if c == "{":
-            if depth == 0:
-                open_at = i
             depth += 1
-        elif c == "}" and depth:
+            if depth == 1 and i > start:
+                cut(i, "text")
+        elif c == "}":
             depth -= 1
-            if depth == 0 and _is_json(msg[open_at : i + 1]):
-                out += [*texts(msg[start:open_at]), ("json", msg[open_at : i + 1])]
-                start = i + 1
-    return out + texts(msg[start:])
+            if depth == 0:
+                cut(i + 1)
+        elif depth == 0 and _kind(msg[start : i + 1]) == "xml":
+            cut(i + 1, "xml")
+    if start < len(msg):
+        cut(len(msg))
+    return out
 
 
 def msg_fragments(df: DataFrame, key: str, msg: str = "msg") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.fields import record_bytes, with_device_prop
 from siltstone.functions.filters import _equals_any
 from siltstone.functions.schema import SEGMENT_HEADER, SEGMENT_ROWS, UNKNOWN_DEVICE
-from siltstone.operators.windows import cut_segments
+from siltstone.operators.windows import cut_segments_in_blocks
 
 
 def segment_summary(chunks: DataFrame, by: Iterable[str] = ("device_id", "chunk")) -> DataFrame:
@@ -83,7 +83,7 @@ def compact(chunks: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
         "device_id", "chunk", (small & (F.count(F.when(small, 1)).over(device) >= 2)).alias("_small"), (F.max("chunk").over(device) + 1).alias("_next"),
     )
     rows = chunks.join(marked, ["device_id", "chunk"])
-    again = cut_segments(rows.where("_small").drop("chunk"), size)
+    again = cut_segments_in_blocks(rows.where("_small").drop("chunk"), size)  # a device may be larger than a task
     again = again.withColumn("chunk", F.col("chunk") + F.col("_next"))
     return rows.where(~F.col("_small")).unionByName(again).select(chunks.columns)
 
@@ -93,4 +93,5 @@ def assign_orphans(chunks: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
     go to the unknown device and get the property. Logs of other segments aren't in the result."""
     orphans = chunks.where(F.col("device_id").isNull()).withColumn("props", with_device_prop("props"))
     named = F.coalesce(F.get(F.filter("props", lambda p: p["key"] == "deviceId"), F.lit(0))["value"], F.lit(UNKNOWN_DEVICE))
-    return cut_segments(orphans.withColumn("device_id", named), size)
+    # all that name no device are one device, so it is cut in blocks
+    return cut_segments_in_blocks(orphans.withColumn("device_id", named).drop("chunk"), size)

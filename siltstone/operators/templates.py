@@ -72,35 +72,36 @@ def tokens_of(msg: Column, separators: tuple[str, ...], wildcard: str) -> Column
     return F.transform(F.split(msg, one, -1), lambda t: F.when(t.rlike(f"(?U){wildcard}"), STAR).otherwise(t))
 
 
-def _mine(df: DataFrame, order: list[str], msg: str, separators: tuple[str, ...], wildcard: str, threshold: float, passes: int) -> DataFrame:
+def _mine(df: DataFrame, order: list[str], msg: str, separators: tuple[str, ...], wildcard: str, threshold: float, passes: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Lines are brought together by group and read in order as a stream, once for each pass; a task holds the templates of
     one group, not its lines."""
-    rows = df.select(*order, tokens_of(F.coalesce(F.col(msg), F.lit("")), separators, wildcard).alias("_t"))
+    rows = df.select(*order, *carry, tokens_of(F.coalesce(F.col(msg), F.lit("")), separators, wildcard).alias("_t"))
     rows = rows.withColumn("_n", F.size("_t")).withColumn("_first", F.get("_t", F.lit(0)))
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     kinds = [df.schema[c].dataType.simpleString() for c in order]
+    columns = [*order, *carry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, founders = None, Group(threshold), []
         for batch in batches:
             out = []
-            places = list(zip(*[batch[c] for c in order], strict=True))
+            places = list(zip(*[batch[c] for c in columns], strict=True))
             for n, first, p, tokens, place in zip(batch["_n"], batch["_first"], batch["_pass"], batch["_t"], places, strict=True):
                 if (n, first) != key:
                     key, group, founders = (n, first), Group(threshold), []
                 k = group.learn(tuple(tokens))
                 if k == len(founders):  # a template is known by the line that founded it
-                    founders.append((p, *place))
+                    founders.append((p, *place[: len(order)]))
                 if p == passes - 1:
                     out.append((*place, *founders[k], group.texts[k]))
-            yield pd.DataFrame(out, columns=[*order, "_pass", *[f"_by_{c}" for c in order], "text"])
+            yield pd.DataFrame(out, columns=[*columns, "_pass", *[f"_by_{c}" for c in order], "text"])
 
-    shape = ", ".join([*[f"{c} {k}" for c, k in zip(order, kinds, strict=True)], "_pass int", *[f"_by_{c} {k}" for c, k in zip(order, kinds, strict=True)], "text string"])
+    shape = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in columns], "_pass int", *[f"_by_{c} {k}" for c, k in zip(order, kinds, strict=True)], "text string"])
     mined = rows.repartition("_n", "_first").sortWithinPartitions("_n", "_first", "_pass", *order).mapInPandas(run, shape)
     mined = materialize(mined, "mined")
     keys = ["_pass", *[f"_by_{c}" for c in order]]
     ids = _dense_ids(materialize(mined.select(*keys).distinct(), "founders"), keys)
-    return mined.join(ids, keys).select(*order, "template_id", "text")
+    return mined.join(ids, keys).select(*columns, "template_id", "text")
 
 
 def _dense_ids(founders: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,10 +115,10 @@ def _dense_ids(founders: DataFrame, keys: list[str]) -> DataFrame:
     return ranged.join(shifts, "_part").select(*keys, (F.col("_shift") + F.col("_row")).cast("int").alias("template_id"))
 
 
-def mine_templates(df: DataFrame, order: list[str], msg: str = "msg", separators: tuple[str, ...] = SEPARATORS, wildcard: str = WILDCARD, threshold: float = THRESHOLD) -> DataFrame:
-    """(*order, template_id, text): each line's template, and the template's text just after the line. order: columns that
-    order all lines; ids are 1, 2, ... in order of the founding lines; order must be unique."""
-    return _mine(df, order, msg, separators, wildcard, threshold, 1)
+def mine_templates(df: DataFrame, order: list[str], msg: str = "msg", separators: tuple[str, ...] = SEPARATORS, wildcard: str = WILDCARD, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(*order, *carry, template_id, text): each line's template, and the template's text just after the line. order: columns that
+    order all lines; ids are 1, 2, ... in order of the founding lines; order must be unique. carry: further columns of the lines."""
+    return _mine(df, order, msg, separators, wildcard, threshold, 1, carry)
 
 
 def assign_templates(df: DataFrame, order: list[str], msg: str = "msg", separators: tuple[str, ...] = CLI_SEPARATORS, wildcard: str = CLI_WILDCARD, threshold: float = THRESHOLD) -> DataFrame:

@@ -177,6 +177,34 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.device_rollup(stored).select("device_id", "logs_count", "logs_size", ntz("last_upload_at"))
 
 
+@register("s3_import_segment_tables", with_(LOGS_SQL, CHUNKS_SQL, PROPS_SQL) + f"""SELECT 'segments' AS part, CAST(count(*) AS VARCHAR) AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') || ' ' || strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS value, CAST(sum({BYTES_SQL}) AS BIGINT) AS bytes FROM logs
+  UNION ALL SELECT DISTINCT 'props', key, value, 0 FROM segment_props""")
+def s3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the segments that an import finds: logs, first and last time and bytes without headers; and all their properties."""
+    files = materialize(B.pack_segments(B.encode_batches(logs(spark, sf_dir)), b"LOGSEGMENTS").withColumn("length", F.octet_length("content").cast("long")), "chunks")
+    _, found, props = B.import_segment_files(files, b"LOGSEGMENTS")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    totals = found.agg(F.sum("logs_count").alias("n"), F.min("first_timestamp").alias("a"), F.max("last_timestamp").alias("b"), F.sum(F.col("original_size") - 13).alias("bytes"))
+    totals = totals.select(F.lit("segments").alias("part"), F.col("n").cast("string").alias("key"), F.concat_ws(" ", at("a"), at("b")).alias("value"), "bytes")
+    return totals.unionByName(props.select(F.lit("props").alias("part"), "key", "value", F.lit(0).cast("long").alias("bytes")).distinct())
+
+
+@register("s5_write_logs", LOGS + "SELECT random, ts, msg, device_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM logs")
+def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in two goes, a device's logs of a day spread over three files and more; read back by day."""
+    path, rows = new_folder(spark, "logs"), logs(spark, sf_dir)
+    S.write_logs(rows.where(F.col("ts") < F.lit(MID)), path, rows=50, buckets_per_device=3)
+    S.write_logs(rows.where(F.col("ts") >= F.lit(MID)), path, rows=50, buckets_per_device=3)
+    return S.read_logs(spark, path).select("random", ntz("ts"), "msg", "device_id", F.col("day").cast("string").alias("day"))
+
+
+@register("s8_read_json_logs", LOGS + SHOW_LOGS)
+def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "json-logs")
+    S.to_json_lines(logs(spark, sf_dir)).write.text(path)
+    return show_logs(S.read_json_logs(spark, path))
+
+
 @register("s6_json_lines", LOGS + SHOW_LOGS)
 def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = materialize(S.to_json_lines(logs(spark, sf_dir)), "json")
@@ -189,9 +217,12 @@ def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).select("random", S.text_line().alias("line"))
 
 
-@register("s10_drop_bad_clocks", LOGS + "SELECT random, ts FROM logs WHERE year(ts) BETWEEN 2023 AND 2034")
+@register("s10_drop_bad_clocks", LOGS + "SELECT random, ts FROM (SELECT random, CASE random % 5 WHEN 0 THEN ts - INTERVAL 6 YEAR WHEN 1 THEN ts + INTERVAL 11 YEAR WHEN 2 THEN ts - INTERVAL 1 YEAR ELSE ts END AS ts FROM logs) WHERE year(ts) BETWEEN 2023 AND 2034")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drop_bad_clocks(logs(spark, sf_dir), NOW).select("random", ntz("ts"))
+    """Of five devices' clocks, one is years behind and one years ahead."""
+    wrong = F.when(F.col("random") % 5 == 0, F.col("ts") - F.expr("INTERVAL 6 YEAR")).when(F.col("random") % 5 == 1, F.col("ts") + F.expr("INTERVAL 11 YEAR"))
+    rows = logs(spark, sf_dir).withColumn("ts", wrong.when(F.col("random") % 5 == 2, F.col("ts") - F.expr("INTERVAL 1 YEAR")).otherwise(F.col("ts")))
+    return S.drop_bad_clocks(rows, NOW).select("random", ntz("ts"))
 
 
 # -- fields ------------------------------------------------------------------------------------------------------------
@@ -225,10 +256,19 @@ def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).select("random", *[P.ts_part(p, -330).alias(f"{p}_at") for p in P.TIME_PARTS])
 
 
-@register("p12_msg_fragments")
+_P12 = "SELECT event_id, CAST({} AS INT) AS pos, '{}' AS kind, {} AS fragment FROM events"
+_ODD = "event_id % 2 = 1"
+
+
+@register("p12_msg_fragments", " UNION ALL ".join([
+    _P12.format(0, "text", "event_type || ' '"), _P12.format(1, "json", "props"), _P12.format(2, "xml", "'<user id=\"' || user_id || '\"/>'") + " WHERE NOT " + _ODD, _P12.format(3, "text", "' tail '") + " WHERE NOT " + _ODD,
+    _P12.format(4, "text", "'{no json ' || event_type || '}'") + " WHERE NOT " + _ODD, _P12.format(2, "text", "' by <user id=\"' || user_id || '\"/>'") + " WHERE " + _ODD,
+]))
 def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages that carry the event's JSON and an XML tail."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("msg", F.concat("event_type", F.lit(" "), "props", F.lit(" by <user id='"), F.col("user_id").cast("string"), F.lit("'/>")))
+    """Messages that carry the event's JSON; XML right after it, a text and braces without JSON; or XML inside a text."""
+    user = F.concat(F.lit('<user id="'), F.col("user_id").cast("string"), F.lit('"/>'))
+    tail = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit(" by "), user)).otherwise(F.concat(user, F.lit(" tail {no json "), "event_type", F.lit("}")))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("msg", F.concat("event_type", F.lit(" "), "props", tail))
     return P.msg_fragments(e, "event_id").drop("parsed")
 
 
@@ -403,6 +443,18 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.assign_templates(turns.dropDuplicates(["conv_id", "turn"]), ["conv_id", "turn"])
 
 
+@register("d2_assign_templates_events", LOGS + _TEMPLATES + "SELECT random, template_id, text FROM parsed")
+def d2_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.assign_templates(logs(spark, sf_dir), ["ts", "random"]).select("random", "template_id", "text")
+
+
+@register("s9_write_templates_csv", LOGS + _TEMPLATES + """SELECT CAST(template_id AS VARCHAR) AS "TemplateID", text AS "Text" FROM parsed""")
+def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "templates")
+    S.write_templates_csv(parsed(spark, sf_dir), path)
+    return spark.read.option("sep", ";").option("header", True).csv(path)
+
+
 @register("a11_template_counts", LOGS + _TEMPLATES + "SELECT template_id, count(*) AS count FROM parsed GROUP BY template_id")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.template_counts(parsed(spark, sf_dir))
@@ -426,9 +478,9 @@ def w1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("w2_sequence_windows", LOGS + _TEMPLATES + """, w AS (SELECT device_id, row_number() OVER o AS pos, list(template_id) OVER (PARTITION BY device_id ORDER BY ts, id ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS a FROM parsed WINDOW o AS (PARTITION BY device_id ORDER BY ts, id))
 SELECT device_id, CAST(pos AS INT) AS pos, array_to_string(a[1:10], ' ') AS x, array_to_string(a[11:11], ' ') AS y FROM w WHERE len(a) = 11""")
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = parsed(spark, sf_dir).select("ts", "random", "template_id").join(logs(spark, sf_dir).select("ts", "random", "device_id"), ["ts", "random"]).withColumn("id", P.log_id())
+    lines = D.mine_templates(logs(spark, sf_dir), ["ts", "random"], carry=("device_id",)).withColumn("id", P.log_id())
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
-    return W.sequence_windows(lines).select("device_id", "pos", text("x"), text("y"))
+    return W.sequence_windows(lines, block=F.to_date("ts"), block_rows=50).select("device_id", "pos", text("x"), text("y"))
 
 
 # -- devices -----------------------------------------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.fields import device_id
 from siltstone.functions.schema import LEVELS, SEGMENT_HEADER
 from siltstone.operators.segments import segment_props, segment_summary
+from siltstone.sources.scratch import materialize
 
 _HEAD = struct.Struct("<HqIBB")
 _LENGTH = struct.Struct("<I")
@@ -163,9 +164,13 @@ def strip_segments(files: DataFrame, magic: bytes | None = None, content: str =
 
 def import_segments(spark: SparkSession, path: str, magic: bytes | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(logs, segments, segment props) of a folder of stored chunks: one segments row per non-empty file."""
-    files = spark.read.format("binaryFile").load(path)
+    return import_segment_files(spark.read.format("binaryFile").load(path), magic)
+
+
+def import_segment_files(files: DataFrame, magic: bytes | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of files (path, content, length). The decoded logs are stored, so each file is decoded once."""
     logs = decode_contents(strip_segments(files, magic))
-    logs = logs.withColumn("device_id", device_id("props"))
+    logs = materialize(logs.withColumn("device_id", device_id("props")), "imported")
     sizes = files.select("path", F.col("length").alias("compressed_size"))
     segments = segment_summary(logs, ["path"]).join(sizes, "path")
     return logs, segments, segment_props(logs, ["path"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests on a local master, a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, as in tests on a local master, a temporary folder. On a cluster it must be set: executors don't see
+    each other's disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-siltstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

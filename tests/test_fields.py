@@ -101,5 +101,17 @@ def test_fragments(spark):
     df = spark.createDataFrame([(1, 'got {"a": {"b": 1}} and {not json} <x><y/></x>'), (2, None), (3, ""), (4, "{{")], "id long, msg string")
     rows = P.msg_fragments(df, "id").select("id", "pos", "kind", "fragment", F.expr("variant_get(parsed, '$.a.b', 'int')").alias("b")).orderBy("id", "pos").collect()
     assert [(r["id"], r["kind"], r["fragment"].strip(), r["b"]) for r in rows] == [
-        (1, "text", "got", None), (1, "json", '{"a": {"b": 1}}', 1), (1, "text", "and {not json}", None), (1, "xml", "<x><y/></x>", None), (4, "text", "{{", None),
+        (1, "text", "got", None), (1, "json", '{"a": {"b": 1}}', 1), (1, "text", "and", None), (1, "text", "{not json}", None), (1, "xml", "<x><y/></x>", None), (4, "text", "{{", None),
     ]
+
+
+def test_split_message():
+    split = P.split_message
+    assert split("<a/> tail") == [("xml", "<a/>"), ("text", " tail")]
+    assert split("<a/><b/>") == [("xml", "<a/>"), ("xml", "<b/>")]
+    assert split("x <a/>") == [("text", "x <a/>")]
+    assert split('{"a": NaN}{"a": 1}') == [("text", '{"a": NaN}'), ("json", '{"a": 1}')]
+    assert split('} {"a": 1} b') == [("text", '} {"a": 1} b')]  # a brace that closes nothing shifts the rest
+    assert split("<a>{x}</a>") == [("text", "<a>"), ("text", "{x}"), ("text", "</a>")]
+    for msg in ("", "a{b}{c", "<a><b></a>", " <x> </x> {}"):
+        assert "".join(x for _, x in split(msg)) == msg

@@ -80,6 +80,20 @@ def test_sequences(spark):
     assert [(r["device_id"], r["x"], r["y"]) for r in out] == [("d", [0, 10, 20], [30]), ("d", [10, 20, 30], [40]), ("d", [20, 30, 40], [50])]
 
 
+def test_large_device(spark):
+    """A device with nine in ten rows: blocks give what one task would."""
+    rows = [(AT + timedelta(minutes=7 * k), "info", dev("big" if k % 10 else "small"), f"m{k}") for k in range(600)]
+    df = table(spark, *rows)
+    lines = df.withColumn("template_id", F.col("random").cast("int")).withColumn("id", F.col("random"))
+    whole = W.sequence_windows(lines, 5, 2)
+    blocks = W.sequence_windows(lines, 5, 2, block=F.to_date("ts"), block_rows=20)
+    assert whole.count() == 540 - 6 + 60 - 6 and whole.exceptAll(blocks).count() == 0 and blocks.exceptAll(whole).count() == 0
+    parts = df.withColumn("chunk", F.col("random").cast("int"))
+    out = C.compact(parts, 50).groupBy("device_id", "chunk").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("device_id", "a").collect()
+    assert [r["n"] for r in out] == [50] * 10 + [40, 50, 10]
+    assert all(x["b"] < y["a"] for x, y in zip(out, out[1:], strict=False) if x["device_id"] == y["device_id"])
+
+
 def test_segments(spark):
     df = table(spark, *[(AT + k * H, "info" if k else "warn", dev("a"), "m") for k in range(4)])
     cut = W.cut_segments(df, 2)
