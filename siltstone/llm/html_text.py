@@ -51,7 +51,8 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".
 _ACROSS = frozenset("table tr tbody thead tfoot body html".split())
 _ENDS_P_WITHIN = SCOPE | {"button", "li", "div"}
 
-_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Where a tag (end mark, name), a declaration or a comment begins; other '<' are text.
+_OPENS = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 _GAP = re.compile(r"[\s/]*")
 _NAME = re.compile(r"=?[^\s/>=]*")
 _EQUALS = re.compile(r"\s*=\s*")
@@ -72,6 +73,8 @@ def read_tag(source: str, pos: int) -> tuple[dict[str, str], bool, int]:
     """Attributes of the tag whose name ends at pos (the first of each name holds), whether it closes itself, and where it ends. A tag
     that the page's end cuts is no tag: None. A quote that never ends is an ordinary character."""
     attributes: dict[str, str] = {}
+    if source[pos : pos + 1] == ">":
+        return attributes, False, pos + 1
     n = len(source)
     while True:
         gap = _GAP.match(source, pos).end()
@@ -103,7 +106,11 @@ class _Builder:
 
     def last(self, tags: Iterable[str]) -> int:
         """Place of the innermost open element with one of the tags; 0 if there is none but the root."""
-        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+        found, places = 0, self.places
+        for tag in tags:
+            if (own := places.get(tag)) and own[-1] > found:
+                found = own[-1]
+        return found
 
     def open(self, node: Node) -> None:
         self.places[node.tag].append(len(self.stack))
@@ -115,7 +122,7 @@ class _Builder:
 
     def end(self, tag: str) -> None:
         """An end tag; one that fits nothing open is ignored."""
-        at = self.last([tag])
+        at = self.last((tag,))
         if not at or (tag not in _ACROSS and at < self.last(SCOPE)):
             return
         block = next((k for k in range(at + 1, len(self.stack)) if self.stack[k].tag in BLOCK), None) if tag in FORMATTING else None
@@ -145,7 +152,7 @@ class _Builder:
                 return None
         elif len(self.stack) == 2 and self.stack[1].tag == "head" and tag in BLOCK:
             self.close_to(1)  # a head ends where the content begins
-        if tag in ENDS_P and (p := self.last(["p"])) > self.last(_ENDS_P_WITHIN):
+        if tag in ENDS_P and (p := self.last(("p",))) and p > self.last(_ENDS_P_WITHIN):
             self.close_to(p)
         if tag in IMPLIED:
             ends, limits = IMPLIED[tag]
@@ -153,7 +160,7 @@ class _Builder:
             inside = [places[k] for t in ends if (places := self.places[t]) and (k := bisect_right(places, limit)) < len(places)]
             if inside:
                 self.close_to(min(inside))
-        if any(self.places[x] and tag in unshown for x, unshown in UNSHOWN.items()):
+        if any(tag in unshown and self.places[x] for x, unshown in UNSHOWN.items()):
             attributes["hidden"] = ""
         node = Node(tag, attributes)
         self.stack[-1].children.append(node)
@@ -168,27 +175,19 @@ def parse(source: str) -> Node:
     builder = _Builder()
     pos, n = 0, len(source)
     while pos < n:
-        at = source.find("<", pos)
-        while at >= 0 and not (source[at + 1 : at + 2] in ("!", "?") or _TAG_NAME.match(source, at + 2 if source[at + 1 : at + 2] == "/" else at + 1) or source[at + 1 : at + 2] == "/"):
-            at = source.find("<", at + 1)  # a bare one is text
-        if at < 0:
-            at = n
+        opens = _OPENS.search(source, pos)
+        at = opens.start() if opens else n
         if at > pos:
             builder.stack[-1].children.append(html.unescape(source[pos:at]))
         if at == n:
             break
-        if source.startswith("<!--", at):
-            close = source.find("-->", at + 4)
-            pos = close + 3 if close >= 0 else n
+        if not opens[2]:  # a comment, a declaration, or a comment in disguise
+            end = "-->" if source.startswith("<!--", at) else ">"
+            close = source.find(end, at + (4 if end == "-->" else 0))
+            pos = close + len(end) if close >= 0 else n
             continue
-        ends = source[at + 1] == "/"
-        name = _TAG_NAME.match(source, at + 1 + ends)
-        if not name:  # a declaration, or a comment in disguise
-            close = source.find(">", at)
-            pos = close + 1 if close >= 0 else n
-            continue
-        tag = name[0].lower()
-        attributes, closed, pos = read_tag(source, name.end())
+        ends, tag = opens[1], opens[2].lower()
+        attributes, closed, pos = read_tag(source, opens.end())
         if ends:
             if tag == "br":
                 builder.stack[-1].children.append(Node("br", {}))
