@@ -2,7 +2,7 @@
 
 None of them has SQL: op1 and op8 need tokenizers, op2 and op3 compare sets and vectors across all rows (too slow
 on whole tables), op4 and op10 fit models, op5, op6, op7 and op9 need digests or automata that DuckDB lacks.
-Each is tested against a brute-force version in tests/llm.
+tests/llm holds them against brute force, libraries, other parsers, round trips or held-out labels.
 """
 
 from __future__ import annotations
