@@ -36,3 +36,20 @@ def test_pipeline(spark, tmp_path):
     assert sorted(set(packed["doc_id"])) == seen["near-duplicates"]
     for _, g in packed.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Rows are judged by themselves: neither null nor repeated ids tie good rows to bad ones. An empty table stays empty."""
+    bad = "a b c d e f g h i\n" * 40
+    rows = [(i, prose(i, 80), "en", "s") for i in range(90)]
+    rows += [(None, prose(200, 80), "en", "s"), (None, bad, "en", "s"), (5, bad, "en", "s"), (6, prose(201, 80), "en", "s"), (6, prose(201, 80), "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    left = corpus_pipeline.materialize(corpus_pipeline.quality(spark, docs, str(tmp_path)), "stage")
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, left.collect()), key=key) == sorted((r for r in rows if r[1] != bad), key=key)
+    kept = corpus_pipeline.neardup(spark, left, str(tmp_path)).collect()
+    ids = [r["doc_id"] for r in kept]
+    assert sorted(i for i in ids if i is not None) == list(range(90)) and ids.count(None) == 1
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

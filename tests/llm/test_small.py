@@ -2,14 +2,18 @@
 tables and clashing columns."""
 
 import binascii
+import itertools
+import math
 import random
 import re
+import struct
 import time
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
 
@@ -456,6 +460,28 @@ def test_sharding_query(spark, tmp_path):
     for r in op7_rendezvous_sharding(spark, str(tmp_path)).collect():
         data = ("" if texts[r["doc_id"]] == "NULL" else texts[r["doc_id"]]).encode()
         assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 8, binascii.crc32(data), "key")
+        assert (r["shard"], r["grown_shard"]) == tuple(brute_shard(r["doc_id"], [1.0] * n) for n in (24, 25))
+
+
+def brute_shard(key, weights):
+    """The winner, hashed outside Spark: the key's hash is the seed of the shard number's."""
+    seed = xxhash.xxh64_intdigest("\x00null" if key is None else str(key), seed=42)
+    scores = []
+    for shard, weight in enumerate(weights):
+        u = (xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=seed) % 2**53 + 0.5) / 2**53
+        scores.append((-math.log(u) / weight, shard))
+    return min(scores)[1]
+
+
+def test_sharding_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.llm.sharding import rendezvous
+
+    weights = [1.0, 2.5, 0.5, 1.0, 4.0]
+    keys = [None, "", "k", LONG, *[f"key {i} é" for i in range(500)]]
+    out = spark.createDataFrame([(k,) for k in keys], "k string").select("k", rendezvous(F.col("k"), weights).alias("s"))
+    assert {r["k"]: r["s"] for r in out.collect()} == {k: brute_shard(k, weights) for k in keys}
 
 
 # -- byte-level BPE
@@ -544,6 +570,41 @@ def test_toxicity_features():
     assert stems("Ab abcd é") == {"abc", "abcd"}
 
 
+def brute_features(text, odds):
+    from siltstone.llm.toxicity import CONTEMPT, INSULTS, LEET, SECOND_PERSON
+
+    written = ["".join(g) for letter, g in itertools.groupby(text, str.isalpha) if letter]
+    words = [w.lower() for w in written]
+    n, letters = max(len(words), 1), max(sum(map(len, written)), 1)
+    weights = [max([odds[w[:k]] for k in range(3, 9) if len(w) >= k and w[:k] in odds], default=0) for w in words]
+    hits = [i for i, w in enumerate(words) if w in INSULTS or w in CONTEMPT or weights[i]]
+    second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    insults, contempt = sum(w in INSULTS for w in words), sum(w in CONTEMPT for w in words)
+    runs = sum(len(list(g)) > 1 for c, g in itertools.groupby(text, lambda c: "!?" if c in "!?" else None if c.isalnum() or c.isspace() or c == "_" else c) if c)
+    mixed = []
+    for token in text.split():
+        at = [i for i, c in enumerate(token) if c.isalpha()]
+        if any(j > i + 1 and set(token[i + 1 : j]) <= set("0123456789@$!*._-") for i, j in itertools.pairwise(at)):
+            mixed.append(token.lower().translate(LEET))
+    return [
+        insults / n, math.log(1 + insults + contempt), contempt / n,
+        sum(weights) / n, math.log(1 + sum(x > 0 for x in weights)), math.log(1 + len({w for w, x in zip(words, weights, strict=True) if x})), max(weights, default=0),
+        sum(any(abs(i - j) <= 4 for j in second) for i in hits) / n, len(second) / n,
+        sum(len(w) > 1 and w == w.upper() != w.lower() for w in written) / n, sum(map(str.isupper, text)) / letters, text.count("!") / n, text.count("?") / n,
+        runs / n, len(mixed) / n, sum(w in INSULTS or w in CONTEMPT for w in mixed) / n, math.log(1 + len(words)),
+    ]
+
+
+def test_toxicity_features_against_brute_force():
+    from siltstone.llm.toxicity import Lexicon, features
+
+    odds = {"gru": 2.6, "grunzel": 4.0, "the": 3.0}
+    parts = ["you", "YOUR", "tu", "idiot", "Scum", "pathetic", "1d10t", "m0r0n,", "st*pid", "grunzelt", "grub", "there", "é", "日本", "a.b", "A", "word", "!!", "?!", "...", "--", "-", "_", "x_y", "12", "\n", "(ok)"]
+    rnd = random.Random(12)
+    for text in ["", " ", LONG, *[" ".join(rnd.choice(parts) for _ in range(rnd.randint(1, 80))) for _ in range(400)]]:
+        assert features(text, Lexicon(odds)) == pytest.approx(brute_features(text, odds)), text
+
+
 def test_crowded_regions(spark):
     """More similar documents than a document has neighbours, some of them at the threshold."""
     from siltstone.llm.neardup import near_duplicates
