@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from xml.etree import ElementTree
 
@@ -18,7 +18,7 @@ TIME_PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.h
 _U64 = str(2**64 - 1)
 VERSION_PARTS = ("major", "minor", "patch")
 #: Major may have a plus sign; minor and patch end at their first - or +; parts after the third don't matter.
-_VERSION = r"(\+?[0-9]+)(?:\.([0-9]+)(?:[-+][^.]*)?)?(?:\.([0-9]+)(?:[-+][^.]*)?(?:\..*)?)?"
+_VERSION = r"(\+?[0-9]+)(?:\.([0-9]+)(?:[-+][^.]*)?(?:\.([0-9]+)(?:[-+][^.]*)?(?:\..*)?)?)?"
 
 
 def _col(c: Column | str) -> Column:
@@ -101,12 +101,18 @@ def version_of(text: str) -> tuple[int, int, int] | None:
 def semver(text: Column | str) -> Column:
     """struct(major, minor, patch), or null if the text is no version."""
     text = _col(text)
-    guard = text.rlike(rf"(?s)\A(?:{_VERSION})\z")
-    parts = F.split(text, r"\.")
-    cut = lambda i: F.coalesce(F.get(F.split(F.get(parts, F.lit(i)), "[-+]"), F.lit(0)), F.lit("0"))
-    numbers = [c.try_cast("decimal(20,0)") for c in (F.get(parts, F.lit(0)), cut(1), cut(2))]
-    sound = reduce(lambda a, b: a & b, [F.coalesce(n <= F.lit(_U64).cast("decimal(20,0)"), F.lit(False)) for n in numbers])
-    return F.when(guard & sound, F.struct(*[n.alias(a) for n, a in zip(numbers, VERSION_PARTS, strict=True)]))
+    part = lambda i: F.regexp_extract(text, rf"(?s)\A(?:{_VERSION})\z", i)
+    # minor and patch may be missing; a text that isn't a version has no major, and one that is too long is no decimal
+    texts = [part(1), *[F.concat(F.lit("0"), part(i)) for i in (2, 3)]]
+    numbers = F.struct(*[c.try_cast("decimal(20,0)").alias(a) for c, a in zip(texts, VERSION_PARTS, strict=True)])
+    most = F.lit(_U64).cast("decimal(20,0)")
+    sound = lambda v: reduce(lambda a, b: a & b, [F.coalesce(v[a] <= most, F.lit(False)) for a in VERSION_PARTS])
+    return once(numbers, lambda v: F.when(sound(v), v))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row however often it is used; filters share no subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def bucket_start(seconds: int, ts: Column | str = "ts") -> Column:

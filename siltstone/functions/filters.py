@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.fields import VERSION_PARTS, level_rank, prop, prop_values, rank_of, semver, ts_part, version_of
+from siltstone.functions.fields import VERSION_PARTS, level_rank, once, prop, prop_values, rank_of, semver, ts_part, version_of
 
 OPERATORS = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 RESERVED = ("timestamp", "level", "msg")
@@ -40,11 +40,18 @@ def _compare(value: Column, op: str, text: str) -> Column:
     """Versions if both sides are versions, else bytes."""
     if not isinstance(text, str):
         raise ValueError("a text is compared with a text")
-    plain, version = _op(op)(value, F.lit(text)), version_of(text)
-    if version is None:
+    if version_of(text) is None:
+        return _op(op)(value, F.lit(text))
+    return once(value, lambda v: _by_version(v, semver(v), op, text))
+
+
+def _by_version(value: Column, version: Column, op: str, text: str) -> Column:
+    """version: semver of value, null where that is no version; then, and if the text is none, bytes are compared."""
+    plain, parts = _op(op)(value, F.lit(text)), version_of(text)
+    if parts is None:
         return plain
-    other = F.struct(*[F.lit(str(n)).cast("decimal(20,0)").alias(p) for n, p in zip(version, VERSION_PARTS, strict=True)])
-    return F.coalesce(_op(op)(semver(value), other), plain)  # null where the value is no version
+    other = F.struct(*[F.lit(str(n)).cast("decimal(20,0)").alias(p) for n, p in zip(parts, VERSION_PARTS, strict=True)])
+    return F.coalesce(_op(op)(version, other), plain)
 
 
 def level_cmp(op: str, level: str | int) -> Column:
@@ -118,8 +125,14 @@ def prop_cmp_number(key: str, op: str, number: int) -> Column:
 
 
 def _equals_any(value: Column, values: Iterable[str | int]) -> Column:
-    tests = [_compare(value, "=", v) if isinstance(v, str) else value == F.lit(str(v)) for v in values]
-    return reduce(operator.or_, tests, F.lit(False))
+    values = list(values)
+    plain = {str(x) for x in values if not isinstance(x, str) or version_of(x) is None}
+    versions = [x for x in values if isinstance(x, str) and version_of(x) is not None]
+    equal = lambda v: v.isin(sorted(plain)) if plain else F.lit(False)
+    if not versions:
+        return equal(value)
+    any_of_them = lambda v, s: reduce(operator.or_, [_by_version(v, s, "=", x) for x in versions], equal(v))
+    return once(value, lambda v: once(semver(v), lambda s: any_of_them(v, s)))
 
 
 def field_in(name: str, values: Iterable[str | int]) -> Column:

@@ -64,10 +64,16 @@ def count_by(df: DataFrame, field: str) -> DataFrame:
 
 
 def prop_facets(device_props: DataFrame) -> DataFrame:
-    """(key, values, n_values): the distinct values of each key, sorted. Pairs are made distinct before values are gathered."""
+    """(key, values, n_values): the distinct values of each key, sorted. Pairs are made distinct before values are gathered. A key's list is one
+    row's memory; keys with very many values, such as ids, are for prop_facet_rows."""
     return device_props.select("key", "value").distinct().groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values"), F.count("*").alias("n_values"))
 
 
+def prop_facet_rows(device_props: DataFrame) -> DataFrame:
+    """(key, value, devices): a row per distinct value of each key with its number of devices; no list, so a key may have any number of values."""
+    return device_props.select("device_id", "key", "value").distinct().groupBy("key", "value").agg(F.count("*").alias("devices"))
+
+
 def template_counts(parsed: DataFrame) -> DataFrame:
     """(template_id, count) of parsed lines."""
     return parsed.groupBy("template_id").agg(F.count("*").alias("count"))

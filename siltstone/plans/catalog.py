@@ -357,6 +357,14 @@ def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(Q.search_with_stats(logs(spark, sf_dir), _flag(), 100)[0])
 
 
+@register("q5_search_counts", LOGS + f"SELECT count(*) AS examined, count(*) FILTER ({_FLAG_SQL}) AS matched FROM logs")
+def q5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search says of itself once it has run, in the same pass."""
+    rows, seen = Q.search_with_stats(logs(spark, sf_dir), _flag(), 100)
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["examined"], seen.get["matched"])], "examined long, matched long")
+
+
 # -- aggregates --------------------------------------------------------------------------------------------------------
 
 
@@ -419,6 +427,11 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.prop_facets(device_props(spark, sf_dir)).withColumn("values", F.array_join("values", "|"))
 
 
+@register("a10_prop_facet_rows", DEVICES + "SELECT key, value, count(DISTINCT device_id) AS devices FROM device_props GROUP BY key, value")
+def a10_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.prop_facet_rows(device_props(spark, sf_dir))
+
+
 # -- templates and windows ---------------------------------------------------------------------------------------------
 
 #: Messages of events differ only in numbers, so their templates are the event types, in the order in which these appear.
@@ -645,6 +658,13 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(T.stream_histogram(_as_logs(_stream(spark, sf_dir)), 3600), "complete", "histogram")
 
 
+@register("t2_stream_histogram_closed", LOGS + """, counts AS (SELECT CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) % 3600 AS bucket, count(*) AS count FROM logs GROUP BY 1)
+SELECT bucket, count FROM counts WHERE (bucket + 3600) * 1000 <= (SELECT floor(epoch_us(max(ts)) / 1000) FROM logs) - 86400000""")
+def t2_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: only buckets that end a day or more before the newest log, which the watermark has closed."""
+    return _drain(T.stream_histogram(_as_logs(_stream(spark, sf_dir)), 3600, "1 day"), "append", "closed")
+
+
 @register("t3_stream_device_stats", LOGS + "SELECT device_id, count(*) AS logs_count, CAST(sum(20 + 2 + 1 + length(list_extract(list_transform(list_filter(props, lambda x: x.key = 'k'), lambda x: x.value), 1)) + strlen(msg)) AS BIGINT) AS logs_size, max(ts) AS last_upload_at FROM logs GROUP BY device_id")
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(T.stream_device_stats(_as_logs(_stream(spark, sf_dir))), "complete", "stats").select("device_id", "logs_count", "logs_size", ntz("last_upload_at"))

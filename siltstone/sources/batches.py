@@ -7,7 +7,8 @@ length and key, u8 length and value; u32 length and message.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ _HEAD = struct.Struct("<HqIBB")
 _LENGTH = struct.Struct("<I")
 #: Micros that a timestamp can hold.
 _LOW, _HIGH = -62135596800_000000, 253402300799_999999
+#: Rows that a decoding task passes on at a time.
+BATCH_ROWS = 20_000
 ROW = "version int, random long, ts timestamp, level string, props array<struct<key:string,value:string>>, msg string"
 
 
@@ -38,9 +41,10 @@ def encode_record(version: int, micros: int, random: int, level: str, props: lis
     return b"".join([*parts, _LENGTH.pack(len(data)), data])
 
 
-def decode_records(data: bytes) -> tuple[list[tuple], int]:
-    """Rows of ROW, with times in microseconds, until the data ends, and the bytes skipped: after a bad time or level reading resumes one byte on."""
-    rows, skipped, at, n = [], 0, 0, len(data)
+def records(data: bytes) -> Generator[tuple, None, int]:
+    """Rows of ROW, with times in microseconds, one by one until the data ends; its value is the bytes skipped: after a bad time or level
+    reading resumes one byte on."""
+    skipped, at, n = 0, 0, len(data)
     while at + _HEAD.size <= n:
         version, micros, random, level, count = _HEAD.unpack_from(data, at)
         if not _LOW <= micros <= _HIGH or level > 6:
@@ -49,15 +53,27 @@ def decode_records(data: bytes) -> tuple[list[tuple], int]:
         pos, texts = at + _HEAD.size, []
         for _ in range(2 * count):
             if pos >= n or pos + 1 + data[pos] > n:
-                return rows, skipped
+                return skipped
             texts.append(data[pos + 1 : pos + 1 + data[pos]].decode("utf-8", "replace"))
             pos += 1 + data[pos]
         if pos + 4 > n or pos + 4 + _LENGTH.unpack_from(data, pos)[0] > n:
-            return rows, skipped
+            return skipped
         size = _LENGTH.unpack_from(data, pos)[0]
         msg = data[pos + 4 : pos + 4 + size].decode("utf-8", "replace")
         at = pos + 4 + size
-        rows.append((version, random, micros, LEVELS[level - 1] if level else "unknown", list(zip(texts[::2], texts[1::2], strict=True)), msg))
+        yield version, random, micros, LEVELS[level - 1] if level else "unknown", list(zip(texts[::2], texts[1::2], strict=True)), msg
+    return skipped
+
+
+def decode_records(data: bytes) -> tuple[list[tuple], int]:
+    """All rows of the data, and the bytes skipped."""
+    rows, skipped = [], 0
+
+    def run() -> Iterator[tuple]:
+        nonlocal skipped
+        skipped = yield from records(data)
+
+    rows.extend(run())
     return rows, skipped
 
 
@@ -74,14 +90,15 @@ def _table(rows: list[tuple], path: str) -> pa.RecordBatch:
 
 
 def decode_contents(files: DataFrame, content: str = "content", name: str = "path") -> DataFrame:
-    """Rows of ROW from a binary column, with the name column of their file; one file is one row of files."""
+    """Rows of ROW from a binary column, with the name column of their file; one file is one row of files. A task holds a file's bytes
+    and BATCH_ROWS of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, data in zip(batch.column("_name").to_pylist(), batch.column("_data"), strict=True):
-                rows, _ = decode_records(data.as_py() or b"")
-                for at in range(0, len(rows), 20_000):
-                    yield _table(rows[at : at + 20_000], where)
+                left = records(data.as_py() or b"")
+                while rows := list(islice(left, BATCH_ROWS)):
+                    yield _table(rows, where)
 
     return files.select(F.col(name).alias("_name"), F.col(content).alias("_data")).mapInArrow(run, f"{ROW}, path string")
 
@@ -94,10 +111,19 @@ def decode_batches(spark: SparkSession, path: str) -> DataFrame:
 def skipped_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(path, records, skipped) per file: what reading it found and left out."""
 
+    def count(data: bytes) -> tuple[int, int]:
+        left, n = records(data), 0
+        while True:
+            try:
+                next(left)
+            except StopIteration as end:
+                return n, end.value
+            n += 1
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [decode_records(bytes(x)) for x in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "records": [len(r) for r, _ in found], "skipped": [s for _, s in found]})
+            found = [count(bytes(x)) for x in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "records": [n for n, _ in found], "skipped": [s for _, s in found]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, records long, skipped long")
 

@@ -52,12 +52,17 @@ def drop_bad_clocks(df: DataFrame, now: datetime) -> DataFrame:
     return df.where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high)))
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append", rows: int = SEGMENT_ROWS, buckets_per_device: int = 1) -> None:
-    """Parquet by day, grouped by device and sorted by time inside, with at most `rows` rows a file. buckets_per_device
-    spreads a device with very many logs over that many tasks."""
-    spread = [F.pmod(F.xxhash64("ts", "random"), F.lit(buckets_per_device))] if buckets_per_device > 1 else []
+def write_logs(df: DataFrame, path: str, mode: str = "append", rows: int = SEGMENT_ROWS, buckets_per_device: int | None = None) -> None:
+    """Parquet by day, grouped by device and sorted by time inside, with at most `rows` rows a file. The rows are rebalanced by their measured
+    bytes: a device with very many logs of a day is split over tasks of the advisory size, small ones share a task.
+    buckets_per_device spreads every device over that many tasks instead."""
+    days = df.withColumn("day", F.to_date("ts"))
+    if buckets_per_device is None:
+        dealt = days.hint("rebalance", F.col("day"), F.col("device_id"))
+    else:
+        dealt = days.repartition("day", "device_id", F.pmod(F.xxhash64("ts", "random"), F.lit(buckets_per_device)))
     (
-        df.withColumn("day", F.to_date("ts")).repartition("day", "device_id", *spread).sortWithinPartitions("day", "device_id", "ts")
+        dealt.sortWithinPartitions("day", "device_id", "ts")
         .write.mode(mode).partitionBy("day").option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(path)
     )
 

@@ -78,7 +78,7 @@ def versions(spark, texts):
 
 
 def test_semver_examples(spark):
-    texts = ["1.10.0", "1", "1.2", "1.2-rc.3", "1.2.3+b", "1.", " 1.0", "+1.0", "1.+2", "1.2.3.4", "a.b", "", "18446744073709551615", "18446744073709551616", "1\n"]
+    texts = ["1.10.0", "1", "1.2", "1.2-rc.3", "1.2.3+b", "1.", " 1.0", "+1.0", "1.+2", "1.2.3.4", "a.b", "", "1.5.x", "1.x.3", "1.2.x", "1..3", "18446744073709551615", "18446744073709551616", "1\n"]
     assert versions(spark, texts) == [model(t) for t in texts]
     assert [P.version_of(t) for t in texts] == [model(t) for t in texts]
 

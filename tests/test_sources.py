@@ -34,6 +34,7 @@ def test_records():
     rows, skipped = B.decode_records(bytes(bad))
     assert skipped > 0 and all(r[5] != "one" for r in rows)
     assert B.decode_records(b"") == ([], 0)
+    assert next(B.records(data)) == B.decode_records(data)[0][0]  # a row at a time
     assert B.decode_records(struct.pack("<HqIBB", 1, 2**62, 1, 1, 0))[0] == []
 
 
