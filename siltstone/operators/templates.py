@@ -36,12 +36,13 @@ class Group:
         self.threshold = threshold
         self.templates: list[list[str]] = []
         self.texts: list[str] = []
-        self.known: dict[tuple[str, ...], int] = {}
+        self.known: dict[str, int] = {}
 
-    def learn(self, tokens: tuple[str, ...]) -> int:
-        """Index of the template that the line joins or founds."""
-        if (at := self.known.get(tokens)) is not None:
+    def learn(self, line: str, separator: str) -> int:
+        """Index of the template that the line, its tokens with the separator between, joins or founds."""
+        if (at := self.known.get(line)) is not None:
             return at
+        tokens = line.split(separator)
         best, at = 0, -1
         for i, template in enumerate(self.templates):
             equal = sum(map(str.__eq__, tokens, template))
@@ -49,7 +50,7 @@ class Group:
                 best, at = equal, i
         if at < 0 or best / len(tokens) <= self.threshold:
             at = len(self.templates)
-            self.templates.append(list(tokens))
+            self.templates.append(tokens)
             self.texts.append(" ".join(tokens))
             self.known.clear()
         else:
@@ -59,7 +60,7 @@ class Group:
                 self.texts[at] = " ".join(merged)
                 self.known.clear()
         if len(self.known) < REMEMBERED:
-            self.known[tokens] = at
+            self.known[line] = at
         return at
 
 
@@ -77,6 +78,8 @@ def _mine(df: DataFrame, order: list[str], msg: str, separators: tuple[str, ...]
     one group, not its lines."""
     rows = df.select(*order, *carry, tokens_of(F.coalesce(F.col(msg), F.lit("")), separators, wildcard).alias("_t"))
     rows = rows.withColumn("_n", F.size("_t")).withColumn("_first", F.get("_t", F.lit(0)))
+    # no token holds a separator, so the line in one text is its tokens, and is cheaper to pass to Python and to remember
+    rows = rows.withColumn("_t", F.array_join("_t", separators[0]))
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     kinds = [df.schema[c].dataType.simpleString() for c in order]
     columns = [*order, *carry]
@@ -86,10 +89,10 @@ def _mine(df: DataFrame, order: list[str], msg: str, separators: tuple[str, ...]
         for batch in batches:
             out = []
             places = list(zip(*[batch[c] for c in columns], strict=True))
-            for n, first, p, tokens, place in zip(batch["_n"], batch["_first"], batch["_pass"], batch["_t"], places, strict=True):
+            for n, first, p, line, place in zip(batch["_n"], batch["_first"], batch["_pass"], batch["_t"], places, strict=True):
                 if (n, first) != key:
                     key, group, founders = (n, first), Group(threshold), []
-                k = group.learn(tuple(tokens))
+                k = group.learn(line, separators[0])
                 if k == len(founders):  # a template is known by the line that founded it
                     founders.append((p, *place[: len(order)]))
                 if p == passes - 1:

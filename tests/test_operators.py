@@ -180,6 +180,7 @@ def test_device_updates(spark):
 def test_facets_and_pivots(spark):
     out = {r["key"]: (r["values"], r["n_values"]) for r in A.prop_facets(props(spark)).collect()}
     assert out == {"os": (["linux"], 1), "app": (["x"], 1)}
+    assert {tuple(r) for r in A.prop_facet_rows(props(spark).union(props(spark))).collect()} == {("os", "linux", 2), ("app", "x", 1)}
     df = table(spark, (AT, "info", [], "m"), (AT, "info", [], "n"))
     assert [tuple(r) for r in A.count_by(df, "level").collect()] == [("info", 2)]
     assert A.template_total(spark.createDataFrame([(1,), (1,), (2,)], "template_id int")).first()[0] == 2

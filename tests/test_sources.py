@@ -6,6 +6,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from siltstone.functions.fields import device_id
+from siltstone.functions.schema import PROPS
 from siltstone.sources import batches as B
 from siltstone.sources import logs as S
 from siltstone.streaming import streams as T
@@ -91,6 +92,22 @@ def test_write_read(spark, tmp_path):
     assert S.read_logs(spark, str(tmp_path / "more")).count() == 8
 
 
+def test_hot_device_is_split(spark, tmp_path):
+    hot = spark.range(0, 40_000, 1, 8).select(
+        F.lit(1).alias("version"), F.col("id").alias("random"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).alias("ts"), F.lit("info").alias("level"),
+        F.array().cast(PROPS).alias("props"), F.sha2(F.col("id").cast("string"), 256).alias("msg"), F.lit("hot").alias("device_id"),
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "256k")
+    try:
+        S.write_logs(hot, str(tmp_path / "hot"))
+    finally:
+        spark.conf.unset(size)
+    assert len(list((tmp_path / "hot").rglob("*.parquet"))) > 2
+    back = S.read_logs(spark, str(tmp_path / "hot"))
+    assert back.select("random").distinct().count() == back.count() == 40_000
+
+
 def test_bad_clocks(spark):
     rows = [(datetime(y, 6, 1, tzinfo=timezone.utc), "info", [], str(y)) for y in (1970, 2022, 2023, 2034, 2035)]
     out = S.drop_bad_clocks(logs(spark, *rows), datetime(2024, 2, 1))
