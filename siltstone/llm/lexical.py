@@ -31,7 +31,7 @@ BLOCK_TERMS = 16_384
 #: Documents of a batch at most, and numbers that the maxima of a batch's documents take at most.
 BATCH_ROWS, BATCH_CELLS = 2_048, 1 << 24
 #: Children of a node of documents, and of one of items.
-WIDTH, ITEM_WIDTH = 16, 8
+WIDTH, ITEM_WIDTH = 4, 8
 #: Bytes of a text that are split into terms at a time.
 PIECE = 1 << 20
 
@@ -106,35 +106,38 @@ class Best:
 
 
 class Batch:
-    """Documents of a batch as rows of a matrix, and the maxima of their tree: leaves of WIDTH documents, nodes of WIDTH leaves, the root."""
+    """Documents of a batch as rows of a matrix, and the maxima of their tree: leaves of WIDTH documents, nodes of WIDTH leaves, and so on to the root."""
 
     def __init__(self, ids: np.ndarray, terms: list[np.ndarray], values: list[np.ndarray], width: int):
         self.ids = ids
-        docs = np.zeros((len(ids), width), np.int32)
+        docs = np.zeros((-(-len(ids) // WIDTH) * WIDTH, width), np.int32)
         docs[np.repeat(np.arange(len(ids)), [len(t) for t in terms]), np.concatenate(terms)] = np.concatenate(values)
-        self.levels = [docs]  # documents, leaves, nodes, root
-        for _ in range(2):
-            self.levels.append(np.maximum.reduceat(self.levels[-1], np.arange(0, len(self.levels[-1]), WIDTH), axis=0))
-        self.levels.append(self.levels[-1].max(axis=0)[None, :])
+        self.levels = [docs[: len(ids)]]
+        while True:
+            self.levels.append(docs.reshape(-1, WIDTH, width).max(axis=1))
+            if len(self.levels[-1]) == 1:
+                break
+            docs = np.pad(self.levels[-1], ((0, -len(self.levels[-1]) % WIDTH), (0, 0)))
+        self.top = len(self.levels) - 1
 
     def bounds(self, level: int, at: np.ndarray, node: Node) -> np.ndarray:
         """Of the nodes `at` of a level with node; scores, if both are single."""
         return self.levels[level][at[:, None], node.terms].astype(float) @ node.weights
 
     def children(self, level: int, at: np.ndarray) -> np.ndarray:
-        below = len(self.levels[level - 1])
-        out = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel() if level < 3 else np.arange(below)
-        return out[out < below]
+        out = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        return out[out < len(self.levels[level - 1])]
 
 
 def search_batch(batch: Batch, roots: list[Node], best: Best, seen: Counter) -> None:
     """Adds the batch's documents to best. seen counts the pairs of nodes that were bounded, and the pairs that were scored."""
     for root in roots:
-        meet(batch, root, 3, np.zeros(1, np.int64), best, seen)
+        meet(batch, root, batch.top, np.zeros(1, np.int64), best, seen)
 
 
 def meet(batch: Batch, node: Node, level: int, at: np.ndarray, best: Best, seen: Counter) -> None:
-    """Descends both trees at once. at: nodes of a level of the documents' tree, of which those stay whose bound reaches the weakest floor of node's items."""
+    """Descends both trees at once, a single item or leaves waiting for the other side. at: nodes of a level of the documents' tree, of which
+    those stay whose bound reaches the weakest floor of node's items."""
     seen["bounded"] += len(at)
     bounds = batch.bounds(level, at, node)
     weakest = best.floor[node.items].min()
@@ -142,15 +145,16 @@ def meet(batch: Batch, node: Node, level: int, at: np.ndarray, best: Best, seen:
     at, bounds = at[live], bounds[live]
     if not len(at):
         return
-    if node.below:
-        for child in node.below:
-            meet(batch, child, level - 1, batch.children(level, at), best, seen)
+    if node.below or level > 1:
+        at = batch.children(level, at) if level > 1 else at
+        for child in node.below or [node]:
+            meet(batch, child, max(level - 1, 1), at, best, seen)
         return
     # one item, and leaves: those of the largest bounds first, more and more of them as the floor rises
     order = np.argsort(-bounds, kind="stable")
     at, bounds, item, done, take = at[order], bounds[order], node.items[0], 0, 4
     while done < len(at) and bounds[done] >= best.floor[item]:
-        docs = batch.children(level, at[done : done + take])
+        docs = batch.children(1, at[done : done + take])
         seen["scored"] += len(docs)
         best.add(item, batch.bounds(0, docs, node), batch.ids[docs])
         done, take = done + take, 2 * take
@@ -275,7 +279,7 @@ def first_batches(rows: DataFrame, items: Items) -> DataFrame:
 
         def use(number: int, batch: Batch) -> None:
             for node in single:
-                bound = batch.bounds(3, np.zeros(1, np.int64), node)[0]
+                bound = batch.bounds(batch.top, np.zeros(1, np.int64), node)[0]
                 if bound > top[node.items[0]]:
                     top[node.items[0]], where[node.items[0]] = bound, number
 
