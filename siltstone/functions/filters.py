@@ -161,10 +161,19 @@ def any_value_in(key: str, values: Iterable[str | int]) -> Column:
     return _sure(F.exists(prop_values(key), lambda v: _equals_any(v, values)))
 
 
-def ts_cmp(op: str, instant: datetime) -> Column:
+def _of_day(op: str, instant: datetime, day: str | None) -> list[Column]:
+    """What a comparison of ts says of the day (UTC) under which a log is stored."""
+    if day is None or op == "!=":
+        return []
+    return [_op({">": ">=", "<": "<="}.get(op, op))(F.col(day), F.to_date(F.lit(instant)))]
+
+
+def ts_cmp(op: str, instant: datetime, day: str | None = None) -> Column:
+    """day: the column of the stored day, if the table has one. The test on it follows from the one on ts and changes no result, but folders of
+    other days aren't read then, under and and or alike."""
     if not isinstance(instant, datetime):
         raise ValueError("a time is compared with a time")
-    return _sure(_op(op)(F.col("ts"), F.lit(instant)))
+    return all_of(_sure(_op(op)(F.col("ts"), F.lit(instant))), *_of_day(op, instant, day))
 
 
 def ts_part_cmp(part: str, op: str, number: int, minutes_west: int = 0) -> Column:
@@ -174,7 +183,8 @@ def ts_part_cmp(part: str, op: str, number: int, minutes_west: int = 0) -> Colum
 
 
 def all_of(*tests: Column) -> Column:
-    return reduce(operator.and_, tests, F.lit(True))
+    """All of the tests; without tests the filter is empty, so true."""
+    return reduce(operator.and_, tests) if tests else F.lit(True)
 
 
 def any_of(*tests: Column) -> Column:
@@ -186,10 +196,10 @@ def text_search(text: str) -> Column:
     return msg_like(text)
 
 
-def time_range(start: datetime | None = None, end: datetime | None = None) -> Column:
-    """Both ends count."""
-    tests = [F.col("ts") >= F.lit(start)] * (start is not None) + [F.col("ts") <= F.lit(end)] * (end is not None)
-    return _sure(all_of(*tests))
+def time_range(start: datetime | None = None, end: datetime | None = None, day: str | None = None) -> Column:
+    """Both ends count. day: as in ts_cmp."""
+    ends = [(">=", start)] * (start is not None) + [("<=", end)] * (end is not None)
+    return all_of(*[ts_cmp(op, at, day) for op, at in ends])
 
 
 def for_devices(ids: Iterable[str]) -> Column:

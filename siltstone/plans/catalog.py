@@ -23,6 +23,7 @@ from siltstone.operators import windows as W
 from siltstone.sources import batches as B
 from siltstone.sources import logs as S
 from siltstone.sources.scratch import materialize, new_folder
+from siltstone.sources.skipping import write_properties
 from siltstone.streaming import streams as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,10 +341,53 @@ def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(Q.search_page(df, where, 50, first["ts"], int(first["id"]))) if first["ts"] else _page(Q.search(df, where, 0))
 
 
-@register("q3_dedupe_by_id", LOGS + _PAGE)
+_AGAIN = _PAGE.replace(" msg,", f" CASE WHEN {RANK_SQL} > 3 THEN 'again ' || msg ELSE msg END AS msg,")
+
+
+@register("q3_dedupe_by_id", LOGS + _AGAIN)
 def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some logs come twice, with other messages; the lesser one stays."""
     df = logs(spark, sf_dir)
-    return _page(Q.dedupe_by_id(df.unionByName(df.where(X.level_cmp(">", "info")))))
+    return _page(Q.dedupe_by_id(df.unionByName(df.where(X.level_cmp(">", "info")).withColumn("msg", F.concat(F.lit("again "), "msg")))))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    path = new_folder(spark, "logs")
+    S.write_logs(logs(spark, sf_dir), path)
+    return path
+
+
+@register("q1_search_stored", LOGS + f"{_PAGE} WHERE {_FLAG_SQL} ORDER BY ts DESC, {ID_SQL} DESC LIMIT 200")
+def q1_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over 30 stored days, newest first; older days than it takes aren't opened."""
+    return _page(Q.search_stored(spark, _stored(spark, sf_dir), _flag()))
+
+
+@register("q2_search_page_stored", LOGS + f", numbered AS ({_PAGE[:-len(' FROM logs')]}, row_number() OVER (ORDER BY ts DESC, {ID_SQL} DESC) AS n FROM logs WHERE {RANK_SQL} >= 4 AND ts <= {MID_SQL}) SELECT random, ts, level, msg, id FROM numbered WHERE n BETWEEN 51 AND 100")
+def q2_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, where = _stored(spark, sf_dir), X.level_cmp(">=", "warn")
+    last = Q.search_stored(spark, path, where, 50, MID).agg(F.min(F.struct("ts", "id")).alias("x")).select("x.*").first()
+    return _page(Q.search_stored(spark, path, where, 50, last["ts"] or MID, int(last["id"] or 0)))
+
+
+@register("q1_search_stored_props", LOGS + f"{_PAGE} WHERE {prop_sql('k')} IN ('7', '11') AND {RANK_SQL} >= 4 ORDER BY ts DESC, {ID_SQL} DESC LIMIT 40")
+def q1_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are chosen by a stored table of the properties they hold."""
+    path, index = new_folder(spark, "logs"), new_folder(spark, "properties")
+    S.write_logs(logs(spark, sf_dir), path, buckets_per_device=1)
+    write_properties(spark, path, index)
+    return _page(Q.search_stored(spark, path, X.level_cmp(">=", "warn"), 40, props={"k": ["7", 11]}, index=index))
+
+
+for _name, _test, _where in (
+    ("f14_ts_cmp_stored", lambda: X.any_of(X.ts_cmp(">=", datetime(2024, 1, 29), "day"), X.all_of(X.ts_cmp("<", datetime(2024, 1, 2, 5), "day"), X.msg_like("error"))), "ts >= TIMESTAMP '2024-01-29' OR (ts < TIMESTAMP '2024-01-02 05:00:00' AND contains(msg, 'error'))"),
+    ("f18_time_range_stored", lambda: X.time_range(datetime(2024, 1, 10, 7), MID, "day"), f"ts BETWEEN TIMESTAMP '2024-01-10 07:00:00' AND {MID_SQL}"),
+):
+
+    @register(_name, LOGS + f"SELECT random, level, msg, device_id FROM logs WHERE {_where}")
+    def filtered(spark: SparkSession, sf_dir: str, test: Callable[[], Column] = _test) -> DataFrame:
+        """Over stored logs; folders of other days are left out of the scan."""
+        return S.read_logs(spark, _stored(spark, sf_dir)).where(test()).select("random", "level", "msg", "device_id")
 
 
 @register("q4_recent_and_archive", LOGS + f"{_PAGE} WHERE {RANK_SQL} >= 3 ORDER BY ts DESC, {ID_SQL} DESC LIMIT 300")

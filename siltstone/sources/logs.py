@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Iterable
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +21,25 @@ def canonical(df: DataFrame) -> DataFrame:
     return out.withColumn("device_id", device_id("props"))
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Stored logs. A stored device_id column is used as it is, so filters on it reach the scan."""
+def read_logs(spark: SparkSession, path: str, without: Iterable[str] = ()) -> DataFrame:
+    """Stored logs. A stored device_id column is used as it is, so filters on it reach the scan. without: files, as _metadata.file_path names them, that
+    are left out when the scan is planned."""
     df = spark.read.parquet(path)
+    if out := sorted(without):
+        df = df.where(~F.col("_metadata.file_path").isin(out))
     out = [F.col(f.name).cast(f.dataType).alias(f.name) for f in LOGS]
     return df.select(*out, F.col("device_id") if "device_id" in df.columns else device_id("props").alias("device_id"), *(["day"] if "day" in df.columns else []))
 
 
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """The days that a table has folders for, the oldest first. Folders are listed; no file is opened."""
+    folders = spark._jvm.org.apache.hadoop.fs.Path
+    system = folders(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(folders(f"{path.rstrip('/')}/{{day=*,*/day=*}}")) or []
+    names = {x.getPath().getName().removeprefix("day=") for x in found}
+    return sorted(date.fromisoformat(n) for n in names if n[:1].isdigit())
+
+
 def logs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table in the shape of logs. Every tenth user names no device; every seventh event repeats key k."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
