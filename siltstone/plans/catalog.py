@@ -165,16 +165,23 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show_logs(S.read_logs(spark, path))
 
 
+def _binary_files(spark: SparkSession, sf_dir: str, magic: bytes | None = None) -> str:
+    """A folder of files of binary records, or of stored chunks."""
+    path = new_folder(spark, "batches")
+    files = B.encode_batches(logs(spark, sf_dir).repartition(16), 5_000)
+    B.write_files(files if magic is None else B.pack_segments(files, magic), path)
+    return path
+
+
 @register("s2_decode_batches", LOGS + SHOW_LOGS)
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = materialize(B.encode_batches(logs(spark, sf_dir)), "batches")
-    return show_logs(B.decode_contents(files).withColumn("device_id", P.device_id()))
+    return show_logs(B.decode_batches(spark, _binary_files(spark, sf_dir)).withColumn("device_id", P.device_id()))
 
 
 @register("s3_import_segments", LOGS + f"SELECT device_id, count(*) AS logs_count, CAST(sum({BYTES_SQL}) AS BIGINT) AS logs_size, max(ts) AS last_upload_at FROM logs GROUP BY device_id")
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = materialize(B.pack_segments(B.encode_batches(logs(spark, sf_dir)), b"LOGSEGMENTS"), "chunks")
-    stored = B.decode_contents(B.strip_segments(files, b"LOGSEGMENTS")).withColumn("device_id", P.device_id())
+    files = B.log_files(spark, _binary_files(spark, sf_dir, b"LOGSEGMENTS"))
+    stored = B.decode_segments(files, b"LOGSEGMENTS").withColumn("device_id", P.device_id())
     return A.device_rollup(stored).select("device_id", "logs_count", "logs_size", ntz("last_upload_at"))
 
 
@@ -182,8 +189,7 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT DISTINCT 'props', key, value, 0 FROM segment_props""")
 def s3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the segments that an import finds: logs, first and last time and bytes without headers; and all their properties."""
-    files = materialize(B.pack_segments(B.encode_batches(logs(spark, sf_dir)), b"LOGSEGMENTS").withColumn("length", F.octet_length("content").cast("long")), "chunks")
-    _, found, props = B.import_segment_files(files, b"LOGSEGMENTS")
+    _, found, props = B.import_segments(spark, _binary_files(spark, sf_dir, b"LOGSEGMENTS"), b"LOGSEGMENTS")
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     totals = found.agg(F.sum("logs_count").alias("n"), F.min("first_timestamp").alias("a"), F.max("last_timestamp").alias("b"), F.sum(F.col("original_size") - 13).alias("bytes"))
     totals = totals.select(F.lit("segments").alias("part"), F.col("n").cast("string").alias("key"), F.concat_ws(" ", at("a"), at("b")).alias("value"), "bytes")

@@ -1,20 +1,26 @@
-"""Binary log batches and zstd-compressed stored chunks.
+"""Files of binary log records and zstd-compressed stored chunks.
 
 A record, little-endian: u16 version, i64 microseconds, u32 random, u8 level, u8 number of properties, for each u8
 length and key, u8 length and value; u32 length and message.
+
+Files are opened where they are decoded and read step by step, so a task holds a few megabytes of a file, whatever its size. Where Python can't open a
+file (a store that only Spark reads), Spark reads it as one value, of at most 2 GB.
 """
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Generator, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from siltstone.functions.fields import device_id
 from siltstone.functions.schema import LEVELS, SEGMENT_HEADER
@@ -22,12 +28,16 @@ from siltstone.operators.segments import segment_props, segment_summary
 from siltstone.sources.scratch import materialize
 
 _HEAD = struct.Struct("<HqIBB")
+_HEADS = np.dtype([("version", "<u2"), ("micros", "<i8"), ("random", "<u4"), ("level", "u1"), ("props", "u1")])
 _LENGTH = struct.Struct("<I")
 #: Micros that a timestamp can hold.
 _LOW, _HIGH = -62135596800_000000, 253402300799_999999
-#: Rows that a decoding task passes on at a time.
-BATCH_ROWS = 20_000
+#: Rows that a decoding task passes on at a time, and bytes that it reads at a time.
+BATCH_ROWS, STEP = 20_000, 8 << 20
 ROW = "version int, random long, ts timestamp, level string, props array<struct<key:string,value:string>>, msg string"
+#: Schemes of paths that Python opens itself.
+OPENED = ("", "file", "s3", "s3a", "gs", "hdfs")
+_NAMES = np.array(["unknown", *LEVELS[:6]], object)
 
 
 def encode_record(version: int, micros: int, random: int, level: str, props: list[tuple[str, str]], msg: str) -> bytes:
@@ -41,110 +51,287 @@ def encode_record(version: int, micros: int, random: int, level: str, props: lis
     return b"".join([*parts, _LENGTH.pack(len(data)), data])
 
 
-def records(data: bytes) -> Generator[tuple, None, int]:
-    """Rows of ROW, with times in microseconds, one by one until the data ends; its value is the bytes skipped: after a bad time or level
-    reading resumes one byte on."""
-    skipped, at, n = 0, 0, len(data)
-    while at + _HEAD.size <= n:
-        version, micros, random, level, count = _HEAD.unpack_from(data, at)
-        if not _LOW <= micros <= _HIGH or level > 6:
+@dataclass
+class Records:
+    """Pieces of records as they lie in a file: heads, keys and values by turns, messages."""
+
+    heads: list[bytes] = field(default_factory=list)
+    texts: list[bytes] = field(default_factory=list)
+    messages: list[bytes] = field(default_factory=list)
+
+    def table(self, path: str) -> pa.RecordBatch:
+        """Rows of ROW, and the path."""
+        heads = np.frombuffer(b"".join(self.heads), _HEADS)
+        ends = np.concatenate([[0], np.cumsum(heads["props"], dtype=np.int32)]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([_strings(self.texts[::2]), _strings(self.texts[1::2])], ["key", "value"])
+        columns = [
+            pa.array(heads["version"].astype(np.int32)), pa.array(heads["random"].astype(np.int64)), pa.array(heads["micros"].astype(np.int64)).cast(pa.timestamp("us", "UTC")), pa.array(_NAMES[heads["level"]], pa.string()),
+            pa.ListArray.from_arrays(pa.array(ends), pairs), _strings(self.messages), pa.repeat(pa.scalar(path, pa.string()), len(heads)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["version", "random", "ts", "level", "props", "msg", "path"])
+
+
+def _strings(pieces: list[bytes]) -> pa.Array:
+    """Texts of the pieces, in one buffer; bytes that are no UTF-8 become replacement characters."""
+    ends = np.zeros(len(pieces) + 1, np.int32)
+    ends[1:] = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    out = pa.StringArray.from_buffers(len(pieces), pa.py_buffer(ends), pa.py_buffer(b"".join(pieces)))
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in pieces], pa.string())
+    return out
+
+
+def take_records(data: bytes, at: int, out: Records | None) -> tuple[int, int, int, int]:
+    """Reads records from `at` on until the data ends or out is full: (records, bytes skipped, where the next begins, bytes that it needs to be whole).
+    After a bad time or level reading resumes one byte on. Without out the records are only counted."""
+    count, skipped, n = 0, 0, len(data)
+    head, length = _HEAD.unpack_from, _LENGTH.unpack_from
+    texts = [] if out is None else out.texts
+    while at + 16 <= n and count < BATCH_ROWS:
+        _, micros, _, level, props = head(data, at)
+        if level > 6 or not _LOW <= micros <= _HIGH:
             at, skipped = at + 1, skipped + 1
             continue
-        pos, texts = at + _HEAD.size, []
-        for _ in range(2 * count):
-            if pos >= n or pos + 1 + data[pos] > n:
-                return skipped
-            texts.append(data[pos + 1 : pos + 1 + data[pos]].decode("utf-8", "replace"))
-            pos += 1 + data[pos]
-        if pos + 4 > n or pos + 4 + _LENGTH.unpack_from(data, pos)[0] > n:
-            return skipped
-        size = _LENGTH.unpack_from(data, pos)[0]
-        msg = data[pos + 4 : pos + 4 + size].decode("utf-8", "replace")
-        at = pos + 4 + size
-        yield version, random, micros, LEVELS[level - 1] if level else "unknown", list(zip(texts[::2], texts[1::2], strict=True)), msg
-    return skipped
+        pos, known = at + 16, len(texts)
+        try:
+            if out is None:
+                for _ in range(2 * props):
+                    pos += 1 + data[pos]
+            else:
+                for _ in range(2 * props):
+                    end = pos + 1 + data[pos]
+                    texts.append(data[pos + 1 : end])
+                    pos = end
+            end = pos + 4 + length(data, pos)[0]
+        except (IndexError, struct.error):
+            end = max(pos, n) + 1
+        if end > n:
+            del texts[known:]
+            return count, skipped, at, end - at
+        if out is not None:
+            out.heads.append(data[at : at + 16])
+            out.messages.append(data[pos + 4 : end])
+        at, count = end, count + 1
+    return count, skipped, at, 16
+
+
+def read_records(read: Callable[[int], bytes], rows: bool = True, size: int | None = None) -> Iterator[tuple[Records | None, int, int]]:
+    """(records, how many, bytes skipped), step by step until the bytes that read(n) gives end. A record that is cut off by the end is left out. size: of all
+    bytes, if it is known: a record that would end beyond it isn't waited for."""
+    data, at, left = b"", 0, size
+    while True:
+        out = Records() if rows else None
+        count, skipped, at, need = take_records(data, at, out)
+        if count or skipped:
+            yield out, count, skipped
+        if at + need <= len(data):
+            continue
+        data, at = data[at:], 0
+        if left is not None and need - len(data) > left:  # it ends within this record
+            return
+        more = read(max(STEP, need - len(data)))
+        if not more:
+            return
+        data = data + more
+        if left is not None:
+            left -= len(more)
+
+
+def _reader(data: bytes) -> Callable[[int], bytes]:
+    at = 0
+
+    def read(n: int) -> bytes:
+        nonlocal at
+        part = data[at : at + n]
+        at += len(part)
+        return part
+
+    return read
 
 
 def decode_records(data: bytes) -> tuple[list[tuple], int]:
-    """All rows of the data, and the bytes skipped."""
+    """All rows of the data, with times in microseconds, and the bytes skipped."""
     rows, skipped = [], 0
+    for found, _, bad in read_records(_reader(data), True, len(data)):
+        skipped += bad
+        t = found.table("") if found.heads else None
+        if t is not None:
+            values = [t.column(c).to_pylist() for c in ("version", "random", "level", "props", "msg")]
+            micros = t.column("ts").cast(pa.int64()).to_pylist()
+            rows += [(v, r, m, lv, [(p["key"], p["value"]) for p in ps], s) for m, (v, r, lv, ps, s) in zip(micros, zip(*values, strict=True), strict=True)]
+    return rows, skipped
 
-    def run() -> Iterator[tuple]:
-        nonlocal skipped
-        skipped = yield from records(data)
 
-    rows.extend(run())
-    return rows, skipped
+def _opened(path: str) -> tuple[pa.NativeFile, int]:
+    """A file as a stream, and its size."""
+    from pyarrow import fs
+
+    path = re.sub(r"^s3a:", "s3:", re.sub(r"^file:/*", "/", path))
+    system, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name, buffer_size=1 << 20), system.get_file_info(name).size
 
 
-def _table(rows: list[tuple], path: str) -> pa.RecordBatch:
-    version, random, micros, level, props, msg = zip(*rows, strict=True)
-    pairs = [p for x in props for p in x]
-    items = pa.StructArray.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["key", "value"])
-    ends = np.cumsum([0, *map(len, props)]).astype(np.int32)
-    columns = [
-        pa.array(version, pa.int32()), pa.array(random, pa.int64()), pa.array(micros, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(level, pa.string()),
-        pa.ListArray.from_arrays(pa.array(ends), items), pa.array(msg, pa.string()), pa.array([path] * len(rows), pa.string()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["version", "random", "ts", "level", "props", "msg", "path"])
+def _source(path: str, content: bytes | None) -> tuple[Callable[[int], bytes], int]:
+    if content is not None:
+        return _reader(content), len(content)
+    stream, size = _opened(path)
+    return stream.read, size
+
+
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modificationTime, content) of the files at path; content is null where Python opens them itself, and then isn't read."""
+    return with_content(spark.read.format("binaryFile").load(path), path)
+
+
+def with_content(files: DataFrame, path: str) -> DataFrame:
+    """files of the format binaryFile, with content only where Python can't open path."""
+    scheme = path.split(":", 1)[0] if ":" in path else ""
+    content = F.lit(None).cast("binary") if scheme in OPENED else F.col("content")
+    return files.select("path", "length", "modificationTime", content.alias("content"))
 
 
 def decode_contents(files: DataFrame, content: str = "content", name: str = "path") -> DataFrame:
-    """Rows of ROW from a binary column, with the name column of their file; one file is one row of files. A task holds a file's bytes
-    and BATCH_ROWS of its rows."""
+    """Rows of ROW, with the name column of their file, from a binary column; where it is null, from the file of that name. One file is one row of files.
+    A task holds a few megabytes of a file that it opens itself, and BATCH_ROWS of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, data in zip(batch.column("_name").to_pylist(), batch.column("_data"), strict=True):
-                left = records(data.as_py() or b"")
-                while rows := list(islice(left, BATCH_ROWS)):
-                    yield _table(rows, where)
+                read, size = _source(where, data.as_py())
+                for found, count, _ in read_records(read, True, size):
+                    if count:
+                        yield found.table(where)
 
     return files.select(F.col(name).alias("_name"), F.col(content).alias("_data")).mapInArrow(run, f"{ROW}, path string")
 
 
+def _counts(path: str, content: bytes | None) -> tuple[int, int]:
+    read, size = _source(path, content)
+    count = skipped = 0
+    for _, n, s in read_records(read, False, size):
+        count, skipped = count + n, skipped + s
+    return count, skipped
+
+
+def count_contents(files: DataFrame) -> DataFrame:
+    """The columns of files (path, content and others) but content, with records and skipped: what reading each file finds and leaves out."""
+    others = [c for c in files.columns if c != "content"]
+    shape = StructType([files.schema[c] for c in others]).add("records", "long").add("skipped", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_counts(p, c.as_py()) for p, c in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]], [*others, "records", "skipped"])
+
+    return files.mapInArrow(run, shape)
+
+
 def decode_batches(spark: SparkSession, path: str) -> DataFrame:
     """Logs from files of binary records, with the path of their file."""
-    return decode_contents(spark.read.format("binaryFile").load(path))
+    return decode_contents(log_files(spark, path))
 
 
 def skipped_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(path, records, skipped) per file: what reading it found and left out."""
+    return count_contents(log_files(spark, path)).select("path", "records", "skipped")
 
-    def count(data: bytes) -> tuple[int, int]:
-        left, n = records(data), 0
-        while True:
-            try:
-                next(left)
-            except StopIteration as end:
-                return n, end.value
-            n += 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [count(bytes(x)) for x in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "records": [n for n, _ in found], "skipped": [s for _, s in found]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, records long, skipped long")
-
-
-def encode_batches(logs: DataFrame, rows: int = 10_000) -> DataFrame:
-    """(path, content): each task packs its logs, in the order it has them, into batches of up to `rows` records."""
+def encode_batches(logs: DataFrame, rows: int = 10_000, uploader: Column | None = None, ending: str = ".ready") -> DataFrame:
+    """(path, content): each task packs its logs, in the order it has them, into batches of up to `rows` records. uploader: of a log; it comes before the first
+    - of the names, and a batch is of one uploader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, k = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                part = whole.slice(at, rows)
-                columns = [part.column(c).to_pylist() for c in ("version", "micros", "random", "level", "keys", "values", "msg")]
-                data = b"".join(encode_record(v, m, r, lv, list(zip(ks, vs, strict=True)), s) for v, m, r, lv, ks, vs, s in zip(*columns, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([f"{task:05d}-{k:05d}.ready"]), pa.array([data], pa.binary())], ["path", "content"])
-                k += 1
+            owners = np.array(whole.column("uploader").to_pylist(), object)
+            cuts = [0, *(np.flatnonzero(owners[1:] != owners[:-1]) + 1).tolist(), len(owners)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                for at in range(first, last, rows):
+                    part = whole.slice(at, min(rows, last - at))
+                    columns = [part.column(c).to_pylist() for c in ("version", "micros", "random", "level", "keys", "values", "msg")]
+                    data = b"".join(encode_record(v, m, r, lv, list(zip(ks, vs, strict=True)), s) for v, m, r, lv, ks, vs, s in zip(*columns, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{owners[at]}{task:05d}-{k:05d}{ending}"]), pa.array([data], pa.binary())], ["path", "content"])
+                    k += 1
 
     text = lambda part: F.transform("props", lambda p: p[part])
-    return logs.select("version", F.unix_micros("ts").alias("micros"), "random", "level", text("key").alias("keys"), text("value").alias("values"), "msg").mapInArrow(run, "path string, content binary")
+    owner = F.lit("") if uploader is None else F.concat(uploader, F.lit("-"))
+    return logs.select("version", F.unix_micros("ts").alias("micros"), "random", "level", text("key").alias("keys"), text("value").alias("values"), "msg", owner.alias("uploader")).mapInArrow(run, "path string, content binary")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[tuple[str, str]]
+
+
+class FilesWriter(DataSourceWriter):
+    """Each task writes under names that begin with a dot; they get their own when all tasks have ended, so a reader of finished files never sees half of
+    one, and what a failed attempt wrote is taken away."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _system(self):
+        from pyarrow import fs
+
+        path = re.sub(r"^s3a:", "s3:", re.sub(r"^file:/*", "/", self.path))
+        return (fs.LocalFileSystem(), path.rstrip("/")) if path.startswith("/") else fs.FileSystem.from_uri(path.rstrip("/"))
+
+    def write(self, rows: Iterator[Row]) -> Written:
+        from pyspark import TaskContext
+
+        system, folder = self._system()
+        system.create_dir(folder, recursive=True)
+        names, out = [], None
+        try:
+            for row in rows:
+                if not names or row["path"] != names[-1][1]:
+                    if out is not None:
+                        out.close()
+                    names.append((f".{row['path']}.{TaskContext.get().taskAttemptId()}", row["path"]))
+                    out = system.open_output_stream(f"{folder}/{names[-1][0]}")
+                out.write(row["content"])
+            if out is not None:
+                out.close()
+        except BaseException:
+            for part, _ in names:
+                system.delete_file(f"{folder}/{part}")
+            raise
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, folder = self._system()
+        for part, name in (x for m in messages if m is not None for x in m.names):
+            system.move(f"{folder}/{part}", f"{folder}/{name}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, folder = self._system()
+        for part, _ in (x for m in messages if m is not None for x in m.names):
+            system.delete_file(f"{folder}/{part}")
+
+
+class Files(DataSource):
+    """Sink for (path string, content binary): every row is a file of that name in the folder; rows of a name that follow each other in a task are one file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "files_of_bytes"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def writer(self, schema: StructType, overwrite: bool) -> FilesWriter:
+        return FilesWriter(self.options["path"])
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Writes (path, content) as files of a folder."""
+    spark = files.sparkSession
+    spark.dataSource.register(Files)
+    files.select("path", "content").write.format("files_of_bytes").mode("append").save(path)
 
 
 def pack_segments(files: DataFrame, magic: bytes, level: int = 9) -> DataFrame:
@@ -162,41 +349,64 @@ def pack_segments(files: DataFrame, magic: bytes, level: int = 9) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, content binary")
 
 
-def strip_segment(data: bytes, magic: bytes | None = None) -> bytes:
-    """Records of a stored chunk: zstd-compressed, 11 bytes of magic and a big-endian version 1 before them. A chunk that
-    isn't one gives no bytes. magic: what the first 11 bytes must be; None takes any."""
-    import zstandard
+class Expanded:
+    """Plain bytes of a zstd stream, read step by step; they end where it is damaged."""
 
-    if not data:
-        return b""
-    try:
-        plain = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    except zstandard.ZstdError:
-        return b""
-    known = magic is None or plain[: SEGMENT_HEADER - 2] == magic
-    return plain[SEGMENT_HEADER:] if known and plain[SEGMENT_HEADER - 2 : SEGMENT_HEADER] == b"\x00\x01" else b""
+    def __init__(self, read: Callable[[int], bytes]):
+        import zstandard
 
+        self.source, self.data, self.ended = read, b"", False
+        self.stream = zstandard.ZstdDecompressor().decompressobj()
+        self.error = zstandard.ZstdError
 
-def strip_segments(files: DataFrame, magic: bytes | None = None, content: str = "content", name: str = "path") -> DataFrame:
-    """(path, content) with the plain records of each chunk; empty chunks are left out."""
+    def read(self, n: int) -> bytes:
+        while len(self.data) < n and not self.ended:
+            packed = self.source(STEP // 64)
+            try:
+                self.data += self.stream.decompress(packed) if packed else b""
+            except self.error:
+                packed = b""
+            self.ended = not packed or self.stream.eof
+        out, self.data = self.data[:n], self.data[n:]
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _past_header(read: Callable[[int], bytes], magic: bytes | None) -> Callable[[int], bytes] | None:
+    """What reads the records of a stored chunk: zstd-compressed, 11 bytes of magic and a big-endian version 1 before them. None if it isn't one."""
+    plain = Expanded(read)
+    header = plain.read(SEGMENT_HEADER)
+    known = magic is None or header[: SEGMENT_HEADER - 2] == magic
+    return plain.read if known and header[SEGMENT_HEADER - 2 :] == b"\x00\x01" else None
+
+
+def strip_segment(data: bytes, magic: bytes | None = None) -> bytes:
+    """Plain records of a stored chunk. A chunk that isn't one gives no bytes. magic: what the first 11 bytes must be; None takes any."""
+    read = _past_header(_reader(data), magic)
+    return b"".join(iter(lambda: read(STEP), b"")) if read else b""
+
+
+def decode_segments(files: DataFrame, magic: bytes | None = None) -> DataFrame:
+    """Rows of ROW, with their file's path, from stored chunks (path, content; where content is null, the file of that path). Chunks are expanded step by step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.DataFrame({"path": batch["_name"], "content": [strip_segment(bytes(x), magic) for x in batch["_data"]]})
-            yield out[out["content"].str.len() > 0]
+            for where, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if read := _past_header(_source(where, data.as_py())[0], magic):
+                    for found, count, _ in read_records(read):
+                        if count:
+                            yield found.table(where)
 
-    return files.select(F.col(name).alias("_name"), F.col(content).alias("_data")).mapInPandas(run, "path string, content binary")
+    return files.select("path", "content").mapInArrow(run, f"{ROW}, path string")
 
 
 def import_segments(spark: SparkSession, path: str, magic: bytes | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(logs, segments, segment props) of a folder of stored chunks: one segments row per non-empty file."""
-    return import_segment_files(spark.read.format("binaryFile").load(path), magic)
+    return import_segment_files(log_files(spark, path), magic)
 
 
 def import_segment_files(files: DataFrame, magic: bytes | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same of files (path, content, length). The decoded logs are stored, so each file is decoded once."""
-    logs = decode_contents(strip_segments(files, magic))
-    logs = materialize(logs.withColumn("device_id", device_id("props")), "imported")
+    logs = materialize(decode_segments(files, magic).withColumn("device_id", device_id("props")), "imported")
     sizes = files.select("path", F.col("length").alias("compressed_size"))
     segments = segment_summary(logs, ["path"]).join(sizes, "path")
     return logs, segments, segment_props(logs, ["path"])
