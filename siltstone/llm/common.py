@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.scratch import materialize, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "if_small", "materialize", "number_within", "semi_by_ids", "shared_dir", "shuffle_partitions", "table", "tokenizer_file"]
+__all__ = ["BROADCAST_BYTES", "give_back", "if_small", "materialize", "number_within", "semi_by_ids", "shared_dir", "shuffle_partitions", "table", "tokenizer_file"]
 
 #: Bytes above which a small side is no longer broadcast but shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -54,6 +54,19 @@ def number_within(df: DataFrame, group: str, by: list[Column], out: str) -> Data
     )
 
 
+def give_back() -> None:
+    """Returns to the system what earlier tasks of this Python worker have freed: workers serve stage after stage, and allocators keep what they once had."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public vocabulary file lies; SILTSTONE_TOKENIZERS names another folder."""
     if folder := os.environ.get("SILTSTONE_TOKENIZERS"):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, number_within, table, tokenizer_file
+from siltstone.llm.common import give_back, materialize, number_within, table, tokenizer_file
 
 CAPACITY = 2048
 #: Id that ends each document.
@@ -255,7 +255,10 @@ class WordTokenizer:
 
     def encode_word(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and "<|" not in word:  # which may begin a special token
-            return b"".join(map(self.parts.__getitem__, _PART.findall(word.lower())))
+            low = word.lower()
+            parts = _PART.findall(low)
+            # a word of one part is remembered as a word alone
+            return self.encode_part(low) if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -279,6 +282,7 @@ def tokenized_pieces(df: DataFrame, vocabulary: str, capacity: int, id_column: s
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         encode = _tokenizer(vocabulary).encode
         for batch in batches:
             who, piece, start, length, crc, packed = [], [], [], [], [], []
