@@ -24,6 +24,7 @@ from siltstone.sources import batches as B
 from siltstone.sources import logs as S
 from siltstone.sources.scratch import materialize, new_folder
 from siltstone.sources.skipping import write_properties
+from siltstone.sources.tables import create_table, merge_once, read_table
 from siltstone.streaming import streams as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -673,7 +674,7 @@ def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = f"{sf_dir}/events.parquet"
     shape = spark.read.parquet(table).schema
-    events = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/")
+    events = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/")
     return events.select(F.lit(1).alias("version"), F.col("event_id").alias("random"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "props")
 
 
@@ -688,14 +689,16 @@ def _as_logs(events: DataFrame) -> DataFrame:
 
 
 def _drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs the stream over what is there, and returns the rows of its last state."""
-    spark, path = stream.sparkSession, new_folder(stream.sparkSession, name)
+    """Runs the stream over what is there: the rows of all batches, or in complete mode of the last one, which holds the whole state."""
+    spark, path, last = stream.sparkSession, new_folder(stream.sparkSession, name), []
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        last[:] = [batch_id]
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
+    of = f"/batch={last[0]}" if mode == "complete" and last else ""
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows{of}")
 
 
 @register("t1_tail", LOGS + f"SELECT random, ts, level, msg FROM logs WHERE {RANK_SQL} >= 4")
@@ -718,3 +721,59 @@ def t2_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("t3_stream_device_stats", LOGS + "SELECT device_id, count(*) AS logs_count, CAST(sum(20 + 2 + 1 + length(list_extract(list_transform(list_filter(props, lambda x: x.key = 'k'), lambda x: x.value), 1)) + strlen(msg)) AS BIGINT) AS logs_size, max(ts) AS last_upload_at FROM logs GROUP BY device_id")
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(T.stream_device_stats(_as_logs(_stream(spark, sf_dir))), "complete", "stats").select("device_id", "logs_count", "logs_size", ntz("last_upload_at"))
+
+
+#: Logs come from five uploaders; those of every eleventh user come in files that name none.
+_UPLOADER = "CASE WHEN user_id % 11 <> 0 THEN 'u' || user_id % 5 END"
+
+
+def _drop_files(spark: SparkSession, logs_: DataFrame, folder: str, again: int) -> None:
+    """Finished files of the uploaders, as they would send them. again: numbers the lots."""
+    user = F.regexp_extract("msg", "user ([0-9]+)", 1).cast("int")
+    owner = F.when(user % 11 != 0, F.concat(F.lit("u"), (user % 5).cast("string")))
+    rows = logs_.withColumn("_owner", owner).repartition(8, "_owner", F.col("random") % 3).sortWithinPartitions("_owner")
+    named = B.encode_batches(rows.where("_owner is not null"), 700, F.col("_owner"), f"-{again}.ready")
+    bare = B.encode_batches(rows.where("_owner is null"), 700, ending=f"_{again}.ready").withColumn("path", F.translate("path", "-", "_"))
+    B.write_files(named.unionByName(bare), folder)
+
+
+@register("s4_stream_spool", LOGS + f"SELECT {_UPLOADER} AS uploader, count(*) AS logs_count, CAST(sum({BYTES_SQL}) AS BIGINT) AS logs_size FROM logs JOIN (SELECT event_id, user_id FROM events) ON random = event_id GROUP BY 1")
+def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a drop folder as a stream, and what each uploader sent."""
+    folder = new_folder(spark, "spool")
+    _drop_files(spark, logs(spark, sf_dir), folder, 1)
+    files = _drain(B.count_contents(T.stream_spool(spark, folder, 5)), "append", "spool")
+    return files.groupBy("uploader").agg(F.sum("records").alias("logs_count"), F.sum("record_bytes").alias("logs_size"))
+
+
+@register("t4_ingest_with_flush", LOGS + SHOW_LOGS)
+def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lots of files, each by a start of its own: of the first, what reaches the limit of rows leaves; the second start goes on with the rest."""
+    return _ingested(spark, sf_dir)[0]
+
+
+@register("t4_ingest_stats", LOGS + f"SELECT {_UPLOADER} AS uploader, count(*) AS logs_count, CAST(sum({BYTES_SQL}) AS BIGINT) AS logs_size FROM logs JOIN (SELECT event_id, user_id FROM events) ON random = event_id WHERE {_UPLOADER} IS NOT NULL GROUP BY 1")
+def t4_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ingest says each uploader sent."""
+    return _ingested(spark, sf_dir)[1].groupBy("uploader").agg(F.sum("logs_count").alias("logs_count"), F.sum("logs_size").alias("logs_size"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    root, df = new_folder(spark, "ingest"), logs(spark, sf_dir)
+    for lot, (rows, seconds) in enumerate(((1_500, 0.001), (1_000_000, 0))):
+        _drop_files(spark, df.where(F.col("random") % 3 == 0) if lot else df.where(F.col("random") % 3 != 0), f"{root}/spool", lot)
+        T.ingest_with_flush(spark, f"{root}/spool", f"{root}/logs", f"{root}/state", seconds, rows, stats=f"{root}/stats").awaitTermination()
+    stats = "uploader string, reason string, files long, logs_count long, logs_size long, skipped long"
+    return show_logs(S.read_logs(spark, f"{root}/logs")), spark.read.schema(stats).option("recursiveFileLookup", True).parquet(f"{root}/stats")
+
+
+@register("t3_stored_device_stats", DEVICES + f"""SELECT coalesce(d.id, b.device_id) AS id, coalesce(filter_level, 3) AS filter_level, coalesce(d.logs_count, 0) + coalesce(n, 0) AS logs_count, coalesce(up_at, last_upload_at) AS last_upload_at
+  FROM (SELECT * FROM devices WHERE filter_level <> 2) d FULL JOIN (SELECT device_id, count(*) AS n, max(ts) AS up_at FROM logs GROUP BY device_id) b ON d.id = b.device_id""")
+def t3_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's counts in the stored table of devices, with the last batch put in twice."""
+    root = new_folder(spark, "devices")
+    create_table(devices(spark, sf_dir).where("filter_level <> 2"), root)
+    stream = _as_logs(_stream(spark, sf_dir))
+    T.store_device_stats(stream, root, f"{root}/state", NOW).awaitTermination()
+    merge_once(spark, root, 0, lambda old: old.where("false"))  # as if the batch were tried again
+    return read_table(spark, root).select("id", "filter_level", "logs_count", ntz("last_upload_at"))

@@ -117,15 +117,16 @@ def take_records(data: bytes, at: int, out: Records | None) -> tuple[int, int, i
     return count, skipped, at, 16
 
 
-def read_records(read: Callable[[int], bytes], rows: bool = True, size: int | None = None) -> Iterator[tuple[Records | None, int, int]]:
-    """(records, how many, bytes skipped), step by step until the bytes that read(n) gives end. A record that is cut off by the end is left out. size: of all
+def read_records(read: Callable[[int], bytes], rows: bool = True, size: int | None = None) -> Iterator[tuple[Records | None, int, int, int]]:
+    """(records, how many, their bytes, bytes skipped), step by step until the bytes that read(n) gives end. A record that is cut off by the end is left out. size: of all
     bytes, if it is known: a record that would end beyond it isn't waited for."""
     data, at, left = b"", 0, size
     while True:
         out = Records() if rows else None
-        count, skipped, at, need = take_records(data, at, out)
+        count, skipped, end, need = take_records(data, at, out)
         if count or skipped:
-            yield out, count, skipped
+            yield out, count, end - at - skipped, skipped
+        at = end
         if at + need <= len(data):
             continue
         data, at = data[at:], 0
@@ -154,7 +155,7 @@ def _reader(data: bytes) -> Callable[[int], bytes]:
 def decode_records(data: bytes) -> tuple[list[tuple], int]:
     """All rows of the data, with times in microseconds, and the bytes skipped."""
     rows, skipped = [], 0
-    for found, _, bad in read_records(_reader(data), True, len(data)):
+    for found, _, _, bad in read_records(_reader(data), True, len(data)):
         skipped += bad
         t = found.table("") if found.heads else None
         if t is not None:
@@ -180,15 +181,22 @@ def _source(path: str, content: bytes | None) -> tuple[Callable[[int], bytes], i
     return stream.read, size
 
 
-def log_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modificationTime, content) of the files at path; content is null where Python opens them itself, and then isn't read."""
-    return with_content(spark.read.format("binaryFile").load(path), path)
+def opens(path: str) -> bool:
+    """Whether Python opens files of such a path itself."""
+    return (path.split(":", 1)[0] if ":" in path else "") in OPENED
+
+
+def log_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, length, modificationTime, content) of the files at path, or of the named ones; content is null where Python opens them itself, and then isn't
+    read. Spark deals the files to tasks by their sizes."""
+    if isinstance(path, str):
+        return with_content(spark.read.format("binaryFile").load(path), path)
+    return with_content(spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in path]), path[0])
 
 
 def with_content(files: DataFrame, path: str) -> DataFrame:
     """files of the format binaryFile, with content only where Python can't open path."""
-    scheme = path.split(":", 1)[0] if ":" in path else ""
-    content = F.lit(None).cast("binary") if scheme in OPENED else F.col("content")
+    content = F.lit(None).cast("binary") if opens(path) else F.col("content")
     return files.select("path", "length", "modificationTime", content.alias("content"))
 
 
@@ -200,30 +208,27 @@ def decode_contents(files: DataFrame, content: str = "content", name: str = "pat
         for batch in batches:
             for where, data in zip(batch.column("_name").to_pylist(), batch.column("_data"), strict=True):
                 read, size = _source(where, data.as_py())
-                for found, count, _ in read_records(read, True, size):
+                for found, count, _, _ in read_records(read, True, size):
                     if count:
                         yield found.table(where)
 
     return files.select(F.col(name).alias("_name"), F.col(content).alias("_data")).mapInArrow(run, f"{ROW}, path string")
 
 
-def _counts(path: str, content: bytes | None) -> tuple[int, int]:
+def _counts(path: str, content: bytes | None) -> list[int]:
     read, size = _source(path, content)
-    count = skipped = 0
-    for _, n, s in read_records(read, False, size):
-        count, skipped = count + n, skipped + s
-    return count, skipped
+    return [sum(x) for x in zip((0, 0, 0), *[found[1:] for found in read_records(read, False, size)], strict=True)]
 
 
 def count_contents(files: DataFrame) -> DataFrame:
-    """The columns of files (path, content and others) but content, with records and skipped: what reading each file finds and leaves out."""
+    """The columns of files (path, content and others) but content, with records, record_bytes and skipped: what reading each file finds and leaves out."""
     others = [c for c in files.columns if c != "content"]
-    shape = StructType([files.schema[c] for c in others]).add("records", "long").add("skipped", "long")
+    shape = StructType([files.schema[c] for c in others]).add("records", "long").add("record_bytes", "long").add("skipped", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_counts(p, c.as_py()) for p, c in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]], [*others, "records", "skipped"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array([f[i] for f in found], pa.int64()) for i in range(3)]], [*others, "records", "record_bytes", "skipped"])
 
     return files.mapInArrow(run, shape)
 
@@ -392,7 +397,7 @@ def decode_segments(files: DataFrame, magic: bytes | None = None) -> DataFrame:
         for batch in batches:
             for where, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 if read := _past_header(_source(where, data.as_py())[0], magic):
-                    for found, count, _ in read_records(read):
+                    for found, count, _, _ in read_records(read):
                         if count:
                             yield found.table(where)
 

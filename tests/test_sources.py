@@ -1,12 +1,12 @@
 import struct
+import time
 from datetime import datetime, timezone
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from siltstone.functions.fields import device_id
-from siltstone.functions.schema import PROPS
+from siltstone.functions.schema import DEVICES, PROPS
 from siltstone.sources import batches as B
 from siltstone.sources import logs as S
 from siltstone.streaming import streams as T
@@ -154,19 +154,141 @@ def test_late_logs_are_dropped(spark, tmp_path):
     assert spark.read.schema("bucket long, count long").parquet(str(tmp_path / "out")).count() == 0
 
 
-def test_ingest(spark, tmp_path):
-    spool, out = tmp_path / "spool", str(tmp_path / "logs")
-    spool.mkdir()
+@pytest.fixture
+def spool(tmp_path):
+    folder = tmp_path / "spool"
+    folder.mkdir()
+    return folder
+
+
+def ingest(spark, spool, **limits):
+    """One start over what is there; then the rows stored so far and the statistics."""
+    root = spool.parent
+    T.ingest_with_flush(spark, str(spool), str(root / "logs"), str(root / "state"), stats=str(root / "stats"), **limits).awaitTermination()
+    stored = spark.read.schema(B.ROW + ", device_id string").option("recursiveFileLookup", True).parquet(str(root / "logs")) if (root / "logs").exists() else None
+    shape = "uploader string, reason string, files long, logs_count long, logs_size long, skipped long"
+    sums = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(str(root / "stats")) if (root / "stats").exists() else None
+    return (stored.count() if stored else 0), sorted((r["uploader"], r["reason"], r["files"], r["logs_count"], r["logs_size"]) for r in sums.collect()) if sums else []
+
+
+def test_flush_by_rows(spark, spool):
+    size = len(encode(ROWS))
+    for name in ("a-1.ready", "a-2.ready", "b-1.ready", "none.ready", "c-1.part"):
+        (spool / name).write_bytes(encode(ROWS))
+    assert ingest(spark, spool, rows=6) == (6, [("a", "rows", 2, 6, 2 * size)])  # b and the file of no uploader wait
+    (spool / "b-2.ready").write_bytes(encode(ROWS) + b"\xff" * 20)  # noise after the records
+    (spool / "none2.ready").write_bytes(encode(ROWS))
+    rows, sums = ingest(spark, spool, rows=6)
+    assert rows == 18 and sums == [("a", "rows", 2, 6, 2 * size), ("b", "rows", 2, 6, 2 * size)]
+    assert ingest(spark, spool, rows=6)[0] == 18
+
+
+def test_flush_by_bytes(spark, spool):
+    size = len(encode(ROWS))
+    for i in range(5):
+        (spool / f"a-{i}.ready").write_bytes(encode(ROWS))
+    assert ingest(spark, spool, size=2 * size) == (12, [("a", "bytes", 4, 12, 4 * size)])
+
+
+def test_flush_by_time_after_a_restart(spark, spool):
     (spool / "a-1.ready").write_bytes(encode(ROWS))
-    (spool / "a-2.part").write_bytes(encode(ROWS))
-    run = lambda: T.ingest_with_flush(spark, str(spool), out, str(tmp_path / "state"), None, stats=str(tmp_path / "stats")).awaitTermination()
+    assert ingest(spark, spool, seconds=2)[0] in (0, 3)
+    time.sleep(3)
+    (spool / "b-1.ready").write_bytes(encode(ROWS[:1]))  # the new start goes on with what waited
+    rows, sums = ingest(spark, spool, seconds=2)
+    assert rows >= 3 and sums[0][:4] == ("a", "time", 1, 3)
+    time.sleep(3)
+    (spool / "c-1.ready").write_bytes(encode(ROWS[:2]))
+    rows, sums = ingest(spark, spool, seconds=0)
+    assert rows >= 4 and [s[:4] for s in sums[:2]] == [("a", "time", 1, 3), ("b", "time", 1, 1)]
+
+
+def test_spool_names(spark, spool):
+    for name in ("a-1.ready", "b-x-2.ready", "none.ready", "c-1.part"):
+        (spool / name).write_bytes(encode(ROWS))
+    files = drain(T.stream_spool(spark, str(spool)).select("file_name", "uploader", "length"), "spool", "append")
+    assert {(r["file_name"], r["uploader"]) for r in files.collect()} == {("a-1.ready", "a"), ("b-x-2.ready", "b"), ("none.ready", None)}
+
+
+def test_device_stats_are_stored_once(spark, tmp_path):
+    from siltstone.sources.tables import create_table, merge_once, read_table
+
+    folder, source = str(tmp_path / "devices"), str(tmp_path / "in")
+    now = datetime(2024, 6, 1)
+    create_table(spark.createDataFrame([("a", True, 2, 10, 1, now, None, 30)], DEVICES), folder)
+    df = table(spark, (AT, "info", dev("a"), "x"), (AT, "error", [], "z"))
+    df.write.parquet(source)
+    run = lambda: T.store_device_stats(stream(spark, source), folder, str(tmp_path / "state"), now).awaitTermination()
     run()
-    (spool / "b-1.ready").write_bytes(encode(ROWS[:1]))
+    df.where("msg = 'x'").write.mode("append").parquet(source)
     run()
     run()
-    assert spark.read.parquet(out).count() == 4
-    total = spark.read.parquet(str(tmp_path / "stats")).groupBy("device_id").agg(F.sum("logs_count").alias("n")).collect()
-    assert {r["device_id"]: r["n"] for r in total} == {"a": 2, "unknown": 2}
-    files = drain(T.stream_spool(spark, str(spool)).select("file_name", "uploader", "length"), "spool", "append")
-    assert {(r["file_name"], r["uploader"]) for r in files.collect()} == {("a-1.ready", "a"), ("b-1.ready", "b")}
-    assert device_id is not None
+    got = {r["id"]: (r["logs_count"], r["send_interval"]) for r in read_table(spark, folder).collect()}
+    assert got == {"a": (3, 30), "unknown": (1, 60)}
+    twice = lambda old: old.unionByName(old)
+    assert not merge_once(spark, folder, 1, twice) and read_table(spark, folder).count() == 2  # batch 1 is in it
+    assert merge_once(spark, folder, 2, twice) and read_table(spark, folder).count() == 4
+    (tmp_path / "devices" / "data" / "9").mkdir()  # a version that isn't in the ledger isn't there
+    assert read_table(spark, folder).count() == 4
+
+
+def by_hand(data):
+    """Records read one after the other, plainly."""
+    rows, at, skipped = [], 0, 0
+    while at + 16 <= len(data):
+        version, ts, number, level, count = struct.unpack_from("<HqIBB", data, at)
+        if level > 6 or not -62135596800_000000 <= ts <= 253402300799_999999:
+            at, skipped = at + 1, skipped + 1
+            continue
+        pos, texts = at + 16, []
+        for _ in range(2 * count):
+            if pos >= len(data):
+                return rows, skipped
+            texts.append(data[pos + 1 : pos + 1 + data[pos]])
+            pos += 1 + data[pos]
+        if pos + 4 > len(data) or pos + 4 + struct.unpack_from("<I", data, pos)[0] > len(data):
+            return rows, skipped
+        at = pos + 4 + struct.unpack_from("<I", data, pos)[0]
+        plain = [t.decode("utf-8", "replace") for t in [*texts, data[pos + 4 : at]]]
+        rows.append((version, number, ts, ["unknown", "trace", "debug", "info", "warn", "error", "fatal"][level], list(zip(plain[:-1:2], plain[1:-1:2], strict=True)), plain[-1]))
+    return rows, skipped
+
+
+def test_steps_of_a_file(monkeypatch):
+    """Records that steps cut, of all lengths and with noise, as if the file were read at once."""
+    import random
+
+    rnd = random.Random(3)
+    data = b""
+    for i in range(300):
+        props = [("k" * rnd.randint(0, 30), "é" * rnd.randint(0, 20)) for _ in range(rnd.randint(0, 5))]
+        data += (b"\x63" * rnd.randint(1, 40) if i % 17 == 5 else b"") + B.encode_record(1, micros(AT) + i, i, "info", props, "m" * rnd.randint(0, 400))
+    whole = B.decode_records(data)
+    assert whole == by_hand(data) and len(whole[0]) > 250
+    assert all(B.decode_records(x) == by_hand(x) for x in (data[:-3], data[7:], bytes(rnd.randrange(256) for _ in range(5_000)), bytes(rnd.randrange(7) for _ in range(5_000))))
+    monkeypatch.setattr(B, "STEP", 64)
+    monkeypatch.setattr(B, "BATCH_ROWS", 7)
+    assert B.decode_records(data) == whole
+    counts = list(B.read_records(B._reader(data), False, len(data)))
+    assert (sum(c[1] for c in counts), sum(c[3] for c in counts)) == (len(whole[0]), whole[1]) and all(c[0] is None for c in counts)
+    assert sum(c[2] + c[3] for c in counts) <= len(data)
+    packed = zstandard.ZstdCompressor().compress(b"elevenbytes\x00\x01" + data)
+    assert B.strip_segment(packed, b"elevenbytes") == data
+    assert data.startswith(B.strip_segment(packed[: len(packed) // 2], b"elevenbytes"))
+    assert B.strip_segment(b"no zstd") == b""
+    # a length far beyond the end isn't waited for, and invalid UTF-8 is replaced
+    head = struct.pack("<HqIBB", 1, 0, 1, 1, 0)
+    assert B.decode_records(head + struct.pack("<I", 2**31) + b"x" * 200)[0] == []
+    assert B.decode_records(head + struct.pack("<I", 3) + b"a\xffb")[0][0][5] == "a\ufffdb"
+    two = struct.pack("<HqIBB", 1, 0, 1, 1, 1) + b"\x01\xc3\x01\xa9" + struct.pack("<I", 0)  # a character cut between key and value
+    assert B.decode_records(two)[0][0][4] == [("\ufffd", "\ufffd")]
+
+
+def test_files_of_bytes(spark, tmp_path):
+    rows = [(f"f{i // 3}.ready", bytes([i]) * 5) for i in range(12)] + [("empty.ready", b"")]
+    B.write_files(spark.createDataFrame(rows, "path string, content binary").coalesce(1), str(tmp_path / "out"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {**{f"f{k}.ready": b"".join(bytes([i]) * 5 for i in range(3 * k, 3 * k + 3)) for k in range(4)}, "empty.ready": b""}
+    bad = spark.createDataFrame([("a.ready", b"x"), ("sub/none.ready", b"x")], "path string, content binary").coalesce(1)
+    with pytest.raises(Exception):
+        B.write_files(bad, str(tmp_path / "bad"))
+    assert list((tmp_path / "bad").iterdir()) == []
