@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fields as P
@@ -503,8 +503,10 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d2_assign_templates")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("msg"))
-    return D.assign_templates(turns.dropDuplicates(["conv_id", "turn"]), ["conv_id", "turn"])
+    """All turns; those that repeat a conversation's number are in the order of their roles and texts, which `again` numbers."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("msg"), F.coalesce("role", F.lit("")).alias("role"))
+    turns = turns.withColumn("again", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "msg")))
+    return D.assign_templates(turns, ["conv_id", "turn", "again"])
 
 
 @register("d2_assign_templates_events", LOGS + _TEMPLATES + "SELECT random, template_id, text FROM parsed")
