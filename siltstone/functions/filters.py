@@ -11,10 +11,13 @@ from collections.abc import Iterable
 from datetime import datetime
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.fields import VERSION_PARTS, level_rank, once, prop, prop_values, rank_of, semver, ts_part, version_of
+from siltstone.functions.patterns import java_pattern
 
 OPERATORS = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 RESERVED = ("timestamp", "level", "msg")
@@ -78,8 +81,15 @@ def msg_not_like(text: str) -> Column:
 
 
 def _search(pattern: str) -> str:
-    """Unicode classes. A final $ also matches before a last line end, unlike \\z."""
-    return f"(?U){pattern}"
+    """The pattern (patterns.py says in which dialect) as Java's; ValueError if it is none."""
+    from pyspark import SparkContext
+
+    found = java_pattern(pattern)
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(found)
+    except (Py4JJavaError, PySparkException) as e:
+        raise ValueError(f"no pattern: {pattern!r}") from e
+    return found
 
 
 def msg_matches(pattern: str) -> Column:

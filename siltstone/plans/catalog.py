@@ -296,8 +296,36 @@ condition("f3_msg_like", lambda: X.msg_like("ERROR user 1"), "contains(lower(msg
 condition("f4_msg_not_like", lambda: X.msg_not_like("User 1"), "NOT contains(lower(msg), 'user 1')")
 condition("f5_msg_matches", lambda: X.msg_matches(r"user \d+ k [0-4]\d?$"), "regexp_matches(msg, 'user [0-9]+ k [0-4][0-9]?$')")
 condition("f5_msg_not_matches", lambda: X.msg_not_matches(r"^(view|click)"), "NOT regexp_matches(msg, '^(view|click)')")
+
+
+#: Patterns in which Java's dialect differs, over messages of which some end in a line end.
+_PATTERNS = (
+    r"k 1\d$", r"(?m)k 1\d$", r"^[[:alpha:]]+ user [[:digit:]]+ k [[:digit:]]+$", r"(?P<kind>error|view) user (?P<who>[0-9]{2})\b", r"(?i)^(VIEW|Click) user 1", r"\x{65}rror user \d+ k \d+\n\z",
+    r"user [1-3]+ k [^1-5]+$", r"(?s)click.*k.$", r"click.*k 3.$", r"^\S+ user (?:7|8|1\d{2}) k",
+)
+
+
+def _lined() -> Column:
+    return F.when(F.col("random") % 3 == 0, F.concat("msg", F.lit("\n"))).otherwise(F.col("msg"))
+
+
+@register("f5_msg_matches_patterns", LOGS + ", lined AS (SELECT random, CASE WHEN random % 3 = 0 THEN msg || chr(10) ELSE msg END AS msg FROM logs)\n" + " UNION ALL ".join(f"SELECT {i} AS pattern, random FROM lined WHERE regexp_matches(msg, '{x}')" for i, x in enumerate(_PATTERNS)))
+def f5_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = logs(spark, sf_dir).withColumn("msg", _lined())
+    hits = F.array_compact(F.array(*[F.when(X.msg_matches(x), F.lit(i)) for i, x in enumerate(_PATTERNS)]))
+    return df.select(F.explode(hits).alias("pattern"), "random")
+
+
 condition("f6_msg_cmp", lambda: X.msg_cmp(">", "purchase user 5"), compare_sql("msg", ">", "purchase user 5"))
-condition("f7_msg_cmp_number", lambda: X.msg_cmp_number(">", 100), "msg > '100'")
+
+
+@register("f7_msg_cmp_number", LOGS + f"SELECT random, level, {prop_sql('k')} AS msg FROM logs WHERE {prop_sql('k')} > '30'")
+def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that are digits, of which those after '30' as texts stay, so 4 and not 100."""
+    return logs(spark, sf_dir).withColumn("msg", P.prop("k")).where(X.msg_cmp_number(">", 30)).select("random", "level", "msg")
+
+
+
 condition("f8_prop_like", lambda: X.prop_like("version", ".1"), f"coalesce(contains({prop_sql('version')}, '.1'), false)")
 condition("f8_prop_not_like", lambda: X.prop_not_like("deviceId", "1"), f"coalesce(NOT contains({prop_sql('deviceId')}, '1'), false)")
 condition("f9_prop_matches", lambda: X.prop_matches("k", "^[1-3]$"), f"coalesce(regexp_matches({prop_sql('k')}, '^[1-3]$'), false)")
