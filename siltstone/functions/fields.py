@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -146,13 +147,59 @@ def _kind(piece: str) -> str:
     return "text"
 
 
+class _Closed(Exception):
+    """The outermost element has ended."""
+
+
+#: A tag, with quoted values.
+_TAG = re.compile(rb"<(?:[^\x22'>]|\x22[^\x22]*\x22|'[^']*')*>")
+
+
+def _xml_end(msg: str, start: int, limit: int) -> int | None:
+    """Where the XML document that begins at start ends, if one does before limit. It is read once, step by step, up to the end of its outermost element."""
+    while start < limit and msg[start].isspace():
+        start += 1
+    if msg[start : start + 1] != "<" or start >= limit:
+        return None
+    parser, depth, fed, data, begun, at = expat.ParserCreate(namespace_separator="}"), 0, start, b"", 0, 0
+
+    def opened(*_: object) -> None:
+        nonlocal depth, begun
+        depth, begun = depth + 1, parser.CurrentByteIndex
+
+    def closed(*_: object) -> None:
+        nonlocal depth, at
+        depth, at = depth - 1, parser.CurrentByteIndex  # of the end tag, or behind a tag that is both
+        if not depth:
+            raise _Closed
+
+    parser.StartElementHandler, parser.EndElementHandler = opened, closed
+    try:
+        size = 64
+        while fed < limit:
+            part = msg[fed : min(limit, fed + size)].encode()
+            data, fed, size = data + part, fed + size, 2 * size
+            parser.Parse(part, False)
+        parser.Parse(b"", True)
+    except _Closed:
+        tag = _TAG.match(data, begun)
+        last = at if tag and tag.end() == at and tag[0].endswith(b"/>") else data.find(b">", at) + 1
+        end = start + len(data[:last].decode())
+        return end if _kind(msg[start:end]) == "xml" else None
+    except expat.ExpatError:
+        return None
+    return None
+
+
 def split_message(msg: str) -> list[tuple[str, str]]:
     """(kind, text) of a message's fragments in order; together they are the message.
 
     A brace that opens the outermost block ends the text before it, and one that closes it ends a fragment: json if it parses, text
-    otherwise. Outside blocks, a fragment whose first visible character is '<' ends at each '>' up to which it is well-formed XML.
-    What is left at the end is a fragment too. Braces that close nothing count, so they shift what is outermost after them."""
+    otherwise. Outside blocks, a fragment whose first visible character is '<' ends at the first '>' up to which it is well-formed XML.
+    What is left at the end is a fragment too. Braces that close nothing count, so they shift what is outermost after them. Every character is read a few times
+    at most, however many marks there are."""
     out: list[tuple[str, str]] = []
+    marks = [m.start() for m in re.finditer("[{}]", msg)]
     start, depth = 0, 0
 
     def cut(end: int, kind: str | None = None) -> None:
@@ -160,18 +207,19 @@ def split_message(msg: str) -> list[tuple[str, str]]:
         out.append((kind or _kind(msg[start:end]), msg[start:end]))
         start = end
 
-    for mark in re.finditer("[{}>]", msg):
-        i, c = mark.start(), mark[0]
-        if c == "{":
+    for i in [*marks, len(msg)]:
+        while depth == 0 and (end := _xml_end(msg, start, i)) is not None:
+            cut(end, "xml")
+        if i == len(msg):
+            break
+        if msg[i] == "{":
             depth += 1
             if depth == 1 and i > start:
                 cut(i, "text")
-        elif c == "}":
+        else:
             depth -= 1
             if depth == 0:
                 cut(i + 1)
-        elif depth == 0 and _kind(msg[start : i + 1]) == "xml":
-            cut(i + 1, "xml")
     if start < len(msg):
         cut(len(msg))
     return out

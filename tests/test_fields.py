@@ -1,5 +1,7 @@
+import time
 from datetime import datetime, timezone
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -115,3 +117,39 @@ def test_split_message():
     assert split("<a>{x}</a>") == [("text", "<a>"), ("text", "{x}"), ("text", "</a>")]
     for msg in ("", "a{b}{c", "<a><b></a>", " <x> </x> {}"):
         assert "".join(x for _, x in split(msg)) == msg
+
+
+def split_by_hand(msg):
+    """Every > outside blocks parses all that the fragment has so far."""
+    out, start, depth = [], 0, 0
+    for i, c in enumerate(msg):
+        if c == "{":
+            depth += 1
+            if depth == 1 and i > start:
+                out.append(("text", msg[start:i]))
+                start = i
+        elif c == "}":
+            depth -= 1
+            if depth == 0:
+                out.append((P._kind(msg[start : i + 1]), msg[start : i + 1]))
+                start = i + 1
+        elif c == ">" and depth == 0 and P._kind(msg[start : i + 1]) == "xml":
+            out.append(("xml", msg[start : i + 1]))
+            start = i + 1
+    return out + ([(P._kind(msg[start:]), msg[start:])] if start < len(msg) else [])
+
+
+PIECES = ["<a>", "</a>", "<b/>", "<b x='>'/>", '<b y="a>b">', "</b>", "<!-- > -->", "<?xml version='1.0'?>", "<!DOCTYPE a>", "<![CDATA[>]]>", "&amp;", "&nbsp;", "<n:a/>", "<b x='1' x='2'/>", " ", "\n", "é", "x", "{", "}", '{"k": [1]}', ">", "<", "\u00a0", "\x00", "日"]
+
+
+@settings(max_examples=1_500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_split_model(msg):
+    assert P.split_message(msg) == split_by_hand(msg)
+
+
+@pytest.mark.parametrize("msg", ["<a>" + "<b>x</b>" * 120_000, "<a>" + "<b>x</b>" * 120_000 + "</a>", "<b>x</b>" * 120_000, "<!-- " + "> " * 500_000, "<a b='" + ">" * 900_000, "<a>" + "é>" * 400_000 + "</a>", "{" * 500_000 + "}" * 500_000, "> " * 500_000, "<" * 900_000])
+def test_split_is_linear(msg):
+    began = time.process_time()
+    assert "".join(x for _, x in P.split_message(msg)) == msg
+    assert time.process_time() - began < 8
