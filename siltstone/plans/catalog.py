@@ -22,6 +22,7 @@ from siltstone.operators import templates as D
 from siltstone.operators import windows as W
 from siltstone.sources import batches as B
 from siltstone.sources import logs as S
+from siltstone.sources.compaction import compact_files, file_rows
 from siltstone.sources.scratch import materialize, new_folder
 from siltstone.sources.skipping import write_properties
 from siltstone.sources.tables import create_table, merge_once, read_table
@@ -691,6 +692,31 @@ def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compact(days, SIZE).select("random", "device_id", "chunk")
 
 
+def _compacted(spark: SparkSession, sf_dir: str) -> str:
+    """A table in many small files, half of which one compaction and all of which another has joined."""
+    path, df = new_folder(spark, "logs"), logs(spark, sf_dir)
+    S.write_logs(df.where(F.col("ts") < F.lit(MID)), path, rows=45, buckets_per_device=1)
+    compact_files(spark, path, 60)
+    S.write_logs(df.where(F.col("ts") >= F.lit(MID)), path, rows=45, buckets_per_device=1)
+    compact_files(spark, path, 60)
+    return path
+
+
+@register("c5_compact_files", LOGS + SHOW_LOGS)
+def c5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show_logs(S.read_logs(spark, _compacted(spark, sf_dir)))
+
+
+_FILES_SQL = f"(SELECT CAST(ts AS DATE) AS day, ts >= {MID_SQL} AS late, count(*) AS n FROM logs GROUP BY 1, 2)"
+
+
+@register("c5_compacted_file_rows", LOGS + "SELECT CAST(day AS VARCHAR) AS day, CAST(max(files) AS BIGINT) AS files, sum(n)::BIGINT AS rows FROM (SELECT day, n, ceil(sum(n) OVER (PARTITION BY day) / 60) AS files FROM " + _FILES_SQL + ") GROUP BY day")
+def c5_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full files, and one more with what is left over, for every day; that of the day in the middle was joined twice."""
+    files = file_rows(spark, _compacted(spark, sf_dir))
+    return files.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+
+
 @register("c6_assign_orphans", LOGS + f"""SELECT random, device_id, CAST(floor((row_number() OVER (PARTITION BY device_id ORDER BY ts, {ID_SQL}) - 1) / {SIZE}) AS INT) AS chunk,
   CASE WHEN {prop_sql('deviceId')} IS NULL THEN 'unknown' ELSE {prop_sql('deviceId')} END AS named FROM logs WHERE random % 3 = 0""")
 def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
