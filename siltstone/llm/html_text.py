@@ -59,7 +59,9 @@ _EQUALS = re.compile(r"\s*=\s*")
 _UNQUOTED = re.compile(r"[^\s>]*")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
+_COMMENT_END = re.compile("--!?>")
 
 
 class Node:
@@ -164,7 +166,8 @@ class _Builder:
             attributes["hidden"] = ""
         node = Node(tag, attributes)
         self.stack[-1].children.append(node)
-        if tag not in VOID and tag not in RAW and not closed:
+        foreign = closed and (tag in ("svg", "math") or self.places["svg"] or self.places["math"])  # the slash of other elements means nothing
+        if tag not in VOID and tag not in RAW and not foreign:
             self.open(node)
         return node
 
@@ -182,9 +185,14 @@ def parse(source: str) -> Node:
         if at == n:
             break
         if not opens[2]:  # a comment, a declaration, or a comment in disguise
-            end = "-->" if source.startswith("<!--", at) else ">"
-            close = source.find(end, at + (4 if end == "-->" else 0))
-            pos = close + len(end) if close >= 0 else n
+            if not source.startswith("<!--", at):
+                close = source.find(">", at)
+                pos = close + 1 if close >= 0 else n
+            elif source.startswith((">", "->"), at + 4):  # a comment of nothing
+                pos = source.index(">", at) + 1
+            else:
+                found = _COMMENT_END.search(source, at + 4)
+                pos = found.end() if found else n
             continue
         ends, tag = opens[1], opens[2].lower()
         attributes, closed, pos = read_tag(source, opens.end())
@@ -201,9 +209,33 @@ def parse(source: str) -> Node:
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             close = source.find(">", found.end()) if found else -1
             pos = close + 1 if close >= 0 else n
+    if _VISIBILITY.search(source):
+        _inherit_visibility(builder.root)
     return builder.root
 
 
+def _inherit_visibility(root: Node) -> None:
+    """Elements within an invisible one are invisible unless they say otherwise. One without a visible element inside is hidden as a whole; one with such loses
+    its own text."""
+    order, states = [root], [False]
+    for i, node in enumerate(order):  # grows as it is read: parents come first
+        styled = _VISIBILITY.findall(node.attributes.get("style") or "")
+        if styled and (last := styled[-1].lower()) in ("hidden", "collapse", "visible"):
+            states[i] = last != "visible"
+        inside = [c for c in node.children if not isinstance(c, str)]
+        order += inside
+        states += [states[i]] * len(inside)
+    shown: set[int] = set()
+    for node, hidden in zip(reversed(order), reversed(states), strict=True):
+        inside = any(id(c) in shown for c in node.children if not isinstance(c, str))
+        if not hidden or inside:
+            shown.add(id(node))
+            if hidden:
+                node.children = [c for c in node.children if not isinstance(c, str)]
+        else:
+            node.attributes["hidden"] = ""
+
+
 def elements(root: Node) -> Iterator[Node]:
     """All elements in the order of the page."""
     open_ = [iter([root])]
@@ -406,6 +438,11 @@ def _table(node: Node, page: _Page) -> _Step:
         for column, span, lines in cells:
             if bisect_right(starts, column + span - 1) == bisect_right(starts, column):  # one column only
                 widths[column] = max(widths[column], max(map(len, lines), default=0))
+    for column, span, lines in sorted((cell for cells in grid for cell in cells), key=lambda c: c[1]):
+        own = starts[bisect_right(starts, column) - 1 : bisect_right(starts, column + span - 1)]
+        lack = max(map(len, lines), default=0) - sum(widths[c] + 2 for c in own) + 2
+        for k, c in enumerate(own if lack > 0 else ()):  # a wide cell widens its columns alike, the last ones first
+            widths[c] += (lack + k) // len(own)
     offsets, at = {}, 0
     for column in starts:
         offsets[column], at = at, at + widths[column] + 2

@@ -147,3 +147,15 @@ def test_words_are_those_of_another_parser():
         else:
             assert set(mine.split()) <= {*plain.words, "-", *(f"{i}." for i in range(1, 100))}
     assert same > 10
+
+
+@pytest.mark.parametrize("source, text", [
+    ("x<!-->y-->z", "xy-->z"), ("x<!--->y-->z", "xy-->z"), ("a<!-- b --!>c", "ac"), ("a<!---->b", "ab"), ("a<!-- > -- > -->b", "ab"), ("a<!-- b", "a"), ("a<!--b--->c", "ac"),
+    ("<div hidden/>secret</div>shown", "shown"), ('<span style="display:none"/>secret</span> shown', "shown"), ("<p/>a<p/>b", "a\n\nb"), ("<svg><text/>a</svg>b", "ab"), ("<svg/>a", "a"),
+    ('<div style="visibility:hidden">a<b style="visibility: visible">b<i>c</i></b>d</div>e', "bc\ne"), ('<p style="visibility:hidden">a</p>b', "b"),
+    ('<div style="visibility:hidden"><p>a<span style="VISIBILITY:collapse">b</span></p><p style="visibility:visible">c</p></div>', "c"), ('<div style="visibility:visible">a</div>', "a"),
+    ("<table><tr><td colspan=2>a very long spanning cell here<td>c<tr><td>1<td>2<td>3</table>", "a very long spanning cell here  c\n1               2               3"),
+    ("<table><tr><td>aaaa<td>b<td>c<tr><td colspan=2>xx<td>y</table>", "aaaa  b  c\nxx       y"),
+])
+def test_as_browsers_read(source, text):
+    assert render(source) == text
