@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from siltstone.functions.fields import log_id
 from siltstone.functions.schema import SEGMENT_ROWS
@@ -40,10 +41,13 @@ def sequence_windows(
 ) -> DataFrame:
     """(device, pos, x, y): each full window of w values with the `target` values after it, in time order.
 
-    Without a block a device is one task. With one (a column that ascends with order, such as the day) rows are numbered block by block, and windows are
-    made over stretches of block_rows rows, each with the first rows of the next; the result is the same.
+    Rows are numbered block by block, and windows are made over stretches of block_rows rows, each with the first rows of the next, so that no task has to hold a
+    device. block: a column that ascends with order; by default the day of the first of order, if that is a time. Only where it is none, and no block is
+    given, a device is one task. The result is the same.
     """
     ahead = w + target - 1
+    if block is None and isinstance(df.schema[order[0]].dataType, (TimestampType, TimestampNTZType, DateType)):
+        block = F.to_date(order[0])
     if block is None:
         frame = Window.partitionBy(device).orderBy(*order)
         rows = df.select(device, (F.row_number().over(frame) - 1).alias("_number"), F.collect_list(value).over(frame.rowsBetween(0, ahead)).alias("_all"))

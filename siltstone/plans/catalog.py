@@ -214,6 +214,17 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show_logs(S.read_json_logs(spark, path))
 
 
+@register("s8_unreadable_json_lines", LOGS + "SELECT reason, count(*) AS lines FROM (SELECT CASE WHEN random % 50 = 0 THEN 'no json' WHEN random % 70 = 0 THEN 'no time' ELSE 'logs' END AS reason FROM logs) GROUP BY reason")
+def s8_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the lines in files some are cut off and some have no time; all are accounted for."""
+    path = new_folder(spark, "json-logs")
+    line, number = S.json_line(), F.col("random")
+    broken = F.when(number % 50 == 0, F.substring(line, 1, 40)).when(number % 70 == 0, F.regexp_replace(line, '"timestamp":"[^"]*"', '"timestamp":"soon"')).otherwise(line)
+    logs(spark, sf_dir).select(broken.alias("value")).write.text(path)
+    good, bad = S.read_json_logs_checked(spark, path)
+    return bad.select("reason").unionByName(good.select(F.lit("logs").alias("reason"))).groupBy("reason").agg(F.count("*").alias("lines"))
+
+
 @register("s6_json_lines", LOGS + SHOW_LOGS)
 def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = materialize(S.to_json_lines(logs(spark, sf_dir)), "json")

@@ -102,21 +102,35 @@ def to_text_lines(df: DataFrame, millis: bool = True) -> DataFrame:
     return df.select(text_line(millis).alias("value"))
 
 
+_JSON = "id string, version int, timestamp timestamp, level string, msg string, message string, props array<struct<key:string,value:string>>"
+
+
 def from_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Logs from exported JSON texts; msg or message; missing props are empty."""
-    shape = "id string, version int, timestamp timestamp, level string, msg string, message string, props array<struct<key:string,value:string>>"
-    x = F.from_json(value, shape)
-    rows = lines.select(x.alias("x")).where("x.timestamp is not null").select("x.*")
+    """Logs from exported JSON texts; msg or message; missing props are empty. Lines without a readable time are no logs: unreadable_json_lines has them."""
+    rows = lines.select(F.from_json(value, _JSON).alias("x")).where("x.timestamp is not null").select("x.*")
     return canonical(rows.select(
         "version", F.pmod(F.col("id").try_cast("decimal(38,0)"), F.lit(2**32)).cast("long").alias("random"), F.col("timestamp").alias("ts"),
         "level", "props", F.coalesce("msg", "message").alias("msg"),
     ))
 
 
+def unreadable_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The lines, with their columns, that from_json_lines leaves out, and why: 'no json', or 'no time' where the time is missing or none. Blank lines are no lines."""
+    text = F.col(value)
+    bad = lines.where(text.isNotNull() & (F.trim(text) != "") & F.from_json(value, _JSON)["timestamp"].isNull())
+    return bad.withColumn("reason", F.when(F.try_parse_json(value).isNull(), "no json").otherwise("no time"))
+
+
 def read_json_logs(spark: SparkSession, path: str) -> DataFrame:
     return from_json_lines(spark.read.text(path))
 
 
+def read_json_logs_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(logs, lines that are none, with their reason and file)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return from_json_lines(lines), unreadable_json_lines(lines)
+
+
 def write_templates_csv(parsed: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """TemplateID;Text for each line, in folders of part files."""
     parsed.select(F.col("template_id").alias("TemplateID"), F.col("text").alias("Text")).write.mode(mode).option("sep", ";").option("header", True).csv(path)

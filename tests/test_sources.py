@@ -82,6 +82,15 @@ def test_text_and_json(spark, tmp_path):
     assert [(r["msg"], r["props"], r["device_id"], r["random"]) for r in row] == [("hi", [], "unknown", 5)]
 
 
+def test_unreadable_lines(spark, tmp_path):
+    lines = ['{"id":"5","timestamp":"2024-01-01T00:00:00Z","level":"info","message":"hi"}', "nonsense", '{"id":"6","timestamp":"soon"}', '{"id":"7"}', "[1]", "", "  ", '{"id":"8","timestamp":"2024-01-01T00:0']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    good, bad = S.read_json_logs_checked(spark, str(tmp_path))
+    assert [r["msg"] for r in good.collect()] == ["hi"]
+    assert sorted((r["reason"], r["value"]) for r in bad.collect()) == sorted([("no json", lines[1]), ("no time", lines[2]), ("no time", lines[3]), ("no time", lines[4]), ("no json", lines[7])])
+    assert {r["file"].rsplit("/", 1)[1] for r in bad.collect()} == {"a.json"}
+
+
 def test_write_read(spark, tmp_path):
     df = table(spark, *[(AT, "info", dev("a"), f"m{i}") for i in range(7)], (AT, "warn", [], "x"))
     S.write_logs(df, str(tmp_path / "logs"), rows=3)
