@@ -105,6 +105,7 @@ class _Builder:
         self.root = Node("html", {})
         self.stack = [self.root]
         self.places: dict[str, list[int]] = defaultdict(list)
+        self.styled = False  # whether an element says how visible it is
 
     def last(self, tags: Iterable[str]) -> int:
         """Place of the innermost open element with one of the tags; 0 if there is none but the root."""
@@ -164,6 +165,8 @@ class _Builder:
                 self.close_to(min(inside))
         if any(tag in unshown and self.places[x] for x, unshown in UNSHOWN.items()):
             attributes["hidden"] = ""
+        if "style" in attributes and _VISIBILITY.search(attributes["style"]):
+            self.styled = True
         node = Node(tag, attributes)
         self.stack[-1].children.append(node)
         foreign = closed and (tag in ("svg", "math") or self.places["svg"] or self.places["math"])  # the slash of other elements means nothing
@@ -209,7 +212,7 @@ def parse(source: str) -> Node:
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             close = source.find(">", found.end()) if found else -1
             pos = close + 1 if close >= 0 else n
-    if _VISIBILITY.search(source):
+    if builder.styled:
         _inherit_visibility(builder.root)
     return builder.root
 
