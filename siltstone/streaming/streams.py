@@ -135,8 +135,6 @@ def ingest_with_flush(
     and with seconds=0 nothing waits. The checkpoint makes a restart go on where it was; a batch that is tried again writes to its own folder again, so no log is stored twice or lost.
     stats: folder for the uploads of each batch: uploader, files, logs_count, logs_size (bytes of the records), skipped, reason. Files of no uploader are ingested
     and have no statistics."""
-    if spark.conf.get(STATE_STORE, None) != ROCKSDB:
-        spark.conf.set(STATE_STORE, ROCKSDB)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         # the list of files is stored and read by the caller's session, as streams run without adaptive plans
@@ -152,11 +150,12 @@ def ingest_with_flush(
             sums.write.mode("overwrite").parquet(f"{stats}/batch={batch_id}")
 
     writer = flushed_files(stream_spool(spark, folder, max_files), rows, size, seconds).writeStream.outputMode("append").foreachBatch(flush).option("checkpointLocation", checkpoint)
-    if every is not None:
-        return writer.trigger(processingTime=every).start()
-    empty = spark.conf.get(EMPTY_BATCHES, "true")
-    spark.conf.set(EMPTY_BATCHES, "false")  # with timers there is always one more
-    try:
-        return writer.trigger(availableNow=True).start()
+    settings = {STATE_STORE: ROCKSDB} | ({EMPTY_BATCHES: "false"} if every is None else {})  # with timers there is always one more batch without data
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:  # the stream takes the settings when it starts
+        return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
     finally:
-        spark.conf.set(EMPTY_BATCHES, empty)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
