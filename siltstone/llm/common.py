@@ -7,14 +7,10 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.sources.scratch import materialize, shared_dir
+from siltstone.sources.scratch import BROADCAST_BYTES, if_small, materialize, shared_dir
 
 __all__ = ["BROADCAST_BYTES", "give_back", "if_small", "materialize", "number_within", "semi_by_ids", "shared_dir", "shuffle_partitions", "table", "tokenizer_file"]
 
-#: Bytes above which a small side is no longer broadcast but shuffled.
-BROADCAST_BYTES = 32 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,12 +19,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def if_small(df: DataFrame) -> DataFrame:
-    """df, stored, with a hint to broadcast it if its measured rows take no more than BROADCAST_BYTES."""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16 * len(df.columns)))
-    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
-
-
 def semi_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is in ids (stored and distinct). ids is broadcast if its bytes allow it; else both sides are shuffled."""
     return df.join(if_small(ids), key, "left_semi")
