@@ -11,6 +11,7 @@ from siltstone.sources.scratch import BROADCAST_BYTES, if_small, materialize, sh
 
 __all__ = ["BROADCAST_BYTES", "give_back", "if_small", "materialize", "number_within", "semi_by_ids", "shared_dir", "shuffle_partitions", "table", "tokenizer_file"]
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
