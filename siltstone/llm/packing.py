@@ -9,6 +9,7 @@ places: the r-th piece of a length takes the r-th place of that length in the pl
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -44,6 +45,16 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in the tokenizer's merges: printable Latin-1 for itself, the other bytes in order from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_letters()
+
+
 @dataclass
 class Plan:
     """Patterns (lengths, with repeats, of one sequence) and how many sequences use each."""
@@ -250,8 +261,10 @@ class WordTokenizer:
         self.words, self.parts = _Remembered(self.encode_word), _Remembered(self.encode_part)
 
     def encode_part(self, part: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(part)] if part.isascii() else self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_word(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and "<|" not in word:  # which may begin a special token
