@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from siltstone.functions.fields import log_id
 from siltstone.functions.schema import SEGMENT_ROWS
 from siltstone.operators.windows import number_in_blocks
+from siltstone.sources import small_files
+from siltstone.sources.batches import opens
+from siltstone.sources.scratch import materialize
 
 #: Folder of a running job, below the table; readers leave it out for its name.
 ASIDE = "_compaction"
+#: Rows that are dealt to a task together, where files are small.
+LOT_ROWS = 20_000
 
 
 def file_rows(spark: SparkSession, path: str) -> DataFrame:
     """(day, file, rows): from the files' footers, no column is read."""
+    if opens(path):
+        return small_files.file_counts(small_files.listed(spark, path)).select("day", "file", "rows")
     return spark.read.parquet(path).groupBy("day", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
 
 
@@ -29,14 +36,22 @@ def finish_compaction(spark: SparkSession, path: str) -> None:
     system = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
     aside = f"{path}/{ASIDE}"
     if system.exists(folder(f"{aside}/old/_SUCCESS")):
+        old = spark.read.schema("file string").parquet(f"{aside}/old")
+        if opens(path):
+            if system.exists(folder(f"{aside}/new")):
+                small_files.move_to_days(small_files.listed(spark, f"{aside}/new"), path)
+            small_files.delete(small_files.dealt(old, old.count()))
+            system.delete(folder(aside), True)
+            return
+        uri = spark._jvm.java.net.URI
         for found in system.globStatus(folder(f"{aside}/new/day=*/*.parquet")) or []:
             source = found.getPath()
             target = folder(f"{path}/{source.getParent().getName()}/{source.getName()}")
             system.mkdirs(target.getParent())
             if not system.rename(source, target):
                 raise OSError(f"{source.toString()} can't be moved")
-        for r in spark.read.schema("file string").parquet(f"{aside}/old").collect():  # names of the small files
-            system.delete(folder(spark._jvm.java.net.URI(r["file"])), False)
+        for r in old.collect():  # names of the small files
+            system.delete(folder(uri(r["file"])), False)
     system.delete(folder(aside), True)
 
 
@@ -44,19 +59,28 @@ def compact_files(spark: SparkSession, path: str, rows: int = SEGMENT_ROWS) -> i
     """Days with two or more files of fewer than `rows` rows get these rewritten as files of `rows` rows, by device and time inside, and one with what is left over;
     the number of files that were replaced. A device or day larger than a task is numbered in blocks. One job at a time."""
     finish_compaction(spark, path)
-    small = file_rows(spark, path).where(F.col("rows") < rows)
-    names = [x for r in small.groupBy("day").agg(F.collect_list("file").alias("files")).where(F.size("files") > 1).collect() for x in r["files"]]  # names, as any scan holds them
+    small = file_rows(spark, path).where(F.col("rows") < rows).groupBy("day").agg(F.collect_list("file").alias("files")).where(F.size("files") > 1)
+    chosen = materialize(small.select("day", F.explode("files").alias("file")), "small-files")
+    names = [r["file"] for r in chosen.select("file").collect()]  # names, as any scan holds them
     if not names:
         return 0
-    logs = spark.read.option("basePath", path).parquet(*[spark._jvm.java.net.URI(x).getPath() if x.startswith("file:") else x for x in names])
-    columns = logs.columns
+    aside, schema = f"{path}/{ASIDE}", spark.read.parquet(path).schema
+    if opens(path):
+        logs = small_files.read_files(small_files.dealt(chosen, len(names)), schema)
+    else:
+        uri = spark._jvm.java.net.URI
+        logs = spark.read.option("basePath", path).parquet(*[uri(x).getPath() if x.startswith("file:") else x for x in names])
     order = [F.col("device_id"), F.col("ts"), log_id()]
     numbered = number_in_blocks(logs, "day", F.struct("device_id", F.date_trunc("hour", "ts").alias("hour")), order, "_number")
-    numbered = numbered.withColumn("_file", F.floor(F.col("_number") / F.lit(rows)))
-    dealt = numbered.repartition("day", "_file").sortWithinPartitions("day", "_file", "device_id", "ts")
-    # a task may hold several files' rows: the number is a folder while they are written, so that none ends within another's rows
-    aside = f"{path}/{ASIDE}"
-    dealt.select(*columns, "_file").write.partitionBy("day", "_file").option("compression", "zstd").parquet(f"{aside}/made")
+    if small_files.few_rows(path, rows):
+        # a task gets whole files' rows, many files at a time, so only a day's last file ends early
+        lots = numbered.withColumn("_lot", F.floor(F.col("_number") / F.lit(rows * max(1, LOT_ROWS // rows))))
+        small_files.write_by_day(lots.repartition("day", "_lot").sortWithinPartitions("day", "_number").select(*schema.names), f"{aside}/new", rows)
+    else:
+        # a task may hold several files' rows: the number is a folder while they are written, so that none ends within another's rows
+        numbered = numbered.withColumn("_file", F.floor(F.col("_number") / F.lit(rows)))
+        dealt = numbered.repartition("day", "_file").sortWithinPartitions("day", "_file", "device_id", "ts")
+        dealt.select(*schema.names, "_file").write.partitionBy("day", "_file").option("compression", "zstd").parquet(f"{aside}/made")
     _flatten(spark, aside)
     spark.createDataFrame([(x,) for x in names], "file string").coalesce(1).write.parquet(f"{aside}/old")
     finish_compaction(spark, path)
