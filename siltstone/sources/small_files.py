@@ -15,7 +15,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from siltstone.sources.batches import FilesWriter, opens
@@ -46,7 +46,7 @@ class WrittenParts(WriterCommitMessage):
                 yield f"{folder}/.{self.stem}.c{i:06d}.parquet", f"{folder}/{self.stem}.c{i:06d}.parquet"
 
 
-class DayFilesWriter(FilesWriter, DataSourceArrowWriter):
+class DayFilesWriter(FilesWriter):
     """Rows that come sorted by day go into day folders, in files of `rows` rows and one with a day's rest a task. Files show when all tasks have ended, as FilesWriter says."""
 
     def __init__(self, path: str, rows: int):

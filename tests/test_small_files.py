@@ -57,3 +57,14 @@ def test_columns_that_files_lack(spark, tmp_path):
     got = M.read_files(M.listed(spark, path), df.schema)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, df.withColumn("msg", F.lit(None).cast("string")).collect()))
     assert got.first()["day"] == date(2024, 5, 15)
+
+
+def test_small_files_are_written_by_tasks(spark, tmp_path):
+    """No checksum files of Hadoop's: each of them, and each file, would cost a process. Logs without a time have a folder too."""
+    path, df = str(tmp_path / "logs"), table(spark, 200)
+    df = df.unionByName(df.limit(3).withColumn("ts", F.lit(None).cast("timestamp")))
+    S.write_logs(df, path, rows=7, buckets_per_device=2)
+    same(spark, path, df)
+    counts = [r["rows"] for r in C.file_rows(spark, path).collect()]
+    assert max(counts) == 7 and sum(counts) == 203 and len(counts) < 60
+    assert not [p for p in Path(path).rglob(".*")]
