@@ -15,11 +15,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from siltstone.functions.fields import device_id
@@ -35,6 +34,8 @@ _LOW, _HIGH = -62135596800_000000, 253402300799_999999
 #: Rows that a decoding task passes on at a time, and bytes that it reads at a time.
 BATCH_ROWS, STEP = 20_000, 8 << 20
 ROW = "version int, random long, ts timestamp, level string, props array<struct<key:string,value:string>>, msg string"
+#: Bytes that pass between the steps of a task that writes files, and the setting that bounds them.
+WRITE_BYTES, BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Schemes of paths that Python opens itself.
 OPENED = ("", "file", "s3", "s3a", "gs", "hdfs")
 _NAMES = np.array(["unknown", *LEVELS[:6]], object)
@@ -272,7 +273,7 @@ class Written(WriterCommitMessage):
     names: list[tuple[str, str]]
 
 
-class FilesWriter(DataSourceWriter):
+class FilesWriter(DataSourceArrowWriter):
     """Each task writes under names that begin with a dot; they get their own when all tasks have ended, so a reader of finished files never sees half of
     one, and what a failed attempt wrote is taken away."""
 
@@ -285,20 +286,20 @@ class FilesWriter(DataSourceWriter):
         path = re.sub(r"^s3a:", "s3:", re.sub(r"^file:/*", "/", self.path))
         return (fs.LocalFileSystem(), path.rstrip("/")) if path.startswith("/") else fs.FileSystem.from_uri(path.rstrip("/"))
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         system, folder = self._system()
         system.create_dir(folder, recursive=True)
         names, out = [], None
         try:
-            for row in rows:
-                if not names or row["path"] != names[-1][1]:
+            for path, content in ((p, c) for batch in batches for p, c in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)):
+                if not names or path != names[-1][1]:
                     if out is not None:
                         out.close()
-                    names.append((f".{row['path']}.{TaskContext.get().taskAttemptId()}", row["path"]))
+                    names.append((f".{path}.{TaskContext.get().taskAttemptId()}", path))
                     out = system.open_output_stream(f"{folder}/{names[-1][0]}")
-                out.write(row["content"])
+                out.write(content.as_buffer())  # as it lies in the batch
             if out is not None:
                 out.close()
         except BaseException:
@@ -333,10 +334,16 @@ class Files(DataSource):
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """Writes (path, content) as files of a folder."""
+    """Writes (path, content) as files of a folder. Contents pass between the steps of a task WRITE_BYTES at a time, or one by one where they are larger, so
+    that its memory doesn't depend on how many files it writes."""
     spark = files.sparkSession
     spark.dataSource.register(Files)
-    files.select("path", "content").write.format("files_of_bytes").mode("append").save(path)
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(WRITE_BYTES))
+    try:
+        files.select("path", "content").write.format("files_of_bytes").mode("append").save(path)
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
 
 
 def pack_segments(files: DataFrame, magic: bytes, level: int = 9) -> DataFrame:
@@ -344,14 +351,15 @@ def pack_segments(files: DataFrame, magic: bytes, level: int = 9) -> DataFrame:
     if len(magic) != SEGMENT_HEADER - 2:
         raise ValueError("magic must be 11 bytes")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for batch in batches:
-            packed = [zstandard.ZstdCompressor(level).compress(magic + b"\x00\x01" + bytes(x)) for x in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "content": packed})
+            for i, content in enumerate(batch.column("content")):
+                packed = zstandard.ZstdCompressor(level).compress(magic + b"\x00\x01" + content.as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("path").slice(i, 1), pa.array([packed], pa.binary())], ["path", "content"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, content binary")
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")
 
 
 class Expanded:
