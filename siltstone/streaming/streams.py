@@ -12,8 +12,9 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from siltstone.functions.fields import record_bytes
 from siltstone.operators.devices import upsert_device_stats
-from siltstone.sources.batches import count_contents, decode_contents, log_files, with_content
+from siltstone.sources.batches import count_contents, decode_contents, log_files, opens, with_content
 from siltstone.sources.logs import canonical, write_logs
+from siltstone.sources.small_files import TASK_FILES
 from siltstone.sources.tables import merge_once
 
 #: An uploader's files are written once they have so many rows or bytes, or the oldest has waited so long.
@@ -23,6 +24,9 @@ WAITING = "path string, length long, records long, record_bytes long, skipped lo
 FLUSH = f"uploader string, reason string, {WAITING}"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+#: Tasks that keep the uploaders' waiting files. They hold names and numbers only, and each starts a store and a worker in every batch, so few do.
+STATE_TASKS = 16
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -128,29 +132,34 @@ def flushed_files(files: DataFrame, rows: int = FLUSH_ROWS, size: int = FLUSH_BY
 
 def ingest_with_flush(
     spark: SparkSession, folder: str, path: str, checkpoint: str, seconds: float = FLUSH_SECONDS, rows: int = FLUSH_ROWS, size: int = FLUSH_BYTES, every: str | None = None,
-    max_files: int = 1000, stats: str | None = None,
+    max_files: int = 1000, stats: str | None = None, state_tasks: int = STATE_TASKS,
 ) -> StreamingQuery:
     """Ingests a drop folder into a logs table. An uploader's files are written when they have `rows` rows or `size` bytes, or after `seconds`.
     every: how often to look for files ('10 seconds'); None: what is there now, then stop. What isn't due by then waits for a later start that finds new files,
     and with seconds=0 nothing waits. The checkpoint makes a restart go on where it was; a batch that is tried again writes to its own folder again, so no log is stored twice or lost.
     stats: folder for the uploads of each batch: uploader, files, logs_count, logs_size (bytes of the records), skipped, reason. Files of no uploader are ingested
-    and have no statistics."""
+    and have no statistics. state_tasks: tasks that keep what waits, if the session has more shuffle partitions; a checkpoint keeps the number of its first start."""
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         # the list of files is stored and read by the caller's session, as streams run without adaptive plans
         left = f"{checkpoint}/left/batch={batch_id}"
         batch.write.mode("overwrite").parquet(left)
         files = spark.read.schema(FLUSH).parquet(left)
-        names = [r["path"] for r in files.select("path").collect()]  # names, as the stream's own log holds them
-        if not names:
+        n = files.count()
+        if not n:
             return
-        write_logs(spool_logs(log_files(spark, names)), f"{path}/batch={batch_id}", mode="overwrite")
+        if opens(folder):  # tasks open the files by their names
+            due = files.select("path", F.lit(None).cast("binary").alias("content")).repartition(max(spark.sparkContext.defaultParallelism, n // TASK_FILES))
+        else:
+            due = log_files(spark, [r["path"] for r in files.select("path").collect()])  # names, as the stream's own log holds them
+        write_logs(spool_logs(due), f"{path}/batch={batch_id}", mode="overwrite")
         if stats:
             sums = files.where("uploader is not null").groupBy("uploader", "reason").agg(F.count("*").alias("files"), F.sum("records").alias("logs_count"), F.sum("record_bytes").alias("logs_size"), F.sum("skipped").alias("skipped"))
             sums.write.mode("overwrite").parquet(f"{stats}/batch={batch_id}")
 
     writer = flushed_files(stream_spool(spark, folder, max_files), rows, size, seconds).writeStream.outputMode("append").foreachBatch(flush).option("checkpointLocation", checkpoint)
-    settings = {STATE_STORE: ROCKSDB} | ({EMPTY_BATCHES: "false"} if every is None else {})  # with timers there is always one more batch without data
+    tasks = min(state_tasks, int(spark.conf.get(SHUFFLE_PARTITIONS)))
+    settings = {STATE_STORE: ROCKSDB, SHUFFLE_PARTITIONS: str(tasks)} | ({EMPTY_BATCHES: "false"} if every is None else {})  # with timers there is always one more batch without data
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
