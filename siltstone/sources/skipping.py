@@ -34,9 +34,11 @@ def _bit(text: Column) -> Column:
 
 
 def file_properties(spark: SparkSession, path: str) -> DataFrame:
-    """(file, day, key, bits) of the table at path. Values are reduced to bits in each task, so one bitmap a file and key is moved."""
+    """(file, day, key, bits) of the table at path. Each task keeps the distinct bits of its files, by hash; only these are moved, and sorted for the bitmaps, so memory
+    grows with the values of a file and not with its rows."""
     rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), "day", F.explode("props").alias("p"))
-    return rows.groupBy("file", "day", F.col("p.key").alias("key")).agg(F.bitmap_construct_agg(_bit(_canonical(F.col("p.value")))).alias("bits"))
+    bits = rows.select("file", "day", F.col("p.key").alias("key"), _bit(_canonical(F.col("p.value"))).alias("bit")).distinct()
+    return bits.groupBy("file", "day", "key").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
 def write_properties(spark: SparkSession, path: str, index: str, mode: str = "overwrite") -> None:

@@ -68,3 +68,17 @@ def test_small_files_are_written_by_tasks(spark, tmp_path):
     counts = [r["rows"] for r in C.file_rows(spark, path).collect()]
     assert max(counts) == 7 and sum(counts) == 203 and len(counts) < 60
     assert not [p for p in Path(path).rglob(".*")]
+
+
+def test_property_bits_are_reduced_by_hash_before_any_sort(spark, tmp_path):
+    """A sort of all properties would hold every row of a task's files."""
+    from siltstone.sources.skipping import file_properties
+
+    path = str(tmp_path / "logs")
+    S.write_logs(table(spark, 50), path)
+    bits = file_properties(spark, path)
+    plan = bits._jdf.queryExecution().sparkPlan().toString()
+    first = [line for line in plan.splitlines() if "Aggregate" in line or "Generate" in line]
+    assert "HashAggregate" in first[first.index(next(x for x in first if "Generate" in x)) - 1]
+    held = spark.read.parquet(path).select(F.col("_metadata.file_path"), "device_id").distinct().count()
+    assert {(r["key"], r["n"]) for r in bits.groupBy("key").agg(F.sum(F.bitmap_count("bits")).alias("n")).collect()} == {("deviceId", held)}
