@@ -82,3 +82,12 @@ def test_property_bits_are_reduced_by_hash_before_any_sort(spark, tmp_path):
     assert "HashAggregate" in first[first.index(next(x for x in first if "Generate" in x)) - 1]
     held = spark.read.parquet(path).select(F.col("_metadata.file_path"), "device_id").distinct().count()
     assert {(r["key"], r["n"]) for r in bits.groupBy("key").agg(F.sum(F.bitmap_count("bits")).alias("n")).collect()} == {("deviceId", held)}
+
+
+def test_files_are_counted_without_a_scan(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    S.write_logs(table(spark, 50), path, rows=8)
+    counts = C.file_rows(spark, path)
+    assert "Format: Parquet" not in counts._jdf.queryExecution().toString() and "parquet" not in counts._jdf.queryExecution().sparkPlan().toString().lower().split("location")[0]
+    plain = spark.read.parquet(path).groupBy("day", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
