@@ -64,9 +64,11 @@ def compact_files(spark: SparkSession, path: str, rows: int = SEGMENT_ROWS) -> i
     names = [r["file"] for r in chosen.select("file").collect()]  # names, as any scan holds them
     if not names:
         return 0
-    aside, schema = f"{path}/{ASIDE}", spark.read.parquet(path).schema
+    aside, schema = f"{path}/{ASIDE}", small_files.table_schema(spark, path)
     if opens(path):
-        logs = small_files.read_files(small_files.dealt(chosen, len(names)), schema)
+        # small files are opened once: their rows are read twice to be numbered
+        small_files.read_files(small_files.dealt(chosen, len(names)), schema).write.parquet(f"{aside}/rows")
+        logs = spark.read.schema(schema).parquet(f"{aside}/rows")
     else:
         uri = spark._jvm.java.net.URI
         logs = spark.read.option("basePath", path).parquet(*[uri(x).getPath() if x.startswith("file:") else x for x in names])
@@ -82,7 +84,7 @@ def compact_files(spark: SparkSession, path: str, rows: int = SEGMENT_ROWS) -> i
         dealt = numbered.repartition("day", "_file").sortWithinPartitions("day", "_file", "device_id", "ts")
         dealt.select(*schema.names, "_file").write.partitionBy("day", "_file").option("compression", "zstd").parquet(f"{aside}/made")
     _flatten(spark, aside)
-    spark.createDataFrame([(x,) for x in names], "file string").coalesce(1).write.parquet(f"{aside}/old")
+    spark.createDataFrame([(x,) for x in names], "file string").write.parquet(f"{aside}/old")
     finish_compaction(spark, path)
     return len(names)
 

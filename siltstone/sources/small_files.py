@@ -10,7 +10,8 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from urllib.parse import unquote
+from datetime import date
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from siltstone.sources.batches import FilesWriter, opens
 SMALL_ROWS = 10_000
 #: Files that a task deals with, when it reads, moves or deletes them.
 TASK_FILES = 500
+#: Tasks a core that listed files are dealt to.
+LIST_TASKS = 4
 _NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -133,10 +136,48 @@ def _checksum(name: str) -> str:
     return f"{folder}/.{base}.crc"
 
 
+def _named(path: str) -> str:
+    """A path, as Hadoop qualifies it, in the way of _metadata.file_path."""
+    scheme, rest = path.split(":", 1)
+    rest = re.sub(r"[^\w/.!~*'():@&=+$,;-]", lambda m: quote(m[0]), rest)
+    return f"file:/{rest.lstrip('/')}" if scheme == "file" else f"{scheme}:{rest}"
+
+
+def _day_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders day=D of a table, qualified and in order; none if another key or something that is no day divides it, or Python can't open it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    system = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {x.getPath().getName(): x.getPath().toString() for x in system.globStatus(folder(f"{path.rstrip('/')}/day=*")) or []}
+    plain = all(re.fullmatch(rf"day=(\d{{4}}-\d\d-\d\d|{_NO_DAY})", x) for x in found) and [*found] != [f"day={_NO_DAY}"]
+    return [found[x] for x in sorted(found)] if plain and all(map(opens, found.values())) else []
+
+
+def table_schema(spark: SparkSession, path: str) -> StructType:
+    """What spark.read.parquet says, which looks at the first file by name: only the first day is listed."""
+    days = _day_folders(spark, path)
+    return (spark.read.option("basePath", path).parquet(days[0]) if days else spark.read.parquet(path)).schema
+
+
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """(file, day where folders name one) of the Parquet files at path; none is opened."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return found.select(F.col("_metadata.file_path").alias("file"), *(["day"] if "day" in found.columns else []))
+    """(file, day where folders name one) of the Parquet files at path; none is opened. Tasks list the folders of the days: Spark's scan would start a task for every 32 files."""
+    days = _day_folders(spark, path)
+    if not days:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        return found.select(F.col("_metadata.file_path").alias("file"), *(["day"] if "day" in found.columns else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for at in (i for batch in batches for i in batch.column("id").to_pylist()):
+            folder, value = _named(days[at]), days[at].rsplit("=", 1)[1]
+            system, name = _system(folder)
+            found = [x.path[len(name) :] for x in system.get_file_info(fs.FileSelector(name, recursive=True)) if x.is_file and x.path.endswith(".parquet")]
+            shown = [x for x in found if not any(part.startswith(".") or part.startswith("_") and "=" not in part for part in x.split("/"))]
+            day = pa.scalar(None if value == _NO_DAY else date.fromisoformat(value), pa.date32())
+            yield pa.RecordBatch.from_arrays([pa.array([folder + _named(f"x:{x}")[2:] for x in shown], pa.string()), pa.repeat(day, len(shown))], ["file", "day"])
+
+    tasks = LIST_TASKS * spark.sparkContext.defaultParallelism
+    return spark.range(0, len(days), 1, min(len(days), tasks)).mapInArrow(run, "file string, day date").repartition(tasks)
 
 
 def file_counts(files: DataFrame) -> DataFrame:
@@ -162,7 +203,8 @@ def dealt(files: DataFrame, n: int) -> DataFrame:
 
 
 def read_files(files: DataFrame, schema: StructType) -> DataFrame:
-    """Rows of the Parquet files (file, day), with the columns of schema, day among them; columns that a file lacks are null. A task holds one file's batch."""
+    """Rows of the Parquet files (file, day), with the columns of schema, day among them; columns that a file lacks are null. They pass on
+    SMALL_ROWS at a time, as a batch costs more than a file's rows; a task holds no more, and one file's batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shape = to_arrow_schema(schema)
@@ -170,15 +212,24 @@ def read_files(files: DataFrame, schema: StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
+        held: list[pa.RecordBatch] = []
+
+        def put() -> Iterator[pa.RecordBatch]:
+            yield from pa.Table.from_batches(held, shape).combine_chunks().to_batches()
+            held.clear()
+
         for batch in batches:
             for file, day in zip(batch.column("file").to_pylist(), batch.column("day"), strict=True):
                 system, name = _system(file)
                 with system.open_input_file(name) as stream:
                     source = pq.ParquetFile(stream, coerce_int96_timestamp_unit="us")
                     has = set(source.schema_arrow.names)
-                    for part in source.iter_batches(SMALL_ROWS):
+                    for part in source.iter_batches(SMALL_ROWS, use_threads=False):
                         columns = [pa.repeat(day, len(part)) if f.name == "day" else part.column(f.name).cast(f.type) if f.name in has else pa.nulls(len(part), f.type) for f in shape]
-                        yield pa.RecordBatch.from_arrays(columns, schema=shape)
+                        held.append(pa.RecordBatch.from_arrays(columns, schema=shape))
+                        if sum(map(len, held)) >= SMALL_ROWS:
+                            yield from put()
+        yield from put()
 
     return files.select("file", "day").mapInArrow(run, schema)
 

@@ -91,3 +91,27 @@ def test_files_are_counted_without_a_scan(spark, tmp_path):
     assert "Format: Parquet" not in counts._jdf.queryExecution().toString() and "parquet" not in counts._jdf.queryExecution().sparkPlan().toString().lower().split("location")[0]
     plain = spark.read.parquet(path).groupBy("day", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_tasks_list_days(spark, tmp_path):
+    """No scan with a task for every 32 files; names are those of _metadata.file_path, whatever the folder is called, and hidden files aren't there."""
+    path = str(tmp_path / "some [x] ä% logs")
+    df = table(spark, 50)
+    S.write_logs(df.unionByName(df.limit(3).withColumn("ts", F.lit(None).cast("timestamp"))), path, rows=1)
+    shown = path.replace("[", "\\[").replace("]", "\\]")
+    plain = sorted(map(repr, spark.read.parquet(shown).select(F.col("_metadata.file_path").alias("file"), "day").distinct().collect()))
+    for hidden in (".hidden.parquet", "_part.parquet", "note.txt"):
+        (Path(path) / "day=2024-05-15" / hidden).write_bytes(b"none")
+    assert sorted(map(repr, M.listed(spark, shown).collect())) == plain and len(plain) == 53
+
+
+def test_listing_has_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    S.write_logs(table(spark, 700), path, rows=1)
+    assert "binaryFile" not in M.listed(spark, path)._jdf.queryExecution().toString()
+    assert M.table_schema(spark, path) == spark.read.parquet(path).schema
+    small = M.read_files(M.listed(spark, path).coalesce(1), M.table_schema(spark, path))
+    assert tasks_of(spark, "counting", lambda: C.file_rows(spark, path).collect()) < 700 // 32 + M.LIST_TASKS * 4
+    # rows of many files pass on together
+    sizes = small.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), small.schema)
+    assert sizes.count() == 1
