@@ -768,6 +768,24 @@ def _drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows{of}")
 
 
+def _drain_lanes(streams: list[DataFrame], name: str) -> DataFrame:
+    """Runs streams of the same columns beside each other over what is there: the rows of all their batches."""
+    spark, path, runs = streams[0].sparkSession, new_folder(streams[0].sparkSession, name), []
+
+    def put(lane: int) -> Callable[[DataFrame, int], None]:
+        return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/rows/lane={lane}/batch={batch_id}")
+
+    try:
+        for i, stream in enumerate(streams):
+            runs.append(stream.writeStream.foreachBatch(put(i)).option("checkpointLocation", f"{path}/state/{i}").trigger(availableNow=True).start())
+        for run in runs:
+            run.awaitTermination()
+    finally:
+        for run in runs:
+            run.stop()
+    return spark.read.schema(streams[0].schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
+
+
 @register("t1_tail", LOGS + f"SELECT random, ts, level, msg FROM logs WHERE {RANK_SQL} >= 4")
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(T.tail(_as_logs(_stream(spark, sf_dir)), X.level_cmp(">=", "warn")), "append", "tail").select("random", ntz("ts"), "level", "msg")
@@ -809,7 +827,8 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a drop folder as a stream, and what each uploader sent."""
     folder = new_folder(spark, "spool")
     _drop_files(spark, logs(spark, sf_dir), folder, 1)
-    files = _drain(B.count_contents(T.stream_spool(spark, folder, 5)), "append", "spool")
+    # names end with a file's number in its task, a mark and the lot's number
+    files = _drain_lanes([B.count_contents(T.stream_spool(spark, folder, 5, names)) for names in T.spool_lanes(2)], "spool")
     return files.groupBy("uploader").agg(F.sum("records").alias("logs_count"), F.sum("record_bytes").alias("logs_size"))
 
 

@@ -57,10 +57,18 @@ def store_device_stats(stream: DataFrame, devices: str, checkpoint: str, now: da
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_spool(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Finished files (*.ready) of a drop folder, each once: path, length, content (null where tasks open the file themselves), file name, and uploader: the name up
+def spool_lanes(back: int) -> list[str]:
+    """Patterns of names that part the finished files of a drop folder: each file is of one of them. Five go by the digit that has `back` characters between it and the
+    ending, the last takes names without one. Batches of few files leave the cores idle while a stream keeps its logs; a stream for each pattern, with a checkpoint
+    of its own, takes as many files a batch as one alone, and they run beside each other."""
+    digits = [f"*[{i}{i + 1}]{'?' * back}.ready" for i in range(0, 10, 2)]
+    return [*digits, "{" + ",".join([f"*[^0-9]{'?' * back}", *["?" * n for n in range(1, back + 1)]]) + "}.ready"]
+
+
+def stream_spool(spark: SparkSession, folder: str, max_files: int = 1000, names: str = "*.ready") -> DataFrame:
+    """Finished files (*.ready, or those of one of spool_lanes) of a drop folder, each once: path, length, content (null where tasks open the file themselves), file name, and uploader: the name up
     to its first '-', null for a name without one."""
-    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.ready").option("maxFilesPerTrigger", max_files).load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", names).option("maxFilesPerTrigger", max_files).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     uploader = F.when(F.contains(name, F.lit("-")), F.split(name, "-")[0])
     return with_content(files, folder).select("path", "length", "content", name.alias("file_name"), uploader.alias("uploader"))
